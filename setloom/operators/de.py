@@ -9,26 +9,26 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import de_weight, two_sided_normal
 from ..params import Contrast
+from ..session import cut_lineage
 from .matrix import low_count_filter, n_samples, round_counts
 from .scan import HOT_ROWS, adjust_p, group_quantile
 
 
 def size_factors(counts: DataFrame, samples: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Median of ratios to the geometric mean, over features without a zero."""
-    cells = counts.where(F.col("value") > 0)
-    geo = cells.groupBy("study_id", "feature_id").agg(
-        F.count(F.lit(1)).alias("_k"), F.avg(F.ln("value")).alias("_lg"))
-    full = geo.join(n_samples(samples), "study_id").where(F.col("_k") == F.col("n_samples")).select(
-        "study_id", "feature_id", "_lg")
-    ratio = cells.join(full, ["study_id", "feature_id"]).select(
-        "study_id", "sample_id", (F.ln("value") - F.col("_lg")).alias("_r"))
+    row = Window.partitionBy("study_id", "feature_id")
+    cells = counts.where(F.col("value") > 0).withColumn("_ln", F.ln("value")).withColumn(
+        "_k", F.count(F.lit(1)).over(row)).withColumn("_lg", F.avg("_ln").over(row))
+    ratio = cells.join(n_samples(samples), "study_id").where(F.col("_k") == F.col("n_samples")).select(
+        "study_id", "sample_id", (F.col("_ln") - F.col("_lg")).alias("_r"))
     mid = group_quantile(ratio, ["study_id", "sample_id"], "_r", 0.5, "_mid", hot_rows=hot_rows)
-    return mid.select("study_id", "sample_id", F.exp("_mid").alias("size_factor"))
+    # One row per sample: kept, because every later step reads it again.
+    return cut_lineage(mid.select("study_id", "sample_id", F.exp("_mid").alias("size_factor")))
 
 
 def nb_wald(
@@ -94,7 +94,8 @@ def nb_wald(
         (F.sqrt(1.0 / i1 + 1.0 / i0) / math.log(2.0)).alias("lfc_se"))
     wald = wald.withColumn("stat", F.col("lfc") / F.col("lfc_se")).withColumn(
         "pvalue", two_sided_normal(F.col("stat")))
-    tested = wald.withColumn("_p", F.when(F.col("base_mean") >= min_base_mean, F.col("pvalue")))
+    # One row per feature from here on.
+    tested = cut_lineage(wald).withColumn("_p", F.when(F.col("base_mean") >= min_base_mean, F.col("pvalue")))
     return adjust_p(tested, ["study_id"], "_p", "padj", hot_rows=hot_rows).drop("_p")
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import HOT_ROWS, average_rank, group_quantile, ordered_scan
+from ..session import cut_lineage
+from .scan import HOT_ROWS, group_quantile, ordered_scan
 
 CELL = ["study_id", "feature_id", "sample_id"]
+ROW = Window.partitionBy("study_id", "feature_id")
 
 
 def keep_annotated(counts: DataFrame, annotation: DataFrame, id_col: str = "id") -> DataFrame:
@@ -111,22 +113,25 @@ def detect_filter(
     detect_count: float = 1.0,
     min_samples: int | None = None,
 ) -> DataFrame:
-    """Keep features seen at ``detect_count`` or more in enough samples of their study."""
-    seen = counts.groupBy("study_id", "feature_id").agg(
-        F.count_if(F.col("value") >= detect_count).alias("_seen"))
+    """Keep features seen at ``detect_count`` or more in enough samples of their study.
+
+    A row of the matrix has at most one cell per sample, so the row totals are windows over
+    (study, feature): one shuffle, which later steps by feature can use again.
+    """
     n = F.col("n_samples")
+    seen = F.count_if(F.col("value") >= detect_count).over(ROW)
     # A threshold at or below zero is met by absent cells too.
-    hit = F.col("_seen") if detect_count > 0 else F.lit(None)
+    hits = seen if detect_count > 0 else n
     need = F.lit(max(1, int(min_samples))) if min_samples is not None else F.greatest(
         F.lit(1), F.ceil(F.lit(float(rate)) * n))
-    keep = seen.join(n_samples(samples), "study_id").where(F.coalesce(hit, n) >= need)
-    return counts.join(keep.select("study_id", "feature_id"), ["study_id", "feature_id"], "left_semi")
+    j = counts.join(n_samples(samples), "study_id").withColumn("_seen", hits)
+    return j.where(F.col("_seen") >= need).select(*counts.columns)
 
 
 def low_count_filter(counts: DataFrame, min_total: float = 10.0) -> DataFrame:
     """Keep features whose total is strictly above ``min_total``."""
-    keep = counts.groupBy("study_id", "feature_id").agg(F.sum("value").alias("_t")).where(F.col("_t") > min_total)
-    return counts.join(keep.select("study_id", "feature_id"), ["study_id", "feature_id"], "left_semi")
+    total = counts.withColumn("_t", F.sum("value").over(ROW))
+    return total.where(F.col("_t") > min_total).drop("_t")
 
 
 def round_counts(counts: DataFrame) -> DataFrame:
@@ -151,11 +156,10 @@ def expression_filter(
     limits = cut.join(small, "study_id").select("study_id", "_cut", need.alias("_need"))
     cells = counts.join(libs, ["study_id", "sample_id"]).join(limits, "study_id")
     cpm_value = F.col("value") / F.col("lib_size") * 1e6
-    keep = cells.groupBy("study_id", "feature_id").agg(
-        F.count_if(cpm_value >= F.col("_cut")).alias("_k"),
-        F.sum("value").alias("_t"), F.max("_need").alias("_need"),
-    ).where((F.col("_k") >= F.col("_need") - 1e-14) & (F.col("_t") >= min_total - 1e-14))
-    return counts.join(keep.select("study_id", "feature_id"), ["study_id", "feature_id"], "left_semi")
+    j = cells.withColumn("_k", F.count_if(cpm_value >= F.col("_cut")).over(ROW)).withColumn(
+        "_t", F.sum("value").over(ROW))
+    kept = j.where((F.col("_k") >= F.col("_need") - 1e-14) & (F.col("_t") >= min_total - 1e-14))
+    return kept.select(*counts.columns)
 
 
 def cpm(counts: DataFrame, factors: DataFrame | None = None) -> DataFrame:
@@ -197,37 +201,49 @@ def tmm_factors(
     shares = cells.join(libs, ["study_id", "sample_id"]).join(zeros, ["study_id", "sample_id"]).select(
         "study_id", "sample_id", "_z", (F.col("value") / F.col("lib_size")).alias("_share"))
     uq = group_quantile(shares, ["study_id", "sample_id"], "_share", 0.75, "_uq", zeros="_z", hot_rows=hot_rows)
+    uq = cut_lineage(uq)
     centre = uq.groupBy("study_id").agg(F.avg("_uq").alias("_mid"))
-    ref = uq.join(centre, "study_id").groupBy("study_id").agg(
-        F.min_by("sample_id", F.struct(F.round(F.abs(F.col("_uq") - F.col("_mid")), 15), "sample_id")).alias("_ref"))
+    # One row per study: kept, because the cells are read against it three times.
+    ref = cut_lineage(uq.join(centre, "study_id").groupBy("study_id").agg(
+        F.min_by("sample_id", F.struct(F.round(F.abs(F.col("_uq") - F.col("_mid")), 15), "sample_id")).alias("_ref")))
     obs = cells.join(libs, ["study_id", "sample_id"])
     ref_cells = obs.join(ref, "study_id").where(F.col("sample_id") == F.col("_ref")).select(
         "study_id", "feature_id", F.col("value").alias("_yr"), F.col("lib_size").alias("_nr"))
     y, n, yr, nr = (F.col(c) for c in ("value", "lib_size", "_yr", "_nr"))
     pairs = obs.join(ref_cells, ["study_id", "feature_id"]).select(
         "study_id", "sample_id", "feature_id",
-        (F.log2(y / n) - F.log2(yr / nr)).alias("_m"),
-        ((F.log2(y / n) + F.log2(yr / nr)) / 2).alias("_a"),
+        # Rounded, so that equal ratios stay equal whatever order they were computed in.
+        F.round(F.log2(y / n) - F.log2(yr / nr), 12).alias("_m"),
+        F.round((F.log2(y / n) + F.log2(yr / nr)) / 2, 12).alias("_a"),
         ((n - y) / n / y + (nr - yr) / nr / yr).alias("_v"),
     )
     key = ["study_id", "sample_id"]
-    ranked = average_rank(average_rank(pairs, key, "_m", "_rm", hot_rows), key, "_a", "_ra", hot_rows)
-    counts_n = pairs.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(F.abs("_m")).alias("_flat"))
-    j = ranked.join(counts_n, key)
-    low_m = F.floor(F.col("_n") * logratio_trim) + 1
-    low_a = F.floor(F.col("_n") * sum_trim) + 1
-    keep = (
-        (F.col("_rm") >= low_m) & (F.col("_rm") <= F.col("_n") + 1 - low_m)
-        & (F.col("_ra") >= low_a) & (F.col("_ra") <= F.col("_n") + 1 - low_a)
-    )
+    band_m = _rank_band(pairs, key, "_m", logratio_trim, hot_rows)
+    band_a = _rank_band(pairs, key, "_a", sum_trim, hot_rows)
+    j = pairs.join(band_m, key).join(band_a, key)
+    keep = F.col("_m").between(F.col("_m_lo"), F.col("_m_hi")) & F.col("_a").between(F.col("_a_lo"), F.col("_a_hi"))
     raw = j.groupBy(*key).agg(
-        F.max("_flat").alias("_flat"),
+        F.max(F.abs("_m")).alias("_flat"),
         (F.sum(F.when(keep, F.col("_m") / F.col("_v"))) / F.sum(F.when(keep, 1 / F.col("_v")))).alias("_f"),
     ).select(*key, F.when(F.col("_flat") < 1e-6, 0.0).otherwise(F.coalesce("_f", F.lit(0.0))).alias("_l2"))
     full = libs.select(*key).join(raw, key, "left").fillna(0.0, ["_l2"])
     mid = full.groupBy("study_id").agg(F.avg("_l2").alias("_gm"))
-    return full.join(mid, "study_id").select(*key, F.pow(F.lit(2.0), F.col("_l2") - F.col("_gm")).alias("norm_factor"))
+    return cut_lineage(
+        full.join(mid, "study_id").select(*key, F.pow(F.lit(2.0), F.col("_l2") - F.col("_gm")).alias("norm_factor")))
+
+
+def _rank_band(pairs: DataFrame, key: list[str], value: str, trim: float, hot_rows: int | None) -> DataFrame:
+    """Smallest and largest value whose tie-averaged rank survives trimming both ends.
+
+    One row per sample comes back, so the cells themselves are filtered, never ranked.
+    """
+    counts = pairs.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_c"))
+    cum = ordered_scan(counts, key, [F.col(value)], rank=None, sums={"_cum": F.col("_c")}, hot_rows=hot_rows)
+    total = counts.groupBy(*key).agg(F.sum("_c").alias("_n"))
+    rank = F.col("_cum") - (F.col("_c") - 1) / 2.0
+    low = F.floor(F.col("_n") * F.lit(float(trim))) + 1
+    kept = cum.join(total, key).where((rank >= low) & (rank <= F.col("_n") + 1 - low))
+    return cut_lineage(kept.groupBy(*key).agg(F.min(value).alias(f"{value}_lo"), F.max(value).alias(f"{value}_hi")))
 
 
 def row_variance(counts: DataFrame, samples: DataFrame) -> DataFrame:
@@ -293,7 +309,7 @@ def value_quantiles(values: DataFrame, steps: int = 100) -> DataFrame:
     distinct = values.where(F.col("value").isNotNull()).groupBy("study_id", "value").agg(
         F.count(F.lit(1)).alias("_c"))
     probs = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    return distinct.groupBy("study_id").agg(F.percentile("value", probs, "_c").alias("quantiles"))
+    return distinct.groupBy("study_id").agg(F.percentile("value", probs, F.col("_c")).alias("quantiles"))
 
 
 def detection_rate(counts: DataFrame, samples: DataFrame, above: float = 1.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import hypergeom_tail
+from ..session import cut_lineage
 from .scan import adjust_p
 from .sets import KEY, clean_sets, pair_counts
 
@@ -126,7 +127,8 @@ def run_ora(
     clean = clean_sets(sets)
     counts = with_hypergeometric(ora_counts(clean, query))
     emp = empirical_p(counts, clean, draws, seed, max_joint=max_joint)
-    out = counts.join(emp, KEY, "left")
+    # One row per set: kept, so that the draws are never made twice.
+    out = cut_lineage(counts.join(emp, KEY, "left"))
     if p_adjust_method is None:
         out = out.withColumn("p_empirical_adj", F.lit(None).cast("double"))
         judged = F.col("p_empirical")

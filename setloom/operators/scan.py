@@ -1,10 +1,10 @@
 """Ordered scans (ranks, running sums, quantiles) that survive hot groups.
 
-A plain ``Window.partitionBy(group)`` puts a whole group into one task. Here a group that
-holds more than ``1/HOT_SHARE`` of all rows (and more than ``hot_rows``) is cut into
-ordered slices first: each slice is ranked by its own task and shifted by the totals of
-the slices before it. At most ``HOT_SHARE`` groups can be that large, so the table of cut
-points that is broadcast is bounded whatever the size of the data.
+A plain ``Window.partitionBy(group)`` puts a whole group into one task. Every scan here
+therefore counts its groups first. While no group exceeds ``hot_rows`` the plain window is
+used. Otherwise the input is materialised once, each hot group is cut into ordered slices,
+every slice is ranked by its own task and shifted by the totals of the slices before it.
+The cut points are broadcast only while there are few hot groups; else they are joined.
 """
 
 from __future__ import annotations
@@ -12,28 +12,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 256
-HOT_ROWS = 1_000_000
+from ..session import cut_lineage
+
+HOT_ROWS = 5_000_000
 SLICES = 64
+BROADCAST_GROUPS = 4096
+
+
+def has_hot_group(df: DataFrame, keys: list[str], hot_rows: int | None) -> bool:
+    """Whether any group is larger than ``hot_rows``. ``None``: small by construction."""
+    if hot_rows is None:
+        return False
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    top = sizes.agg(F.max("_n")).first()[0]
+    return top is not None and top > hot_rows
 
 
-def _cut_points(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Sorted sample of order keys for each hot group: (keys, _cuts), at most HOT_SHARE rows.
+def _sliced(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Materialised input with ``_slice`` (0 in cold groups), and the hot keys.
 
-    One row per hash slot is kept (the one with the smallest hash), so the sample depends
-    on the data alone and comes out the same whenever a lost task is run again.
+    The cut points of a group are a sample with one row per hash slot, the one with the
+    smallest hash: it depends on the data alone and is the same when a task runs again.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    limit = sizes.agg(F.sum("_n") / HOT_SHARE).scalar()
-    hot = sizes.where((F.col("_n") > hot_rows) & (F.col("_n") > limit)).select(*keys)
+    work = cut_lineage(df)
+    sizes = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_rows).select(*keys)
+    few = hot.count() <= BROADCAST_GROUPS
     slot = F.pmod(F.xxhash64("_o"), F.lit(SLICES)).alias("_slot")
-    sample = (
-        df.select(*keys, "_o")
-        .join(F.broadcast(hot), keys, "left_semi")
-        .groupBy(*keys, slot)
-        .agg(F.min_by("_o", F.xxhash64(F.lit(7), F.col("_o"))).alias("_o"))
-    )
-    return sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
+    sample = work.select(*keys, "_o").join(hot, keys, "left_semi").groupBy(*keys, slot).agg(
+        F.min_by("_o", F.xxhash64(F.lit(7), F.col("_o"))).alias("_o"))
+    cuts = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_o")))
+    placed = work.join(F.broadcast(cuts) if few else cuts, keys, "left").withColumn(
+        "_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+    return placed, cuts.select(*keys)
 
 
 def ordered_scan(
@@ -53,39 +65,30 @@ def ordered_scan(
     work = df.withColumn("_o", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
     for name, value in sums.items():
         work = work.withColumn(f"_v_{name}", value)
-    if hot_rows is None:
-        work = work.withColumn("_slice", F.lit(0))
-    else:
-        cuts = _cut_points(work, keys, hot_rows)
-        below = F.size(F.filter("_cuts", lambda c: c < F.col("_o")))
-        work = work.join(F.broadcast(cuts), keys, "left").withColumn(
-            "_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(below)
-        ).drop("_cuts")
-    w = Window.partitionBy(*keys, "_slice").orderBy("_o").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    out = work
-    if rank:
-        out = out.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("_o")))
+    hot = has_hot_group(work, keys, hot_rows)
+    part = list(keys)
+    if hot:
+        work, hot_keys = _sliced(work, keys, hot_rows)
+        part.append("_slice")
+    by = Window.partitionBy(*part).orderBy("_o")
+    out = work.withColumn(rank, F.row_number().over(by).cast("long")) if rank else work
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for name in sums:
-        out = out.withColumn(name, F.sum(f"_v_{name}").over(w))
-    if hot_rows is not None:
-        # Totals of the slices of hot groups only: at most HOT_SHARE * (SLICES + 1) rows.
-        totals = work.join(F.broadcast(cuts.select(*keys)), keys, "left_semi").groupBy(*keys, "_slice").agg(
-            F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums]
-        )
+        out = out.withColumn(name, F.sum(f"_v_{name}").over(upto))
+    if hot:
+        totals = work.join(hot_keys, keys, "left_semi").groupBy(*part).agg(
+            F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums])
         before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         shift = totals.select(
-            *keys, "_slice", F.sum("_n").over(before).alias("_off"),
-            *[F.sum(f"_t_{s}").over(before).alias(f"_off_{s}") for s in sums],
-        )
-        out = out.join(F.broadcast(shift), [*keys, "_slice"], "left")
+            *part, F.sum("_n").over(before).alias("_off"),
+            *[F.sum(f"_t_{s}").over(before).alias(f"_off_{s}") for s in sums])
+        out = out.join(shift, part, "left")
         if rank:
-            out = out.withColumn(rank, (F.col(rank) + F.coalesce("_off", F.lit(0))).cast("long"))
+            out = out.withColumn(rank, F.col(rank) + F.coalesce("_off", F.lit(0)))
         for s in sums:
             out = out.withColumn(s, F.col(s) + F.coalesce(f"_off_{s}", F.lit(0)))
-        out = out.drop("_off", *[f"_off_{s}" for s in sums])
-    return out.drop("_o", "_slice", *[f"_v_{s}" for s in sums])
+        out = out.drop("_off", "_slice", *[f"_off_{s}" for s in sums])
+    return out.drop("_o", *[f"_v_{s}" for s in sums])
 
 
 def average_rank(
@@ -148,7 +151,12 @@ def adjust_p(
     """
     if method == "none":
         return df.withColumn(out, F.col(p))
-    known = df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
+    if method not in ("BH", "fdr", "BY", "holm", "hochberg", "hommel", "bonferroni"):
+        raise ValueError(f"unknown adjustment method: {method}")
+    valid = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
+    if method not in ("hommel", "bonferroni") and not has_hot_group(df, keys, hot_rows):
+        return _adjust_in_windows(df.withColumn("_p", F.when(valid, F.col(p))), keys, out, method)
+    known = df.where(valid)
     counts = known.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
     if method == "bonferroni":
@@ -156,7 +164,10 @@ def adjust_p(
         return df.join(adj, [*keys, p], "left")
     if method == "hommel":
         return df.join(_hommel(counts, keys, p, out), [*keys, p], "left")
-    cum = ordered_scan(counts, keys, [F.col(p)], rank=None, sums={"_cum": F.col("_c")}, hot_rows=hot_rows)
+    counts = cut_lineage(counts)
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
+    limit = hot_rows if has_hot_group(counts, keys, hot_rows) else None
+    cum = ordered_scan(counts, keys, [F.col(p)], rank=None, sums={"_cum": F.col("_c")}, hot_rows=limit)
     j = cum.join(totals, keys)
     m, c = F.col("_m"), F.col("_cum")
     if method in ("BH", "fdr"):
@@ -166,17 +177,38 @@ def adjust_p(
         raw = F.col(p) * m / c * harmonic
     elif method == "hochberg":
         raw = F.col(p) * (m - c + 1)
-    elif method == "holm":
-        raw = F.col(p) * (m - c + F.col("_c"))
     else:
-        raise ValueError(f"unknown adjustment method: {method}")
+        raw = F.col(p) * (m - c + F.col("_c"))
     j = j.withColumn("_raw", raw)
     descending = method != "holm"
-    run = _running_extreme(j, keys, p, "_raw", descending, hot_rows)
+    run = _running_extreme(j, keys, p, "_raw", descending, limit)
     adj = run.select(*keys, p, F.least(F.lit(1.0), F.col("_ext")).alias(out))
     return df.join(adj, [*keys, p], "left")
 
 
+def _adjust_in_windows(df: DataFrame, keys: list[str], out: str, method: str) -> DataFrame:
+    """The step-up and step-down rules in one ordered pass over each group."""
+    group = Window.partitionBy(*keys)
+    m = F.count("_p").over(group)
+    p = F.col("_p")
+    if method == "holm":
+        w = group.orderBy(p.asc_nulls_last())
+        at = F.row_number().over(w)
+        raw, fold = p * (m - at + 1), F.max
+    else:
+        w = group.orderBy(p.desc_nulls_last())
+        from_top = F.row_number().over(w)
+        at = m - from_top + 1
+        fold = F.min
+        raw = p * from_top if method == "hochberg" else p * m / at
+        if method == "BY":
+            raw = raw * F.aggregate(F.sequence(F.lit(1).cast("long"), m), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    run = fold("_raw").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    adjusted = df.withColumn("_raw", F.when(p.isNotNull(), raw)).withColumn(
+        out, F.when(p.isNotNull(), F.least(F.lit(1.0), run)))
+    return adjusted.drop("_raw", "_p")
+
+
 def _running_extreme(
     df: DataFrame, keys: list[str], by: str, value: str, descending: bool, hot_rows: int | None
 ) -> DataFrame:
@@ -184,27 +216,19 @@ def _running_extreme(
     order = -F.col(by) if descending else F.col(by)
     agg = F.min if descending else F.max
     work = df.withColumn("_o", F.struct(order.alias("k0")))
-    if hot_rows is None:
-        work = work.withColumn("_slice", F.lit(0))
-    else:
-        cuts = _cut_points(work, keys, hot_rows)
-        below = F.size(F.filter("_cuts", lambda c: c < F.col("_o")))
-        work = work.join(F.broadcast(cuts), keys, "left").withColumn(
-            "_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(below)
-        ).drop("_cuts")
-    w = Window.partitionBy(*keys, "_slice").orderBy("_o").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    part = list(keys)
+    if hot_rows is not None:
+        work, hot_keys = _sliced(work, keys, hot_rows)
+        part.append("_slice")
+    w = Window.partitionBy(*part).orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = work.withColumn("_ext", agg(value).over(w))
     if hot_rows is not None:
-        totals = work.join(F.broadcast(cuts.select(*keys)), keys, "left_semi").groupBy(
-            *keys, "_slice").agg(agg(value).alias("_t"))
+        totals = work.join(hot_keys, keys, "left_semi").groupBy(*part).agg(agg(value).alias("_t"))
         before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        shift = totals.select(*keys, "_slice", agg("_t").over(before).alias("_off"))
+        shift = totals.select(*part, agg("_t").over(before).alias("_off"))
         both = F.least if descending else F.greatest
-        out = out.join(F.broadcast(shift), [*keys, "_slice"], "left").withColumn(
-            "_ext", both("_ext", "_off")).drop("_off")
-    return out.drop("_o", "_slice")
+        out = out.join(shift, part, "left").withColumn("_ext", both("_ext", "_off")).drop("_off", "_slice")
+    return out.drop("_o")
 
 
 def _hommel(counts: DataFrame, keys: list[str], p: str, out: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive settings every job in this package relies on: runtime broadcast decisions,
@@ -31,17 +33,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "set
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Checkpoint into the folder named by ``spark.checkpoint.dir``.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` by a checkpoint in the folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder in that setting; a caller may name a fallback
-    for sessions without one (tests). Without either the input is returned unchanged.
+    Only where the session names none (a local run) is a folder of our own made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            return df
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint()

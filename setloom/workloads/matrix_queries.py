@@ -97,8 +97,21 @@ def metadata_groups(spark, sf):
     return mx.filter_samples(meta, ["4-NOT SPECIFIED", "1-URGENT"]).select("study_id", "sample_id", "grp")
 
 
+def _one_study(df):
+    return df.withColumn("study_id", F.lit("L"))
+
+
+def de_counts(spark, sf):
+    """All return flags as one study, so that most cells are present."""
+    return _one_study(counts(spark, sf)).groupBy(*CELL).agg(F.sum("value").alias("value"))
+
+
+def de_samples(spark, sf):
+    return _one_study(samples(spark, sf)).distinct()
+
+
 def size_factors(spark, sf):
-    return rounded(de.size_factors(counts(spark, sf), samples(spark, sf)), "size_factor")
+    return rounded(de.size_factors(de_counts(spark, sf), de_samples(spark, sf)), "size_factor")
 
 
 def tmm_factors(spark, sf):
@@ -118,7 +131,7 @@ def preprocess(spark, sf):
 
 
 def _wald(spark, sf):
-    return de.nb_wald(counts(spark, sf), samples(spark, sf), Contrast("grp", "O", "F"))
+    return de.nb_wald(de_counts(spark, sf), de_samples(spark, sf), Contrast("grp", "O", "F"))
 
 
 def nb_wald(spark, sf):
@@ -178,8 +191,8 @@ _TMM = f"""{_LIB},
   ref AS (SELECT study_id, arg_min(sample_id, (round(abs(q - mid), 15), sample_id)) AS ref FROM
     (SELECT *, avg(q) OVER (PARTITION BY study_id) AS mid FROM uq) GROUP BY 1),
   obs AS (SELECT c.*, n FROM counts c JOIN lib USING (study_id, sample_id)),
-  pr AS (SELECT o.study_id, o.sample_id, o.feature_id, log2(o.value / o.n) - log2(r.value / r.n) AS m,
-      (log2(o.value / o.n) + log2(r.value / r.n)) / 2 AS a,
+  pr AS (SELECT o.study_id, o.sample_id, o.feature_id, round(log2(o.value / o.n) - log2(r.value / r.n), 12) AS m,
+      round((log2(o.value / o.n) + log2(r.value / r.n)) / 2, 12) AS a,
       (o.n - o.value) / o.n / o.value + (r.n - r.value) / r.n / r.value AS v
     FROM obs o JOIN ref ON ref.study_id = o.study_id JOIN obs r
       ON r.study_id = o.study_id AND r.feature_id = o.feature_id AND r.sample_id = ref.ref),
@@ -199,6 +212,11 @@ _SF = f"""{_NS},
   sf AS (SELECT u.study_id, sample_id, exp(quantile_cont(ln(value) - lg, 0.5)) AS size_factor FROM used u
     JOIN ful USING (study_id, feature_id) GROUP BY ALL)"""
 
+_DE_COUNTS = """counts AS (SELECT 'L' AS study_id, l_partkey AS feature_id,
+      CAST(year(l_shipdate) AS VARCHAR) || l_linestatus AS sample_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"""
+_DE_SAMPLES = """samples AS (SELECT DISTINCT 'L' AS study_id,
+      CAST(year(l_shipdate) AS VARCHAR) || l_linestatus AS sample_id, l_linestatus AS grp FROM lineitem)"""
+
 ORACLES = {
     "collapse_sum": _collapse_sql("sum(value)"),
     "collapse_mean": _collapse_sql("avg(value)"),
@@ -241,7 +259,7 @@ ORACLES = {
     "keep_annotated": f"WITH {COUNTS_SQL} SELECT counts.* FROM counts JOIN part ON p_partkey = feature_id WHERE NOT regexp_matches(p_type, '(?i)promo')",
     "metadata_groups": """SELECT 'S' AS study_id, o_orderkey AS sample_id, replace(o_orderpriority, ' ', '_') AS grp FROM orders
       WHERE o_orderpriority IN ('4-NOT SPECIFIED', '1-URGENT')""",
-    "size_factors": f"WITH {COUNTS_SQL}, {SAMPLES_SQL}, used AS (SELECT * FROM counts), {_SF} SELECT study_id, sample_id, round(size_factor, 6) AS size_factor FROM sf",
+    "size_factors": f"WITH {_DE_COUNTS}, {_DE_SAMPLES}, used AS (SELECT * FROM counts), {_SF} SELECT study_id, sample_id, round(size_factor, 6) AS size_factor FROM sf",
     "tmm_factors": f"WITH {COUNTS_SQL}, {_TMM} SELECT study_id, sample_id, round(norm_factor, 6) AS norm_factor FROM tmm",
     "tmm_cpm": f"""WITH {COUNTS_SQL}, {_TMM} SELECT study_id, feature_id, sample_id, round(value / (n * norm_factor) * 1e6, 6) AS value
       FROM counts JOIN lib USING (study_id, sample_id) JOIN tmm USING (study_id, sample_id)""",
@@ -249,7 +267,7 @@ ORACLES = {
         WHERE NOT regexp_matches(p_type || 'ter', '(?i)promoter'))
       SELECT k.* FROM k WHERE (study_id, feature_id) IN (SELECT (study_id, feature_id) FROM k JOIN ns USING (study_id) GROUP BY study_id, feature_id, n
        HAVING count(*) FILTER (WHERE value >= 30) >= greatest(1, ceil(0.5 * n)))""",
-    "nb_wald": f"""WITH {COUNTS_SQL}, {SAMPLES_SQL}, used AS (SELECT * FROM counts WHERE (study_id, feature_id) IN
+    "nb_wald": f"""WITH {_DE_COUNTS}, {_DE_SAMPLES}, used AS (SELECT * FROM counts WHERE (study_id, feature_id) IN
         (SELECT (study_id, feature_id) FROM counts GROUP BY study_id, feature_id HAVING sum(value) > 10)), {_SF},
       meta AS (SELECT * FROM samples JOIN sf USING (study_id, sample_id)),
       feat AS (SELECT DISTINCT study_id, feature_id FROM used),
