@@ -28,6 +28,15 @@ def log_factorial(n: Column) -> Column:
     return F.when(n < 16, F.element_at(table, n.cast("int") + 1)).otherwise(stirling)
 
 
+def harmonic_number(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: added up to 16, by its asymptotic series beyond (error below 1e-11)."""
+    table = F.array(*[F.lit(sum(1.0 / j for j in range(1, i + 1))) for i in range(17)])
+    x = m.cast("double")
+    inv2 = 1.0 / (x * x)
+    far = F.ln(x) + 0.5772156649015329 + 0.5 / x - inv2 * _poly(inv2, [1 / 12, -1 / 120, 1 / 252, -1 / 240])
+    return F.when(m <= 16, F.element_at(table, m.cast("int") + 1)).otherwise(far)
+
+
 def log_choose(n: Column, k: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 

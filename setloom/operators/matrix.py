@@ -13,7 +13,10 @@ from ..session import cut_lineage
 from .scan import HOT_ROWS, group_quantile, ordered_scan
 
 CELL = ["study_id", "feature_id", "sample_id"]
-ROW = Window.partitionBy("study_id", "feature_id")
+
+
+def _row():
+    return Window.partitionBy("study_id", "feature_id")
 
 
 def keep_annotated(counts: DataFrame, annotation: DataFrame, id_col: str = "id") -> DataFrame:
@@ -119,7 +122,7 @@ def detect_filter(
     (study, feature): one shuffle, which later steps by feature can use again.
     """
     n = F.col("n_samples")
-    seen = F.count_if(F.col("value") >= detect_count).over(ROW)
+    seen = F.count_if(F.col("value") >= detect_count).over(_row())
     # A threshold at or below zero is met by absent cells too.
     hits = seen if detect_count > 0 else n
     need = F.lit(max(1, int(min_samples))) if min_samples is not None else F.greatest(
@@ -130,7 +133,7 @@ def detect_filter(
 
 def low_count_filter(counts: DataFrame, min_total: float = 10.0) -> DataFrame:
     """Keep features whose total is strictly above ``min_total``."""
-    total = counts.withColumn("_t", F.sum("value").over(ROW))
+    total = counts.withColumn("_t", F.sum("value").over(_row()))
     return total.where(F.col("_t") > min_total).drop("_t")
 
 
@@ -156,8 +159,8 @@ def expression_filter(
     limits = cut.join(small, "study_id").select("study_id", "_cut", need.alias("_need"))
     cells = counts.join(libs, ["study_id", "sample_id"]).join(limits, "study_id")
     cpm_value = F.col("value") / F.col("lib_size") * 1e6
-    j = cells.withColumn("_k", F.count_if(cpm_value >= F.col("_cut")).over(ROW)).withColumn(
-        "_t", F.sum("value").over(ROW))
+    j = cells.withColumn("_k", F.count_if(cpm_value >= F.col("_cut")).over(_row())).withColumn(
+        "_t", F.sum("value").over(_row()))
     kept = j.where((F.col("_k") >= F.col("_need") - 1e-14) & (F.col("_t") >= min_total - 1e-14))
     return kept.select(*counts.columns)
 

@@ -125,7 +125,8 @@ def run_ora(
 ) -> DataFrame:
     """Complete over-representation table of every study."""
     clean = clean_sets(sets)
-    counts = with_hypergeometric(ora_counts(clean, query))
+    # One row per set, read by several steps below.
+    counts = cut_lineage(with_hypergeometric(ora_counts(clean, query)))
     emp = empirical_p(counts, clean, draws, seed, max_joint=max_joint)
     # One row per set: kept, so that the draws are never made twice.
     out = cut_lineage(counts.join(emp, KEY, "left"))

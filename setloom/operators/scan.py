@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import harmonic_number
 from ..session import cut_lineage
 
 HOT_ROWS = 5_000_000
@@ -173,8 +174,7 @@ def adjust_p(
     if method in ("BH", "fdr"):
         raw = F.col(p) * m / c
     elif method == "BY":
-        harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), m), F.lit(0.0), lambda a, i: a + 1.0 / i)
-        raw = F.col(p) * m / c * harmonic
+        raw = F.col(p) * m / c * harmonic_number(m)
     elif method == "hochberg":
         raw = F.col(p) * (m - c + 1)
     else:
@@ -202,7 +202,7 @@ def _adjust_in_windows(df: DataFrame, keys: list[str], out: str, method: str) ->
         fold = F.min
         raw = p * from_top if method == "hochberg" else p * m / at
         if method == "BY":
-            raw = raw * F.aggregate(F.sequence(F.lit(1).cast("long"), m), F.lit(0.0), lambda a, i: a + 1.0 / i)
+            raw = raw * harmonic_number(m)
     run = fold("_raw").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     adjusted = df.withColumn("_raw", F.when(p.isNotNull(), raw)).withColumn(
         out, F.when(p.isNotNull(), F.least(F.lit(1.0), run)))

@@ -119,7 +119,10 @@ def pair_counts(
             F.explode(F.sequence(lo, hi)).alias(f"_{theirs}b"), "id", "member")
 
     cell = ["study_id", "_bucket", "_lb", "_rb"]
-    lp, rp = place(left, "l", "r"), place(other, "r", "l")
+    lp, rp = place(left, "l", "r"), place(other, "r", "l").select(*cell, "id", "member")
+    # New names on the right: a table may be grouped against itself.
+    rcell = [f"r{c}" for c in cell]
+    rp = rp.toDF(*rcell, "id", "member")
 
     def multiply(key, a, b):
         import numpy as np
@@ -155,5 +158,5 @@ def pair_counts(
         return out
 
     schema = "study_id string, a string, b string, n long"
-    partial = lp.groupBy(*cell).cogroup(rp.groupBy(*cell)).applyInPandas(multiply, schema)
+    partial = lp.groupBy(*cell).cogroup(rp.groupBy(*rcell)).applyInPandas(multiply, schema)
     return partial.groupBy("study_id", "a", "b").agg(F.sum("n").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import neg_log10, unit_scale
+from ..session import cut_lineage
 from .scan import group_quantile
 from .sets import KEY, pair_counts
 
@@ -63,8 +64,7 @@ def connectivity(result: DataFrame) -> DataFrame:
     """
     members = edge_members(result)
     pairs = cosine_pairs(members)
-    both = pairs.select("study_id", F.col("from").alias("set_name"), "similarity").unionByName(
-        pairs.select("study_id", F.col("to").alias("set_name"), "similarity"))
+    both = pairs.select("study_id", F.explode(F.array("from", "to")).alias("set_name"), "similarity")
     total = both.groupBy(*KEY).agg(F.sum("similarity").alias("_c"))
     any_member = members.select("study_id").distinct().withColumn("_any", F.lit(True))
     return result.select(*KEY).join(total, KEY, "left").join(any_member, "study_id", "left").select(
@@ -83,9 +83,11 @@ def select_helpers(
     kept = result.where(q.isNotNull() & ~F.isnan(q) & (q < q_cut) & (F.abs(q) < float("inf")))
     if use_elbow:
         kept = kept.join(elbow_cut(kept), "study_id").where(q <= F.col("q_elbow")).drop("q_elbow")
+    # One row per set from here on, read by several steps.
+    kept = cut_lineage(kept)
     if not use_connectivity:
         return kept.withColumn("connectivity", F.lit(None).cast("double"))
-    scored = kept.join(connectivity(kept), KEY).withColumn("_c", F.round("connectivity", 12))
+    scored = cut_lineage(kept.join(connectivity(kept), KEY).withColumn("_c", F.round("connectivity", 12)))
     known = scored.where(F.col("_c").isNotNull()).select("study_id", "_c")
     med = group_quantile(known, ["study_id"], "_c", 0.5, "_med")
     dev = known.join(med, "study_id").select("study_id", F.abs(F.col("_c") - F.col("_med")).alias("_d"))

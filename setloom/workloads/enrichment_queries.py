@@ -1,2 +1,173 @@
-QUERIES = {}
-ORACLES = {}
+"""Preranked enrichment, its plot tables, set disambiguation and per-sample activity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.stats import inverse_normal, signed_q as signed_q_value, two_sided_normal
+from ..operators import activity, gsea, matrix as mx
+from .matrix_queries import de_counts, de_samples, _DE_COUNTS, _DE_SAMPLES, _DENSE
+from .roles import (
+    BRAND_SETS_SQL, COUNTS_SQL, RESULTS_SQL, SAMPLES_SQL, SUPPLIER_SETS_SQL, WEIGHTS_SQL, brand_sets, counts, results,
+    rounded, samples, supplier_sets, table, weights,
+)
+
+
+def feature_ranks(spark, sf):
+    return gsea.rank_features(weights(spark, sf))
+
+
+def es_running(spark, sf):
+    h = gsea.set_hits(gsea.rank_features(weights(spark, sf)), brand_sets(spark, sf))
+    return rounded(h.select("study_id", "set_name", "feature_id", "rank", "i", "top", "bottom"), "top", "bottom")
+
+
+def es_scores(spark, sf):
+    r = gsea.enrichment_scores(gsea.rank_features(weights(spark, sf)), supplier_sets(spark, sf), 15, leading_edge=False)
+    return rounded(r.drop("N"), "es")
+
+
+def leading_edge(spark, sf):
+    r = gsea.enrichment_scores(gsea.rank_features(weights(spark, sf)), brand_sets(spark, sf), 15)
+    return rounded(r.select("study_id", "set_name", "es", F.array_join("leading_edge", ", ").alias("leading_edge")), "es")
+
+
+def enrichment_curve(spark, sf):
+    h = gsea.enrichment_curve(weights(spark, sf), brand_sets(spark, sf), "Brand#13")
+    return rounded(h, "top", "bottom")
+
+
+def gsea_table(spark, sf):
+    r = gsea.run_enrichment(weights(spark, sf), brand_sets(spark, sf), min_size=15, permutations=2000)
+    return r.withColumn("leading_edge", F.array_join("leading_edge", ", "))
+
+
+def nes_scatter(spark, sf):
+    rates = mx.detection_rate(counts(spark, sf), samples(spark, sf), 20.0).withColumn("feature_id", F.col("feature_id").cast("string"))
+    r = results(spark, sf).withColumn("p_value", F.col("q_value"))
+    return rounded(gsea.nes_scatter(r, supplier_sets(spark, sf), rates), "set_detection_rate")
+
+
+def signed_q(spark, sf):
+    r = results(spark, sf).where(F.col("q_value") > 0)
+    return r.select("study_id", "set_name", F.round(signed_q_value(F.col("nes"), F.col("q_value")), 6).alias("signed_q"))
+
+
+def _selected(spark, sf):
+    """The brands themselves, in name order, as the short list to disambiguate."""
+    from pyspark.sql import Window
+
+    names = table(spark, sf, "part").select(F.col("p_type").alias("set_name")).distinct()
+    w = Window.orderBy("set_name")
+    return names.select(F.lit("L").alias("study_id"), "set_name", F.row_number().over(w).alias("set_ord"))
+
+
+def _overlapping(spark, sf):
+    """Part types widened by the parts that share their first name word."""
+    p = table(spark, sf, "part")
+    return p.select(F.lit("L").alias("study_id"), F.explode(F.array("p_type", F.when(F.col("p_size") > 25, "ECONOMY").otherwise("PROMO"))).alias("set_name"),
+                    F.col("p_partkey").cast("string").alias("member")).distinct()
+
+
+def disambiguate(spark, sf):
+    w = weights(spark, sf).groupBy("feature_id").agg(F.round(F.avg("weight"), 9).alias("weight")).withColumn("study_id", F.lit("L"))
+    chosen = _selected(spark, sf)
+    m = gsea.disambiguation_matrix(w, _overlapping(spark, sf), chosen, permutations=500)
+    return gsea.disambiguate(m, chosen)
+
+
+def disambiguation_greedy(spark, sf):
+    """The greedy walk on a q matrix between order priorities, one study per order status."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("mo"), "o_totalprice")
+    names = o.select(F.col("o_orderstatus").alias("study_id"), F.col("o_orderpriority").alias("set_name")).distinct()
+    chosen = names.withColumn("set_ord", F.row_number().over(Window.partitionBy("study_id").orderBy("set_name")))
+    per = o.groupBy(F.col("o_orderstatus").alias("study_id"), F.col("o_orderpriority").alias("set_name")).agg(
+        F.count(F.lit(1)).alias("n"))
+    both = per.select("study_id", "set_name", F.col("n").alias("a")).join(
+        per.select("study_id", F.col("set_name").alias("removed_set"), F.col("n").alias("b")), "study_id")
+    q = (F.col("a") * 7 + F.col("b") * 13) % 101 / 100
+    return gsea.disambiguate(both.select("study_id", "set_name", "removed_set", q.alias("q_value")), chosen)
+
+
+def set_activity(spark, sf):
+    c = de_counts(spark, sf).withColumn("feature_id", F.col("feature_id").cast("string"))
+    s = brand_sets(spark, sf).withColumn("study_id", F.lit("L")).distinct()
+    return rounded(activity.set_activity(c, de_samples(spark, sf), s), "nes")
+
+
+def set_activity_corrected(spark, sf):
+    c = de_counts(spark, sf).withColumn("feature_id", F.col("feature_id").cast("string"))
+    s = supplier_sets(spark, sf).select(F.lit("L").alias("study_id"), "set_name", "member").distinct()
+    return rounded(activity.pleiotropy_corrected(c, de_samples(spark, sf), s), "nes")
+
+
+def rank_scores(spark, sf):
+    """Tie-averaged rank share of each cell inside its sample, and back through the normal law."""
+    from ..operators.scan import average_rank
+
+    c = counts(spark, sf)
+    n = c.groupBy("study_id", "sample_id").agg(F.count(F.lit(1)).alias("n"))
+    r = average_rank(c, ["study_id", "sample_id"], "value", "r").join(n, ["study_id", "sample_id"])
+    u = F.col("r") / (F.col("n") + 1)
+    z = inverse_normal(u)
+    back = F.when(z < 0, two_sided_normal(z) / 2).otherwise(1 - two_sided_normal(z) / 2)
+    return r.select("study_id", "feature_id", "sample_id", F.round(u, 5).alias("u"), (F.abs(back - u) < 1e-6).alias("inverts"))
+
+
+QUERIES = {
+    "feature_ranks": feature_ranks, "es_running": es_running, "es_scores": es_scores, "leading_edge": leading_edge,
+    "enrichment_curve": enrichment_curve, "gsea_table": gsea_table, "nes_scatter": nes_scatter, "signed_q": signed_q,
+    "disambiguate": disambiguate, "disambiguation_greedy": disambiguation_greedy, "set_activity": set_activity,
+    "set_activity_corrected": set_activity_corrected, "rank_scores": rank_scores,
+}
+
+
+def _hits(w="weights"):
+    return f"""rk AS (SELECT *, abs(weight) AS aw, row_number() OVER (PARTITION BY study_id ORDER BY weight DESC, feature_id) AS rank,
+    count(*) OVER (PARTITION BY study_id) AS nn FROM {w}),
+  h0 AS (SELECT s.study_id, s.set_name, feature_id, rank, aw, nn FROM (SELECT DISTINCT study_id, set_name, member FROM sets) s
+    JOIN rk ON rk.study_id = s.study_id AND feature_id = member),
+  h1 AS (SELECT *, row_number() OVER o AS i, sum(aw) OVER o AS cw, count(*) OVER g AS k, sum(aw) OVER g AS tw FROM h0
+    WINDOW g AS (PARTITION BY study_id, set_name), o AS (PARTITION BY study_id, set_name ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+  h AS (SELECT *, round((CASE WHEN tw > 0 THEN cw / tw ELSE i / k END) - (rank - i) / (nn - k), 12) AS top,
+    round((CASE WHEN tw > 0 THEN (cw - aw) / tw ELSE (i - 1) / k END) - (rank - i) / (nn - k), 12) AS bottom FROM h1 WHERE k < nn),
+  e0 AS (SELECT study_id, set_name, any_value(k) AS size, greatest(0, max(top)) AS mx, least(0, min(bottom)) AS mn,
+    arg_max(i, (top, -i)) AS peak, arg_min(i, (bottom, i)) AS dip FROM h GROUP BY ALL),
+  es AS (SELECT *, CASE WHEN mx > -mn THEN mx WHEN -mn > mx THEN mn ELSE 0 END AS es FROM e0)"""
+
+
+_SUP = SUPPLIER_SETS_SQL.replace("l_suppkey AS set_ord,", "")
+
+ORACLES = {
+    "feature_ranks": f"WITH {WEIGHTS_SQL} SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY weight DESC, feature_id) AS rank, abs(weight) AS aw FROM weights",
+    "es_running": f"WITH {WEIGHTS_SQL}, {BRAND_SETS_SQL}, {_hits()} SELECT study_id, set_name, feature_id, rank, i, round(top, 6) AS top, round(bottom, 6) AS bottom FROM h",
+    "es_scores": f"WITH {WEIGHTS_SQL}, {_SUP}, {_hits()} SELECT study_id, set_name, size, round(es, 6) AS es FROM es WHERE size >= 15",
+    "leading_edge": f"""WITH {WEIGHTS_SQL}, {BRAND_SETS_SQL}, {_hits()}, le AS (SELECT h.study_id, h.set_name,
+        string_agg(feature_id, ', ' ORDER BY CASE WHEN es > 0 THEN i ELSE -i END) AS leading_edge FROM h JOIN es USING (study_id, set_name)
+        WHERE (es > 0 AND i <= peak) OR (es < 0 AND i >= dip) GROUP BY ALL)
+      SELECT study_id, set_name, round(es, 6) AS es, coalesce(leading_edge, '') AS leading_edge FROM es LEFT JOIN le USING (study_id, set_name) WHERE size >= 15""",
+    "enrichment_curve": f"""WITH {WEIGHTS_SQL}, w2 AS (SELECT study_id, feature_id, (weight - min(weight) OVER g) / (max(weight) OVER g - min(weight) OVER g) AS weight
+        FROM weights WINDOW g AS (PARTITION BY study_id)), {BRAND_SETS_SQL}, {_hits("w2")}
+      SELECT study_id, set_name, feature_id, rank, round(top, 6) AS top, round(bottom, 6) AS bottom FROM h WHERE set_name = 'Brand#13'""",
+    "nes_scatter": f"""WITH {RESULTS_SQL}, {COUNTS_SQL}, {SAMPLES_SQL}, ns AS (SELECT study_id, count(*) AS n FROM samples GROUP BY 1),
+      rt AS (SELECT study_id, CAST(feature_id AS VARCHAR) AS member, count(*) FILTER (WHERE value > 20) / any_value(n) AS rate FROM counts JOIN ns USING (study_id) GROUP BY ALL),
+      {_SUP}, d AS (SELECT study_id, set_name, avg(rate) AS dr FROM sets JOIN rt USING (study_id, member) GROUP BY ALL)
+      SELECT study_id, set_name, nes, q_value AS p_value, round(coalesce(dr, 0), 6) AS set_detection_rate,
+        CAST(row_number() OVER (PARTITION BY study_id ORDER BY nes DESC, set_name) AS INTEGER) AS x,
+        row_number() OVER (PARTITION BY study_id ORDER BY nes DESC, set_name) <= 3 OR row_number() OVER (PARTITION BY study_id ORDER BY nes, set_name DESC) <= 3 AS labelled
+      FROM res LEFT JOIN d USING (study_id, set_name)""",
+    "signed_q": f"WITH {RESULTS_SQL} SELECT study_id, set_name, round(sign(nes) * -log10(q_value), 6) AS signed_q FROM res WHERE q_value > 0",
+    "disambiguation_greedy": """WITH RECURSIVE per AS (SELECT o_orderstatus AS study_id, o_orderpriority AS set_name, count(*) AS n FROM orders GROUP BY ALL),
+      pos AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY set_name) AS so FROM per),
+      cells AS (SELECT a.study_id, a.set_name AS x, b.set_name AS y, ((a.n * 7 + b.n * 13) % 101) / 100 AS q, a.so AS r, b.so AS c FROM pos a JOIN pos b USING (study_id)),
+      w AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY q DESC, c, r) AS k FROM cells WHERE q > 0.5 AND x <> y),
+      go AS (SELECT study_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS gone FROM (SELECT DISTINCT study_id FROM per)
+        UNION ALL SELECT go.study_id, w.k, CASE WHEN list_contains(gone, x) OR list_contains(gone, y) THEN gone ELSE list_append(gone, x) END
+        FROM go JOIN w ON w.study_id = go.study_id AND w.k = go.k + 1),
+      fin AS (SELECT study_id, arg_max(gone, k) AS gone FROM go GROUP BY 1)
+      SELECT study_id, set_name, CAST(so AS INTEGER) AS set_ord, list_contains(gone, set_name) AS removed FROM pos JOIN fin USING (study_id)""",
+    "rank_scores": f"""WITH {COUNTS_SQL} SELECT study_id, feature_id, sample_id, round((rank() OVER (PARTITION BY study_id, sample_id ORDER BY value)
+        + (count(*) OVER (PARTITION BY study_id, sample_id, value) - 1) / 2.0) / (count(*) OVER (PARTITION BY study_id, sample_id) + 1), 5) AS u, true AS inverts FROM counts""",
+}

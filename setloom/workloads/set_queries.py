@@ -87,10 +87,10 @@ def hypergeometric(spark, sf):
 
 def _adjusted(method):
     def run(spark, sf):
-        p = F.round((F.col("o_totalprice") % 1000) / 1000, 3)
+        p = F.floor(F.col("o_totalprice")) % 1000 / 1000
         o = table(spark, sf, "orders").select(
             F.col("o_orderstatus").alias("study_id"), "o_orderkey", F.when(p > 0.01, p).alias("p"))
-        return rounded(adjust_p(o, ["study_id"], "p", "q", method), "q")
+        return rounded(adjust_p(o, ["study_id"], "p", "q", method), "q").select("study_id", "o_orderkey", "p", "q")
     return run
 
 
@@ -203,8 +203,8 @@ def _tail(N, M, K, x):
 _IQ = f"""{intervals_sql()}, {PROPERTY_SETS_SQL}, q AS (SELECT DISTINCT 'E' AS study_id, CAST(b.id AS VARCHAR) AS member
   FROM iv a JOIN iv b ON a.chrom = b.chrom AND b.s <= a.s - 1 AND a.s - 1 <= b.e)"""
 _BH = """greatest(0, least(1.0, min(p * m / r) OVER (PARTITION BY study_id ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)))"""
-_P = """x AS (SELECT o_orderstatus AS study_id, o_orderkey AS id, CASE WHEN round((o_totalprice % 1000) / 1000, 3) > 0.01
-      THEN round((o_totalprice % 1000) / 1000, 3) END AS p FROM orders),
+_P = """x AS (SELECT o_orderstatus AS study_id, o_orderkey AS id, CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 1000 / 1000 > 0.01
+      THEN CAST(floor(o_totalprice) AS BIGINT) % 1000 / 1000 END AS p FROM orders),
   k AS (SELECT *, count(*) OVER (PARTITION BY study_id) AS m, row_number() OVER (PARTITION BY study_id ORDER BY p, id) AS r FROM x WHERE p IS NOT NULL)"""
 
 
@@ -256,8 +256,8 @@ ORACLES = {
     "set_universe": f"WITH {BRAND_SETS_SQL}, {_RET} SELECT study_id, member FROM sets UNION SELECT study_id, member FROM q",
     "ora_interval_counts": f"WITH {_IQ}, {_CNT} SELECT * FROM c",
     "ora_intervals": f"""WITH {_IQ}, {_CNT}, h AS (SELECT *, round(CASE WHEN x = 0 THEN 1.0 ELSE {_tail('"N"', '"M"', '"K"', 'x')} END, 9) AS p, set_name AS id FROM c),
-      k AS (SELECT *, count(*) OVER (PARTITION BY study_id) AS m, row_number() OVER (PARTITION BY study_id ORDER BY p, id) AS r FROM h)
-      SELECT study_id, set_name, "N", "M", "K", x, round(p, 6) AS p_hyper, round({_BH}, 6) AS p_adj FROM k""",
+      k AS (SELECT *, count(*) OVER (PARTITION BY study_id) AS tests, row_number() OVER (PARTITION BY study_id ORDER BY p, id) AS r FROM h)
+      SELECT study_id, set_name, "N", "M", "K", x, round(p, 6) AS p_hyper, round({_BH.replace("p * m", "p * tests")}, 6) AS p_adj FROM k""",
     "ora_parts": f"""WITH {SUPPLIER_SETS_SQL.replace('l_suppkey AS set_ord,', '')}, {_RET}, {_CNT}
       SELECT *, round(CASE WHEN x = 0 THEN 1.0 ELSE {_tail('"N"', '"M"', '"K"', 'x')} END, 6) AS p_hyper FROM c""",
     "hypergeometric": f"""WITH d AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS x0, (l_suppkey + 1) * 4 AS m0 FROM lineitem),
@@ -267,7 +267,7 @@ ORACLES = {
     "by_adjust": _adj("min(p * m / r * list_sum([1.0 / i for i in range(1, m + 1)]))", "DESC"),
     "holm_adjust": _adj("max(p * (m - r + 1))", "ASC"),
     "hochberg_adjust": _adj("min(p * (m - r + 1))", "DESC"),
-    "bonferroni_adjust": f"WITH {_P} SELECT x.study_id, x.id AS o_orderkey, x.p, round(least(1.0, x.p * m), 6) AS q FROM x LEFT JOIN k USING (study_id, id)",
+    "bonferroni_adjust": f"WITH {_P} SELECT x.study_id, x.id AS o_orderkey, x.p, CASE WHEN x.p IS NOT NULL THEN round(least(1.0, x.p * m), 6) END AS q FROM x LEFT JOIN k USING (study_id, id)",
     "set_pairs": f"""WITH {SUPPLIER_SETS_SQL} SELECT a.study_id, a.set_name AS a, b.set_name AS b, count(*) AS n FROM sets a JOIN sets b
       ON a.study_id = b.study_id AND a.member = b.member AND a.set_name < b.set_name GROUP BY ALL""",
     "set_cosine": f"""WITH {SUPPLIER_SETS_SQL.replace('sets AS', 'edges AS')}, {_SIM} SELECT study_id, f AS "from", t AS "to", round(similarity, 6) AS similarity FROM cs""",
