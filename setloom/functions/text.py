@@ -95,7 +95,7 @@ def theme_tokens(label: Column, collection: Column, terms: Column, genes: Column
     """Token set of a theme: label, collection, slug, top terms, lower-cased genes."""
     base = F.array_union(
         F.array_union(token_set(label, collection), drop_stopwords(slug_tokens(label))),
-        F.array_union(F.flatten(F.transform(terms, words)), F.transform(genes, F.lower)),
+        F.array_union(F.flatten(F.transform(terms, lambda t: words(t))), F.transform(genes, lambda g: F.lower(g))),
     )
     marks = F.array(F.lit("emt"), F.lit("adhesion"), F.lit("ecm"))
     extra = F.array(F.lit("mesenchymal"), F.lit("mesenchyme"))
@@ -148,7 +148,7 @@ def title_case(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Comma list -> distinct trimmed non-empty members; NULL gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda t: F.trim(t))
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 

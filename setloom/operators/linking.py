@@ -96,7 +96,7 @@ def validate_claims(items: DataFrame, themes: DataFrame, helpers: DataFrame, per
         w = Window.partitionBy("study_id", "batch_id").orderBy("item_ord")
         j = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_batch)
     blank = F.array().cast("array<string>")
-    phrases = F.filter(F.transform(F.coalesce("function_phrases", blank), F.trim), lambda p: p != "")
+    phrases = F.filter(F.transform(F.coalesce("function_phrases", blank), lambda t: F.trim(t)), lambda p: p != "")
     return j.select(
         "study_id", "batch_id", "item_ord", "theme_id", "theme_label", "helper_name",
         F.coalesce(F.nullif(F.col("helper_class"), F.lit("")), F.col("_ref.helper_class"), F.lit(THEME_ONLY)).alias("helper_class"),
@@ -340,7 +340,7 @@ def collect_snippets(v: Column, depth: int = 3) -> Column:
 def _texts(v: Column) -> Column:
     """A string or a list of strings as trimmed, non-empty texts."""
     one = F.when(F.schema_of_variant(v) == "STRING", F.array(F.trim(F.try_variant_get(v, "$", "string"))))
-    many = F.filter(F.transform(F.try_variant_get(v, "$", "array<string>"), F.trim), lambda s: s != "")
+    many = F.filter(F.transform(F.try_variant_get(v, "$", "array<string>"), lambda t: F.trim(t)), lambda s: s != "")
     return F.coalesce(one, many, F.array().cast("array<string>"))
 
 
@@ -441,7 +441,7 @@ def review_claims(claims: DataFrame, reviews: DataFrame | None) -> DataFrame:
     j = c.join(p, same, "left").select("c.*", F.coalesce("c._r1", "p._r2").alias("_r"))
     given = F.nullif(F.col("_r.verdict"), F.lit(""))
     pick = lambda name: F.coalesce(F.nullif(F.col(f"_r.{name}"), F.lit("")), F.col(name))
-    preds = F.when(F.size("_r.predictions") > 0, F.transform("_r.predictions", F.trim)).otherwise(F.col("predictions"))
+    preds = F.when(F.size("_r.predictions") > 0, F.transform("_r.predictions", lambda t: F.trim(t))).otherwise(F.col("predictions"))
     return j.withColumns({
         "verdict": F.coalesce(given, own),
         "verdict_reason": F.when(given.isNull(), why).otherwise(F.coalesce(

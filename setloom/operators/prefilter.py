@@ -52,7 +52,7 @@ def normalise_gsea(raw: DataFrame) -> DataFrame:
     """
     t = rename_headers(raw, GSEA_HEADERS, {"term", "nes", "q_value", "size"})
     text = lambda c: F.col(c) if c in t.columns else F.lit(None).cast("string")
-    genes = F.filter(F.transform(F.split(F.coalesce(text("leading_edge"), F.lit("")), ","), F.trim), lambda g: g != "")
+    genes = F.filter(F.transform(F.split(F.coalesce(text("leading_edge"), F.lit("")), ","), lambda t: F.trim(t)), lambda g: g != "")
     out = t.select(
         "study_id", "rec_ord", "term", text("source").alias("source"), _number("nes").alias("nes"),
         _number("q_value").alias("q_value"), _number("size").cast("int").alias("size"), genes.alias("leading_edge"))

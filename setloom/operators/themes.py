@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug, text_variants
 from ..params import LinkSettings
+from ..session import cut_lineage
 from ..sources.rules import Pattern, Rule, RuleBook
 from .scan import ordered_scan
 
@@ -56,20 +57,21 @@ def match_themes(
     used = sorted({t for r in book.rules for p in (*r.canonical, *r.positive, *r.negative) for t in p.targets if t in forms})
     staged = records.withColumn("_forms", F.struct(*[forms[t].alias(t) for t in used]))
     variants = {t: F.col(f"_forms.{t}") for t in used}
-    gains = F.array(*[rule_weight(r, variants) for r in book.rules])
-    weighed = staged.select(*keep, F.posexplode(gains).alias("_rule", "_w")).where(F.col("_w") > 0)
-    parts = F.array(*[
-        F.array(*[
-            F.struct(F.lit(100 * i + j).alias("theme_ord"), F.lit(t).alias("theme"), F.lit(f).alias("factor"))
-            for j, (t, f) in enumerate(r.contributions)])
-        for i, r in enumerate(book.rules)])
-    given = weighed.select(*keep, "_w", F.explode(F.get(parts, F.col("_rule"))).alias("_p")).select(
-        *keep, F.col("_p.theme_ord").alias("theme_ord"), F.col("_p.theme").alias("theme"),
-        (F.col("_w") * F.col("_p.factor")).alias("_gain"))
-    if all(len(r.contributions) == 1 for r in book.rules):
-        # Every theme has one source per record: nothing to add up.
-        return given.withColumnRenamed("_gain", "weight")
-    return given.groupBy(*keep, "theme").agg(F.sum("_gain").alias("weight"), F.min("theme_ord").alias("theme_ord"))
+    weighed = staged.select(*keep, F.array(*[rule_weight(r, variants) for r in book.rules]).alias("_w"))
+    sources: dict[str, list[tuple[int, int, float]]] = {}
+    for i, r in enumerate(book.rules):
+        for j, (theme, factor) in enumerate(r.contributions):
+            sources.setdefault(theme, []).append((i, 100 * i + j, factor))
+    entries = []
+    for theme, given in sources.items():
+        total, seen = F.lit(0.0), F.lit(None).cast("int")
+        for i, place, factor in given:
+            w = F.get("_w", F.lit(i))
+            total = total + w * factor
+            seen = F.coalesce(seen, F.when(w > 0, place))
+        entries.append(F.struct(F.lit(theme).alias("theme"), total.alias("weight"), seen.alias("theme_ord")))
+    found = weighed.select(*keep, F.explode(F.filter(F.array(*entries), lambda e: e["weight"] > 0)).alias("_e"))
+    return found.select(*keep, "_e.theme", "_e.weight", "_e.theme_ord")
 
 
 def _priority(book: RuleBook, theme: Column) -> Column:
@@ -111,6 +113,8 @@ def group_themes(records: DataFrame, book: RuleBook, settings: LinkSettings, cap
     matched = match_themes(
         same, book, "term", "source", keep=[*THEME, *cols, "rec_ord", "_copies"]
     ).withColumn("weight", F.col("weight") * F.col("_copies")).drop("_copies")
+    # One row per matched term and theme, read by several steps.
+    matched = cut_lineage(matched)
     ranked = rank_themes(matched, book)
     w = Window.partitionBy(*THEME).orderBy(F.col("ranking_score").desc(), "first_seen")
     kept = ranked.withColumn("theme_pos", F.row_number().over(w))
@@ -141,7 +145,7 @@ def group_themes(records: DataFrame, book: RuleBook, settings: LinkSettings, cap
     rest = queue.where(~F.col("_single")).join(last, THEME).select(
         *THEME, F.col("_last.theme_pos").alias("theme_pos"), F.col("_last.label").alias("label"),
         F.lit(1).alias("late"), "rec_ord", *cols)
-    return parts.unionByName(rest)
+    return cut_lineage(parts.unionByName(rest))
 
 
 def summarise_themes(grouped: DataFrame, settings: LinkSettings, total_cap: int) -> DataFrame:

@@ -100,5 +100,5 @@ def read_reviews(spark: SparkSession, folder: str, claims: DataFrame) -> DataFra
     a, b = r.alias("a"), last.alias("b")
     same = (F.col("a.study_id") == F.col("b.study_id")) & (F.col("a.theme_id") == F.col("b.theme_id")) & F.col(
         "a.helper_name").eqNullSafe(F.col("b.helper_name"))
-    clean = F.filter(F.transform("predictions", F.trim), lambda p: p != "")
+    clean = F.filter(F.transform("predictions", lambda t: F.trim(t)), lambda p: p != "")
     return a.join(b, same).select("a.*", "b._c.*").withColumn("predictions", clean).fillna({"verdict": "Hypothesis"})

@@ -45,7 +45,7 @@ def read_exons(spark: SparkSession, path) -> DataFrame:
     """Exon rows of a GTF file with gene and exon ids and all attributes as a map."""
     schema = "chrom string, source string, type string, start long, end long, score string, strand string, frame string, attrs string"
     g = spark.read.options(sep="\t", comment="#", quote="").schema(schema).csv(path).where(F.col("type") == "exon")
-    pairs = F.filter(F.transform(F.split("attrs", r";\s*"), F.trim), lambda a: a != "")
+    pairs = F.filter(F.transform(F.split("attrs", r";\s*"), lambda t: F.trim(t)), lambda a: a != "")
     entries = F.transform(pairs, lambda a: F.struct(
         F.regexp_extract(a, r"^(\S+)", 1).alias("k"), F.regexp_extract(a, r'^\S+\s+"?([^"]*)"?$', 1).alias("v")))
     # Repeated attributes (tags) keep their first value.
@@ -138,7 +138,7 @@ def merge_metric(metrics: DataFrame, metric: str, samples: list[str]) -> DataFra
 def read_verification(spark: SparkSession, path, study_id: str = "S") -> DataFrame:
     """Pipe-separated verification rows with at least seven fields; header and rule lines skipped."""
     t = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").rlike("^(-|theme)"))
-    p = t.select(F.monotonically_increasing_id().alias("row_ord"), F.transform(F.split("value", r"\|"), F.trim).alias("_p"))
+    p = t.select(F.monotonically_increasing_id().alias("row_ord"), F.transform(F.split("value", r"\|"), lambda t: F.trim(t)).alias("_p"))
     names = ["theme", "direction", "cell_type", "decision", "effect_size", "q_value", "reason"]
     return p.where(F.size("_p") >= 7).select(
         F.lit(study_id).alias("study_id"), "row_ord", *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
