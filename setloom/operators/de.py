@@ -26,6 +26,7 @@ def size_factors(counts: DataFrame, samples: DataFrame, hot_rows: int | None = H
         "_k", F.count(F.lit(1)).over(row)).withColumn("_lg", F.avg("_ln").over(row))
     ratio = cells.join(n_samples(samples), "study_id").where(F.col("_k") == F.col("n_samples")).select(
         "study_id", "sample_id", (F.col("_ln") - F.col("_lg")).alias("_r"))
+    ratio = cut_lineage(ratio)
     mid = group_quantile(ratio, ["study_id", "sample_id"], "_r", 0.5, "_mid", hot_rows=hot_rows)
     # One row per sample: kept, because every later step reads it again.
     return cut_lineage(mid.select("study_id", "sample_id", F.exp("_mid").alias("size_factor")))

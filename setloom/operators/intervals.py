@@ -39,7 +39,8 @@ def _spread(side: DataFrame, tag: str, other_levels: Column) -> DataFrame:
         ),
     ).drop("_others")
     w = _width(F.col("_level"))
-    return levelled.withColumn("_bin", F.explode(F.sequence(F.floor(s / w), F.floor(e / w))))
+    return levelled.withColumn("_bin", F.explode(F.sequence(F.floor(s / w), F.floor(e / w)))).withColumn(
+        f"{tag}_bin_start", F.col("_bin") * w)
 
 
 def _side(df: DataFrame, tag: str, keys: list[str]) -> DataFrame:
@@ -67,13 +68,16 @@ def overlap_join(
     levels_a = left.agg(F.collect_set(f"{ta}_level")).scalar()
     levels_b = right.agg(F.collect_set(f"{tb}_level")).scalar()
     la = _spread(left, ta, levels_b)
-    lb = _spread(right, tb, levels_a)
+    lb = _spread(right, tb, levels_a).drop(f"{tb}_bin_start")
     joined = la.join(lb, [*keys, "_level", "_bin"])
     meet = F.greatest(f"{ta}_level", f"{tb}_level") == F.col("_level")
     later = F.greatest(f"{ta}_start", f"{tb}_start")
-    once = F.floor(later / _width(F.col("_level"))) == F.col("_bin")
+    # A common bin cannot end before the later start, so the pair belongs to this bin unless
+    # the later start lies before it.
+    once = later >= F.col(f"{ta}_bin_start")
     touch = (F.col(f"{ta}_start") <= F.col(f"{tb}_end")) & (F.col(f"{tb}_start") <= F.col(f"{ta}_end"))
-    return joined.where(meet & touch & once).drop("_level", "_bin", f"{ta}_level", f"{tb}_level")
+    return joined.where(meet & touch & once).drop(
+        "_level", "_bin", f"{ta}_level", f"{tb}_level", f"{ta}_bin_start")
 
 
 def saf_overlaps(enhancers: DataFrame, annotation: DataFrame) -> DataFrame:

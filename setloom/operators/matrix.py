@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .scan import HOT_ROWS, group_quantile, ordered_scan
+from .scan import HOT_ROWS, group_quantile, has_hot_group, ordered_scan
 
 CELL = ["study_id", "feature_id", "sample_id"]
 
@@ -196,7 +196,9 @@ def tmm_factors(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Trimmed-mean-of-M normalisation factor of each sample: (study_id, sample_id, norm_factor)."""
-    cells = counts.where(F.col("value") > 0)
+    # The cells are read five times below; kept once, as is each pairing with the reference.
+    cells = cut_lineage(counts.where(F.col("value") > 0).select(*CELL, "value"))
+    hot_rows = hot_rows if has_hot_group(cells, ["study_id", "sample_id"], hot_rows) else None
     libs = library_sizes(cells)
     n_feat = cells.groupBy("study_id").agg(F.count_distinct("feature_id").alias("_nf"))
     nnz = cells.groupBy("study_id", "sample_id").agg(F.count(F.lit(1)).alias("_nnz"))
@@ -214,12 +216,13 @@ def tmm_factors(
         "study_id", "feature_id", F.col("value").alias("_yr"), F.col("lib_size").alias("_nr"))
     y, n, yr, nr = (F.col(c) for c in ("value", "lib_size", "_yr", "_nr"))
     pairs = obs.join(ref_cells, ["study_id", "feature_id"]).select(
-        "study_id", "sample_id", "feature_id",
+        "study_id", "sample_id",
         # Rounded, so that equal ratios stay equal whatever order they were computed in.
         F.round(F.log2(y / n) - F.log2(yr / nr), 12).alias("_m"),
         F.round((F.log2(y / n) + F.log2(yr / nr)) / 2, 12).alias("_a"),
         ((n - y) / n / y + (nr - yr) / nr / yr).alias("_v"),
     )
+    pairs = cut_lineage(pairs)
     key = ["study_id", "sample_id"]
     band_m = _rank_band(pairs, key, "_m", logratio_trim, hot_rows)
     band_a = _rank_band(pairs, key, "_a", sum_trim, hot_rows)

@@ -24,7 +24,7 @@ def has_hot_group(df: DataFrame, keys: list[str], hot_rows: int | None) -> bool:
     """Whether any group is larger than ``hot_rows``. ``None``: small by construction."""
     if hot_rows is None:
         return False
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     top = sizes.agg(F.max("_n")).first()[0]
     return top is not None and top > hot_rows
 

@@ -31,8 +31,8 @@ def run_linking(
     reviewers supplied; without them every step falls back to its rule. Condensed themes
     and reviewed claims are a few dozen rows per study and are kept between the steps.
     """
-    ranked = rank_helpers(helpers, settings)
-    records = split_directions(gsea, settings)
+    ranked = cut_lineage(rank_helpers(helpers, settings))
+    records = cut_lineage(split_directions(gsea, settings))
     found = build_themes(records, book, settings, settings.linker_theme_cap, settings.linker_theme_cap_total)
     background = lk.background_tokens(forms)
     themes = cut_lineage(lk.with_theme_tokens(found, background))
@@ -48,7 +48,7 @@ def run_linking(
         valid = lk.validate_claims(linker_items, themes, ranked, settings.claims_per_batch)
     claims = lk.dedupe_claims(lk.batch_claims(valid, batched, settings))
     claims = lk.add_background_claims(cut_lineage(claims), themes)
-    claims = lk.cover_directions(claims, themes, settings.coverage_cap)
+    claims = cut_lineage(lk.cover_directions(claims, themes, settings.coverage_cap))
     claims = cut_lineage(lk.prioritise_claims(claims, settings))
 
     chosen, kept = lk.select_themes(themes, claims, ranked, settings)
