@@ -58,7 +58,7 @@ def overlap_join(
 ) -> DataFrame:
     """All overlapping pairs. Payload columns come back prefixed with the two tags.
 
-    The equi-join key is (keys, level, bin); a crowded bin is split at run time by the
+    The equi-join key is (keys, level, bin, channel); a crowded bin is split at run time by the
     adaptive skew-join rule. Rows with start > end never match.
     """
     keys = keys or ["chrom"]
@@ -69,15 +69,20 @@ def overlap_join(
     levels_b = right.agg(F.collect_set(f"{tb}_level")).scalar()
     la = _spread(left, ta, levels_b)
     lb = _spread(right, tb, levels_a).drop(f"{tb}_bin_start")
-    joined = la.join(lb, [*keys, "_level", "_bin"])
-    meet = F.greatest(f"{ta}_level", f"{tb}_level") == F.col("_level")
+    # Two visitors never need to meet. Channel 1 holds the left rows at home, channel 2 the
+    # left visitors; right rows at home are in both, right visitors only in the first.
+    home_a, home_b = F.col(f"{ta}_level") == F.col("_level"), F.col(f"{tb}_level") == F.col("_level")
+    la = la.withColumn("_channel", F.when(home_a, 1).otherwise(2))
+    both, one = F.array(F.lit(1), F.lit(2)), F.array(F.lit(1))
+    lb = lb.withColumn("_channel", F.explode(F.when(home_b, both).otherwise(one)))
+    joined = la.join(lb, [*keys, "_level", "_bin", "_channel"])
     later = F.greatest(f"{ta}_start", f"{tb}_start")
     # A common bin cannot end before the later start, so the pair belongs to this bin unless
     # the later start lies before it.
     once = later >= F.col(f"{ta}_bin_start")
     touch = (F.col(f"{ta}_start") <= F.col(f"{tb}_end")) & (F.col(f"{tb}_start") <= F.col(f"{ta}_end"))
-    return joined.where(meet & touch & once).drop(
-        "_level", "_bin", f"{ta}_level", f"{tb}_level", f"{ta}_bin_start")
+    return joined.where(touch & once).drop(
+        "_level", "_bin", "_channel", f"{ta}_level", f"{tb}_level", f"{ta}_bin_start")
 
 
 def saf_overlaps(enhancers: DataFrame, annotation: DataFrame) -> DataFrame:

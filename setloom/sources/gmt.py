@@ -12,7 +12,7 @@ def _lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8")
     The position is the running number of the line inside its file: start offset order of
     the splits, then order inside the split.
     """
-    raw = spark.read.option("encoding", encoding).option("sep", "").option("quote", "").option(
+    raw = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").option(
         "escape", "").option("maxCharsPerColumn", "-1").option("ignoreLeadingWhiteSpace", "false").option(
         "ignoreTrailingWhiteSpace", "false").schema("value string").csv(paths)
     return raw.select(
