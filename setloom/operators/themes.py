@@ -126,8 +126,8 @@ def group_themes(records: DataFrame, book: RuleBook, settings: LinkSettings, cap
 
     # Unmatched records, repeated as often as they occur.
     hit = matched.select(*THEME, "rec_ord").distinct()
-    loose = records.join(same.select(*THEME, *[F.col(c) for c in cols], F.col("rec_ord").alias("_first")), [*THEME, *cols])
-    loose = loose.join(hit.withColumnRenamed("rec_ord", "_first"), [*THEME, "_first"], "left_anti")
+    loose = records.withColumn("_first", F.min("rec_ord").over(Window.partitionBy(*THEME, *cols)))
+    loose = loose.join(hit.withColumnRenamed("rec_ord", "_first"), [*THEME, "_first"], "left_anti").drop("_first")
     n_kept = kept.groupBy(*THEME).agg(F.count(F.lit(1)).alias("_kept"))
     queue = ordered_scan(
         loose.join(n_kept, THEME, "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))),
