@@ -310,12 +310,30 @@ def colour_breaks(values: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFra
     return lo.join(hi, "study_id")
 
 
-def value_quantiles(values: DataFrame, steps: int = 100) -> DataFrame:
-    """The quantile vector 0..1 of all cells of a study, counted by distinct value."""
-    distinct = values.where(F.col("value").isNotNull()).groupBy("study_id", "value").agg(
-        F.count(F.lit(1)).alias("_c"))
-    probs = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    return distinct.groupBy("study_id").agg(F.percentile("value", probs, F.col("_c")).alias("quantiles"))
+def value_quantiles(values: DataFrame, steps: int = 100, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """The quantiles at 0, 1/steps, ..., 1 of all cells of a study: (study_id, step, quantile).
+
+    Equal values are counted first; each distinct value then knows which of the wanted
+    order statistics it is, so no group is gathered.
+    """
+    counts = values.where(F.col("value").isNotNull()).groupBy("study_id", "value").agg(F.count(F.lit(1)).alias("_c"))
+    cum = ordered_scan(counts, ["study_id"], [F.col("value")], rank=None, sums={"_cum": F.col("_c")}, hot_rows=hot_rows)
+    total = counts.groupBy("study_id").agg(F.sum("_c").alias("_n"))
+    j = cum.join(total, "study_id").withColumn("_first", F.col("_cum") - F.col("_c"))
+
+    def place(i: Column) -> Column:
+        return (F.col("_n") - 1) * i / F.lit(float(steps))
+
+    def holds(at: Column) -> Column:
+        return (at >= F.col("_first")) & (at < F.col("_cum"))
+
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(steps)), lambda i: holds(F.floor(place(i))) | holds(F.ceil(place(i))))
+    hit = j.select("study_id", "value", "_n", "_first", "_cum", F.explode(wanted).alias("step"))
+    pos = place(F.col("step"))
+    ends = hit.groupBy("study_id", "step").agg(
+        F.max(F.when(holds(F.floor(pos)), F.col("value"))).alias("_lo"),
+        F.max(F.when(holds(F.ceil(pos)), F.col("value"))).alias("_hi"), F.max(pos - F.floor(pos)).alias("_f"))
+    return ends.select("study_id", "step", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
 
 
 def detection_rate(counts: DataFrame, samples: DataFrame, above: float = 1.0) -> DataFrame:

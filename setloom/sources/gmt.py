@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import ordered_scan
+
 
 def _lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """Lines with their file and position: (file, line_no, value). Files are split at line ends.
@@ -40,16 +42,15 @@ def read_sets(
     or fewer than ``min_members`` members drop out; repeated members and names stay.
     """
     rows = _lines(spark, paths, encoding)
-    first = Window.partitionBy("file")
-    head = rows.withColumn("_lead", F.min(F.struct("_block", "_seq")).over(first))
-    body = head.where(~((F.struct("_block", "_seq") == F.col("_lead")) & F.col("value").rlike(r"^\s*#")))
+    at = F.struct("_block", "_seq")
+    lead = rows.groupBy("file").agg(F.min(at).alias("_lead"))
+    body = rows.join(lead, "file").where(~((at == F.col("_lead")) & F.col("value").rlike(r"^\s*#")))
     fields = body.select("file", "_block", "_seq", F.split(F.regexp_replace(ascii_fold(F.col("value")), r"\t+$", ""), "\t").alias("_f"))
-    kept = fields.where((F.size("_f") >= 3) & (F.size("_f") - 2 >= min_members))
-    # One number per set line, in reading order; set files hold at most some 10^5 lines.
-    w = Window.orderBy("file", "_block", "_seq")
-    sets = kept.select(F.row_number().over(w).alias("set_ord"), F.get("_f", F.lit(0)).alias("set_name"),
-                       F.slice("_f", 3, 2**31 - 1).alias("_m"))
-    return sets.select(F.lit(study_id).alias("study_id"), "set_ord", "set_name", F.posexplode("_m").alias("member_ord", "member"))
+    kept = fields.where((F.size("_f") >= 3) & (F.size("_f") - 2 >= min_members)).withColumn("study_id", F.lit(study_id))
+    placed = ordered_scan(kept, ["study_id"], [F.col("file"), F.col("_block"), F.col("_seq")], "set_ord")
+    sets = placed.select("study_id", F.col("set_ord").cast("int").alias("set_ord"), F.get("_f", F.lit(0)).alias("set_name"),
+                         F.slice("_f", 3, 2**31 - 1).alias("_m"))
+    return sets.select("study_id", "set_ord", "set_name", F.posexplode("_m").alias("member_ord", "member"))
 
 
 def read_library(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -58,8 +58,9 @@ def _selected(spark, sf):
     from pyspark.sql import Window
 
     names = table(spark, sf, "part").select(F.col("p_type").alias("set_name")).distinct()
-    w = Window.orderBy("set_name")
-    return names.select(F.lit("L").alias("study_id"), "set_name", F.row_number().over(w).alias("set_ord"))
+    named = names.select(F.lit("L").alias("study_id"), "set_name")
+    w = Window.partitionBy("study_id").orderBy("set_name")
+    return named.withColumn("set_ord", F.row_number().over(w))
 
 
 def _overlapping(spark, sf):

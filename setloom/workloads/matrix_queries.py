@@ -72,9 +72,7 @@ def colour_breaks(spark, sf):
 
 
 def value_quantiles(spark, sf):
-    q = mx.value_quantiles(counts(spark, sf), 20)
-    return q.select("study_id", F.posexplode("quantiles").alias("step", "quantile")).withColumn(
-        "quantile", F.round("quantile", 6))
+    return rounded(mx.value_quantiles(counts(spark, sf), 20), "quantile")
 
 
 def detection_rate(spark, sf):
