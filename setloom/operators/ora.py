@@ -174,7 +174,7 @@ def annotate_top1(
     per set size (at most max_size - min_size + 1 rows per helper) instead of one row per
     set. An overlap of 0 is tested like an overlap of 1, as in the original procedure.
     """
-    genes = members_to_genes(edges.distinct(), association)
+    genes = cut_lineage(members_to_genes(edges.distinct(), association))
     pool = association.select(F.col("symbol").cast("string").alias("member")).where(
         F.coalesce("member", F.lit("")) != "").distinct()
     n_pool = pool.agg(F.count(F.lit(1))).scalar()
@@ -197,7 +197,8 @@ def annotate_top1(
         F.from_json("a", "study_id string, helper string").alias("_h"),
         F.col("b").cast("long").alias("set_ord"), F.col("n").alias("k"),
     ).select("_h.study_id", "_h.helper", "set_ord", "k")
-    met = shared.join(ordered, "set_ord").join(b, ["study_id", "helper"])
+    # Overlapping (helper, set) pairs, read twice below.
+    met = cut_lineage(shared.join(ordered, "set_ord").join(b, ["study_id", "helper"]))
 
     used = met.groupBy("study_id", "helper", "a").agg(
         F.array_sort(F.collect_list("_pos")).alias("_taken"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug, text_variants
 from ..params import LinkSettings
-from ..session import cut_lineage
+from ..session import cut_lineage, fill_cores
 from ..sources.rules import Pattern, Rule, RuleBook
 from .scan import ordered_scan
 
@@ -55,7 +55,7 @@ def match_themes(
     forms = text_variants(
         F.col(term), F.col(source) if source else None, F.col(description) if description else None)
     used = sorted({t for r in book.rules for p in (*r.canonical, *r.positive, *r.negative) for t in p.targets if t in forms})
-    staged = records.withColumn("_forms", F.struct(*[forms[t].alias(t) for t in used]))
+    staged = fill_cores(records.select(*dict.fromkeys([*keep, term, *[c for c in (source, description) if c]]))).withColumn("_forms", F.struct(*[forms[t].alias(t) for t in used]))
     variants = {t: F.col(f"_forms.{t}") for t in used}
     weighed = staged.select(*keep, F.array(*[rule_weight(r, variants) for r in book.rules]).alias("_w"))
     sources: dict[str, list[tuple[int, int, float]]] = {}

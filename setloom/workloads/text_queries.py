@@ -216,7 +216,7 @@ _DT = """dt AS (SELECT DISTINCT term FROM px), tok AS (SELECT DISTINCT theme, te
 ORACLES = {
     "theme_match": f"WITH {_PARTS}, {_w('px', 'rec_ord')} SELECT rec_ord, theme, round(CAST(weight AS DOUBLE), 6) AS weight FROM mt",
     "theme_rank": f"""WITH {_PARTS}, {_w('px', 'rec_ord, study_id, direction, score')} SELECT study_id, direction, theme, count(*) AS n_terms,
-      round(CAST(sum(score * weight) / sum(weight) * (1 + any_value(CASE theme WHEN 'Metal parts' THEN 90 WHEN 'Coloured goods' THEN 70 ELSE 50 END) / 100.0) AS DOUBLE), 6) AS ranking_score FROM mt GROUP BY ALL""",
+      round(round(CAST(sum(score * weight) / sum(weight) * (1 + any_value(CASE theme WHEN 'Metal parts' THEN 90 WHEN 'Coloured goods' THEN 70 ELSE 50 END) / 100.0) AS DOUBLE), 12), 6) AS ranking_score FROM mt GROUP BY ALL""",
     "theme_documents": f"WITH dd AS (SELECT doc_id, text AS term FROM documents), {_lang('dd', 'doc_id')} SELECT * FROM lang WHERE weight > 0",
     "theme_conversations": f"""WITH dd AS (SELECT conv_id, turn, text AS term FROM conversations), {_lang('dd', 'conv_id, turn')}
       SELECT conv_id, theme, sum(weight) AS weight, count(*) AS turns FROM lang WHERE weight > 0 GROUP BY ALL""",
