@@ -48,12 +48,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def fill_cores(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer partitions than cores before work that is heavy per row.
-
-    Inputs of cluster size have far more partitions than cores and are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -227,6 +227,11 @@ ORACLES = {
       SELECT study_id, direction, rec_ord, term, nes, score FROM k WHERE ok OR rn <= 40 - have""",
     "theme_audit_tokens": f"WITH {_PARTS}, {_w('px', 'term')}, {_DT} SELECT theme, item, count(*) AS n FROM t GROUP BY ALL",
     "theme_audit_bigrams": f"WITH {_PARTS}, {_w('px', 'term')}, {_DT} SELECT theme, upper(term) AS item, count(*) AS n FROM tok GROUP BY ALL",
+    "synonym_suggestions": f"""WITH {_PARTS}, {_w('px', 'term')}, {_DT}, c AS (SELECT theme, count(*) AS c FROM tok GROUP BY 1),
+      k AS (SELECT theme, item, count(*) AS n FROM t GROUP BY ALL),
+      f AS (SELECT k.* FROM k JOIN c USING (theme) WHERE n >= greatest(2, ceil(c * 0.12)) AND item NOT IN ({', '.join(repr(x) for x in audit.GENERIC + audit.BARRED)})
+        AND NOT (theme = 'Metal parts' AND item = 'RING') AND NOT (theme = 'Machines' AND item IN ('LARGE', 'GEAR')))
+      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY theme ORDER BY n DESC, item) AS INTEGER) AS place FROM f) WHERE place <= 5""",
     "library_breakdown": f"""WITH px AS (SELECT p_partkey AS id, p_name AS term, p_type AS source FROM part), {_w('px', 'id, source')}
       SELECT theme, source, count(*) AS n FROM mt GROUP BY ALL""",
     "missing_seeds": "SELECT 'Metal parts' AS theme, 'BRASS_RING' AS term WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_name = 'brass ring')",
