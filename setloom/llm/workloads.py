@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality_rules
 from .text import table
 
 VOCABULARY = bpe.Vocabulary(
@@ -23,8 +23,54 @@ def op1_bpe_round_trip(spark, sf):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_quality_rules(spark, sf):
+    """Every document under the line rules: counts and verdict."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality_rules.apply_rules(docs).select(
+        "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lost_words", "n_failed_lines")
+
+
+_PHRASES = "|".join(quality_rules.STOCK_PHRASES)
+_SEPARATORS = ", ".join(f"'{x}'" for x in quality_rules.SEPARATORS)
+_CLOSING = quality_rules.CLOSING.replace("'", "''")
+
+QUALITY_RULES_SQL = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t,
+                 unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM docs),
+cut AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM lines),
+sized AS (SELECT *, len(w) AS n, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS s,
+                 len(list_filter(w, lambda x: contains(x, '!'))) AS loud,
+                 len(list_filter(w, lambda x: x IN ({_SEPARATORS}))) AS alone FROM cut),
+judged AS (SELECT *, n > 0 AND (NOT contains('{_CLOSING}', right(w[-1], 1))
+                 OR s * 10 > length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))
+                 OR (loud >= 3 AND loud * 3 > n) OR (alone >= 3 AND alone * 4 >= n)
+                 OR regexp_matches(t, '(?i){_PHRASES}')) AS f FROM sized),
+per_doc AS (SELECT doc_id, sum(n)::BIGINT AS n_words, sum(s)::BIGINT AS n_symbols,
+                   sum(list_sum(list_transform(w, lambda x: length(x))))::BIGINT AS word_chars,
+                   (count(*) FILTER (n > 0) - count(DISTINCT t) FILTER (n > 0))::BIGINT AS n_dup_lines,
+                   coalesce(sum(n) FILTER (f), 0)::BIGINT AS lost_words, count(*) FILTER (f) AS n_failed_lines
+            FROM judged GROUP BY 1),
+one AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM docs),
+grams AS (SELECT doc_id, i, w[i:i + 4] AS g
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM one WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n
+            FROM twice, (SELECT unnest(range(0, 5)) AS j) GROUP BY 1),
+based AS (SELECT p.*, coalesce(c.n, 0) AS n_repeat_words,
+                 n_words < 10 OR coalesce(c.n, 0) * 100 > n_words * 20 AS base_failed
+          FROM per_doc p LEFT JOIN covered c USING (doc_id))
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND lost_words <= n_words * 0.3::DOUBLE AS kept, lost_words, n_failed_lines
+FROM based
+"""
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op7_quality_rules": op7_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_quality_rules": QUALITY_RULES_SQL,
+}
