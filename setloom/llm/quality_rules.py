@@ -106,7 +106,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def apply_rules(df: DataFrame, text: str = "text", min_words: int = 10, max_repeat_pct: int = 20,
-                max_lost: float = 0.3) -> DataFrame:
+                max_lost: float = 0.5) -> DataFrame:
     """All rows with counts, ``base_failed``, ``kept`` and the text without its failing lines in ``text``.
 
     The text of a null row stays null. No row is dropped: filter on ``kept``.
