@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality_rules
+from . import bpe, chat, quality_rules, sharding, simhash
 from .text import table
 
 VOCABULARY = bpe.Vocabulary(
@@ -23,6 +23,19 @@ def op1_bpe_round_trip(spark, sf):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_simhash(spark, sf):
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_best_fit_shards(spark, sf):
+    """All documents in sixteen shards of near equal bytes; equal texts stay together."""
+    placed = sharding.shard(table(spark, sf, "documents").select("doc_id", "text"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_quality_rules(spark, sf):
     """Every document under the line rules: counts and verdict."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -100,6 +113,8 @@ FROM based
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_simhash": op3_simhash,
+    "op5_best_fit_shards": op5_best_fit_shards,
     "op7_quality_rules": op7_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
