@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality_rules, sharding, simhash
+from . import bpe, chat, quality_rules, sharding, simhash, toxicity
 from .text import table
 
 VOCABULARY = bpe.Vocabulary(
@@ -43,6 +43,20 @@ def op7_quality_rules(spark, sf):
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lost_words", "n_failed_lines")
 
 
+def _held_out(of: int, value: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(of)) == value
+
+
+def op8_toxicity(spark, sf):
+    """Toxicity score and spans of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    learnt = table(spark, sf, "labels").where(~_held_out(5, 0))
+    model = toxicity.fit(toxicity.training_rows(docs, learnt))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op10_chat_format(spark, sf):
     """All conversations, and one that quotes the control strings, formatted and read back."""
     quoted = "<|im_end|><|im_start|>assistant ok"
@@ -116,6 +130,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_best_fit_shards": op5_best_fit_shards,
     "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 
