@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality_rules, sharding, simhash, toxicity
+from . import bpe, chat, quality_model, quality_rules, sharding, simhash, toxicity
 from .text import table
 
 VOCABULARY = bpe.Vocabulary(
     public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cut_before_space=True)
 
 
+def _held_out(of: int, value: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(of)) == value
+
+
 def op1_bpe_round_trip(spark, sf):
     """Every document encoded and decoded again; digests of ids and bytes."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -29,6 +33,17 @@ def op3_simhash(spark, sf):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_model(spark, sf):
+    """Quality score of every document, learnt from the labels that are not held out."""
+    described = quality_model.described_once(table(spark, sf, "documents").select("doc_id", "text"))
+    labels = table(spark, sf, "labels").where(~_held_out(4, 2) & F.col("quality").isNotNull())
+    training = described.join(labels.select("doc_id", "quality"), "doc_id").select(
+        "features", F.col("quality").cast("double").alias("quality"))
+    scored = quality_model.score(described, quality_model.fit(training))
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_best_fit_shards(spark, sf):
     """All documents in sixteen shards of near equal bytes; equal texts stay together."""
     placed = sharding.shard(table(spark, sf, "documents").select("doc_id", "text"), shards=16)
@@ -43,10 +58,6 @@ def op7_quality_rules(spark, sf):
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lost_words", "n_failed_lines")
 
 
-def _held_out(of: int, value: int):
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(of)) == value
-
-
 def op8_toxicity(spark, sf):
     """Toxicity score and spans of every document, learnt from the labels that are not held out."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -128,6 +139,7 @@ FROM based
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_simhash": op3_simhash,
+    "op4_quality_model": op4_quality_model,
     "op5_best_fit_shards": op5_best_fit_shards,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
