@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, own_names
+from .text import SPACE, own_names, sealed
 
 # Stock phrases of web pages, in lower case.
 STOCK_PHRASES = (
@@ -116,6 +116,6 @@ def apply_rules(df: DataFrame, text: str = "text", min_words: int = 10, max_repe
     lost = F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["f"], x["n"]).otherwise(0))
     failed = F.size(F.filter("_lines", lambda x: x["f"])).cast("long")
     clean = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["f"]), lambda x: x["t"]), "\n")
-    step = step.withColumns({"lost_words": lost, "n_failed_lines": failed, "base_failed": base})
+    step = sealed(step).withColumns({"lost_words": lost, "n_failed_lines": failed, "base_failed": base})
     step = step.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * max_lost))
     return step.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), clean)).drop("_lines")

@@ -40,6 +40,11 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows; filters on them are not moved below, where each would repeat the expressions it looks at."""
+    return df.withColumn("_seal", F.monotonically_increasing_id()).where("_seal >= 0").drop("_seal")
+
+
 def own_names(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that an operator is about to add itself, whatever their case."""
     taken = {n.lower() for n in names}

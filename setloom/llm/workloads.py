@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality_model, quality_rules, sharding, simhash, toxicity
+from . import bpe, chat, licenses, line_dedup, quality_model, quality_rules, sharding, simhash, toxicity
 from .text import table
 
 VOCABULARY = bpe.Vocabulary(
@@ -51,6 +51,13 @@ def op5_best_fit_shards(spark, sf):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_license_scan(spark, sf):
+    """License notices of every document, with the share of the notice's shingles that the document has."""
+    templates = spark.createDataFrame(licenses.TEMPLATES, "template string, body string")
+    return licenses.scan(table(spark, sf, "documents").select("doc_id", "text"), templates).select(
+        "doc_id", "template", F.round("containment", 9).alias("containment"))
+
+
 def op7_quality_rules(spark, sf):
     """Every document under the line rules: counts and verdict."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -68,6 +75,13 @@ def op8_toxicity(spark, sf):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op9_line_dedup(spark, sf):
+    """Every web page's visible lines without the boilerplate of its host."""
+    pages = table(spark, sf, "pages").select(
+        "page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(pages, "host")
+
+
 def op10_chat_format(spark, sf):
     """All conversations, and one that quotes the control strings, formatted and read back."""
     quoted = "<|im_end|><|im_start|>assistant ok"
@@ -104,6 +118,58 @@ _PHRASES = "|".join(quality_rules.STOCK_PHRASES)
 _SEPARATORS = ", ".join(f"'{x}'" for x in quality_rules.SEPARATORS)
 _CLOSING = quality_rules.CLOSING.replace("'", "''")
 
+def _sql_word_list(text: str) -> str:
+    marks = licenses.MARKS.replace("'", "''")
+    return (f"list_filter(string_split_regex(regexp_replace(lower({text}), '{marks}', '', 'g'), '[\\x20\\x09-\\x0D]+'), "
+            "lambda w: w <> '')")
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.TEMPLATES)
+
+LICENSE_SQL = rf"""
+WITH known AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) v(template, body)),
+tw AS (SELECT template, {_sql_word_list("body")} AS w FROM known),
+ts AS (SELECT DISTINCT template, array_to_string(w[i:i + 4], ' ') AS g
+       FROM (SELECT template, w, unnest(range(1, len(w) - 3)) AS i FROM tw WHERE len(w) >= 5)),
+sizes AS (SELECT template, count(*) AS n FROM ts GROUP BY 1),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {_sql_word_list("text")} AS w FROM documents),
+ds AS (SELECT r, doc_id, array_to_string(w[i:i + 4], ' ') AS g
+       FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5))
+SELECT doc_id, template, round(m * 1.0::DOUBLE / n, 9) AS containment
+FROM (SELECT r, doc_id, template, count(DISTINCT g) AS m FROM ds JOIN ts USING (g) GROUP BY ALL) JOIN sizes USING (template)
+WHERE m * 1.0::DOUBLE / n >= 0.8::DOUBLE
+"""
+
+
+def _sql_entities(text: str) -> str:
+    for name, sign in line_dedup.ENTITIES:
+        text = f"replace({text}, '{name}', '{sign}')"
+    return text
+
+
+_LINE_DEDUP_SQL = r"""
+WITH pages_ AS ({source}),
+cut AS (SELECT *, string_split(text, chr(10)) AS lines FROM pages_),
+seen AS (SELECT host, key, count(*) AS n FROM (
+           SELECT host, unnest(list_distinct(list_filter(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> ''))) AS key
+           FROM cut) GROUP BY ALL),
+totals AS (SELECT host, count(*) AS total FROM pages_ GROUP BY 1),
+bad AS (SELECT host, list(key) AS keys FROM seen JOIN totals USING (host)
+        WHERE n >= 5 AND n > total * 0.02::DOUBLE GROUP BY 1),
+left_ AS (SELECT c.*, CASE WHEN b.keys IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(b.keys, x)) END AS l
+          FROM cut c LEFT JOIN bad b ON c.host IS NOT DISTINCT FROM b.host),
+held AS (SELECT *, CASE WHEN length(array_to_string(l, chr(10))) < length(text) * 0.5::DOUBLE THEN lines ELSE l END AS k
+         FROM left_)
+"""
+
+LINE_DEDUP_SQL = _LINE_DEDUP_SQL.replace("{source}", rf"""
+SELECT page_id, lower(regexp_extract(url, '{line_dedup.HOST}', 1)) AS host, regexp_replace({_sql_entities(
+    f"regexp_replace(regexp_replace(regexp_replace(html, '{line_dedup.UNSEEN}', ' ', 'g'), '{line_dedup.BREAKS}', chr(10), 'g'), "
+    f"'{line_dedup.TAGS}', '', 'g')")}, '{line_dedup.BLANKS}', chr(10), 'g') AS text FROM pages""") + """
+SELECT page_id, host, array_to_string(k, chr(10)) AS text, coalesce(len(lines), 0) AS n_lines,
+       coalesce(len(lines) - len(k), 0) AS n_dropped FROM held
+"""
+
 QUALITY_RULES_SQL = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t,
@@ -141,12 +207,16 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_quality_model": op4_quality_model,
     "op5_best_fit_shards": op5_best_fit_shards,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLES = {
     "op7_quality_rules": QUALITY_RULES_SQL,
+    "op6_license_scan": LICENSE_SQL,
+    "op9_line_dedup": LINE_DEDUP_SQL,
     "op10_chat_format": CHAT_SQL,
 }
