@@ -156,22 +156,21 @@ def fit(labelled: DataFrame) -> Model | None:
     for _ in range(ROUNDS):
         def count(batches, known=marked):
             """Documents with each feature, by class; toxic ones only while no known feature explains them."""
-            hasher, total = Hasher(), np.zeros((2, TABLES, 1 << BITS))
-            docs = np.zeros((2, TABLES, 1 << BITS))
+            hasher, total, docs = Hasher(), np.zeros((2, TABLES, 1 << BITS)), np.zeros(3)
             for batch, i, j, _, lines in _blocks_of(batches, hasher):
                 toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[i:j] == 1
                 row = np.repeat(np.arange(j - i), np.diff(lines.row_at))
                 explained = np.bincount(row, hits(lines, known), j - i) > 0
                 for y, rows in ((0, ~toxic), (1, toxic & ~explained)):
                     total[y] += _documents_with(lines, rows)
-                    docs[y, 0, 0] += rows.sum()
-                docs[1, 0, 1] += toxic.sum()
-            return np.stack([total, docs])
+                    docs[y] += rows.sum()
+                docs[2] += toxic.sum()
+            return np.concatenate([total.ravel(), docs])
 
         counted = partition_sum(labelled, count)
-        if counted is None or counted[1, 1, 0, 1] == 0:
+        if counted is None or counted[-1] == 0:
             return None
-        held, docs, toxic = counted[0], counted[1, :, 0, 0], counted[1, 1, 0, 1]
+        held, docs, toxic = counted[:-3].reshape(2, TABLES, -1), counted[-3:-1], counted[-1]
         odds = np.log((held[1] + 0.5) / (docs[1] + 1)) - np.log((held[0] + 0.5) / (docs[0] + 1))
         found = (odds >= 3) & (held[1] >= np.maximum(2, SHARE * docs[1]))
         if docs[1] < 0.02 * toxic or not found.any():
