@@ -13,8 +13,8 @@ without pairs: two fingerprints within two bits have a one-bit change in common,
 one-bit changes, and the holders of a key (65 at most) link to the least of them.
 
 Equal fingerprints are one vertex, however many documents have them. Texts without words (empty, null) have fingerprint
-zero, linked like any other. Rows without an id get a fingerprint, and the component of their fingerprint if some row
-with an id has it, else null. An empty table gives no rows.
+zero, linked like any other. Rows with the same id count as one document. Rows without an id get a fingerprint, and the
+component of their fingerprint if some row with an id has it, else null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -263,3 +263,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     named = nodes.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select(
         "fp", F.coalesce("root", "id").alias("component_id"))
     return marked.join(named, "fp", "left").select(id_column, "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3,
+                         radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its component, one for each id; rows without an id all stay."""
+    found = near_duplicates(docs, id_column, text, shingle, radius)
+    least = found.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
+    one = Window.partitionBy(id_column).orderBy(F.xxhash64(text))
+    stay = docs.join(least, id_column, "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
+    return stay.select(*docs.columns).unionAll(docs.where(F.col(id_column).isNull()))

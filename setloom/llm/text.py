@@ -125,3 +125,17 @@ def mix(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
         return h ^ (h >> np.uint64(32))
+
+
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, A-Z lower-cased and up to three marks off each edge, and where each row's words begin."""
+    starts, ends, upto = word_bounds(data, offsets)
+    data = LOWER[data]
+    for _ in range(3 if len(starts) else 0):
+        starts = starts + ((starts < ends) & _EDGE[data[np.minimum(starts, len(data) - 1)]])
+        ends = ends - ((starts < ends) & _EDGE[data[ends - 1]])
+    return hasher.ranges(hasher.prefix(data), starts, ends), upto

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, line_dedup, quality_model, quality_rules, sharding, simhash, toxicity
+from . import bpe, chat, decontaminate, licenses, line_dedup, quality_model, quality_rules, sharding, simhash, toxicity
 from .text import table
 
 VOCABULARY = bpe.Vocabulary(
@@ -27,6 +27,12 @@ def op1_bpe_round_trip(spark, sf):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_decontamination(spark, sf):
+    """Every document and benchmark item that it leaks."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf, "benchmark"))
+
+
 def op3_simhash(spark, sf):
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf, "documents"))
@@ -204,6 +210,7 @@ FROM based
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_quality_model": op4_quality_model,
     "op5_best_fit_shards": op5_best_fit_shards,
