@@ -228,7 +228,7 @@ def basis_of(passages: DataFrame, own: np.ndarray, space: Space) -> np.ndarray:
 
 def heavy_passages(texts: DataFrame, space: Space, cosine: float) -> DataFrame:
     """Distinct passages that may reach the cosine, as word ids: all, or a share chosen by hash for a large corpus."""
-    limit = np.uint64(int(min(1.0, FIT_PASSAGES / max(space.passages, 1)) * ((1 << 64) - 1)))
+    limit = np.uint64(min(int(FIT_PASSAGES / max(space.passages, 1) * (1 << 64)), (1 << 64) - 1))
 
     def run(batches):
         hasher = Hasher()
