@@ -26,6 +26,7 @@ from .sums import partition_sum
 from .text import LOWER, Hasher, blocks, bounded_batches, byte_view, own_names, word_bounds
 
 MAX_DOCS = 4000
+FIT_PARTITIONS = 8  # the sample is bounded, and so are the sums that its partitions send
 BITS = 17
 TABLES = 3
 STEPS = 8
@@ -270,14 +271,16 @@ def _spans(lines: Lines, hot: np.ndarray, data: np.ndarray, offsets: np.ndarray)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """At most about ``max_docs`` distinct labelled texts of each class, chosen by the hash of the text."""
-    both = docs.select("doc_id", "text").join(
-        labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id")
-    keyed = both.select(F.xxhash64("text").alias("h"), F.col("toxic").cast("int").alias("toxic"), "text")
-    sizes = dict(keyed.groupBy("toxic").agg(F.approx_count_distinct("h")).collect())
+    """The distinct texts of at most about ``max_docs`` labelled documents of each class, chosen by the hash of the id.
+
+    Labels are chosen first, so what is broadcast has about ``2 * max_docs`` short rows and no text moves before that.
+    """
+    known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    known = known.where(F.col("toxic").isNotNull())
     keep = F.lit(False)
-    for value, n in sizes.items():
-        limit = int(min(1.0, max_docs / max(n, 1)) * (1 << 30))
-        keep = keep | ((F.col("toxic") == value) & (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < limit))
-    chosen = keyed.where(keep).groupBy("h", "toxic").agg(F.first("text").alias("text"))
-    return cut_lineage(chosen.select("text", "toxic"))
+    for value, n in known.groupBy("toxic").count().collect():
+        limit = int(min(1.0, max_docs / n) * (1 << 30))
+        keep = keep | ((F.col("toxic") == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit))
+    both = docs.select("doc_id", "text").join(F.broadcast(known.where(keep)), "doc_id")
+    chosen = both.groupBy(F.xxhash64("text"), "toxic").agg(F.first("text").alias("text"))
+    return cut_lineage(chosen.select("text", "toxic").repartition(FIT_PARTITIONS))
