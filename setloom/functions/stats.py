@@ -143,7 +143,8 @@ def de_weight(stat: Column, pvalue: Column) -> Column:
 
 
 def signed_q(nes: Column, q: Column) -> Column:
-    return F.signum(nes) * -F.log10(q)
+    """sign(NES) * -log10(q); q = 0 counts as the smallest normal double."""
+    return F.signum(nes) * neg_log10(q)
 
 
 def neg_log10(p: Column) -> Column:

@@ -7,6 +7,9 @@ helper_q_value). ``claim_ord`` is their order; themes are ordered UP first, then
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +24,10 @@ CLAIM = [
     "function_phrases", "rationale", "confidence", "helper_top_hallmark", "helper_effect", "helper_q_value",
 ]
 THEME_ONLY = "theme_only"
-# Step between the blocks of the claim order.
-BLOCK = 1_000_000
+# Step between the blocks of the claim order; two steps and a side fit a long.
+BLOCK = 1 << 30
+# Keys an answer object may hold its text under, in this order.
+SNIPPET_KEYS = ("evidence", "snippets", "sentences", "items", "values", "text")
 
 
 def _named(c: str = "helper_name") -> Column:
@@ -34,7 +39,7 @@ def _strength(c: str = "helper_effect") -> Column:
 
 
 def _side(c: str = "direction") -> Column:
-    return F.when(F.col(c) == "UP", 0).otherwise(1)
+    return F.when(F.col(c) == "UP", F.lit(0).cast("long")).otherwise(F.lit(1).cast("long"))
 
 
 def _rank_of(confidence: Column, high: int, medium: int, low: int, other: int) -> Column:
@@ -319,22 +324,27 @@ def open_envelopes(answers: DataFrame) -> DataFrame:
     return v.select("study_id", "answer_ord", F.posexplode(entries).alias("entry_ord", "entry"))
 
 
-def collect_snippets(v: Column, depth: int = 3) -> Column:
-    """Strings of a nested answer value: text, lists, and objects under the usual keys, in order."""
-    none = F.array().cast("array<string>")
-    text = F.when(F.schema_of_variant(v) == "STRING", F.array(F.trim(F.try_variant_get(v, "$", "string"))))
-    if depth == 0:
-        return F.coalesce(text, none)
-    items = F.flatten(F.transform(
-        F.try_variant_get(v, "$", "array<variant>"), lambda e: collect_snippets(e, depth - 1)))
-    parts = [
-        F.coalesce(collect_snippets(F.try_variant_get(v, f"$.{k}", "variant"), depth - 1), none)
-        # Keys an answer object may hold its text under, in this order.
-        for k in ("evidence", "snippets", "sentences", "items", "values", "text")
-    ] if depth > 1 else []
-    nested = F.concat(*parts) if parts else none
-    found = F.coalesce(text, items, F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), nested), none)
-    return F.filter(found, lambda s: s.isNotNull() & (s != ""))
+def nested_texts(body: str | None) -> list[str]:
+    """Trimmed strings of a JSON value of any depth: text, lists, and objects under the usual keys, in order."""
+    todo, out = [json.loads(body)] if body else [], []
+    while todo:
+        value = todo.pop()
+        if isinstance(value, str):
+            out.append(value.strip(" "))
+        elif isinstance(value, list):
+            todo.extend(reversed(value))
+        elif isinstance(value, dict):
+            todo.extend(value[k] for k in reversed(SNIPPET_KEYS) if k in value)
+    return [s for s in out if s]
+
+
+def collect_snippets(v: Column) -> Column:
+    """``nested_texts`` of a variant; depth has no bound, so the walk is a batched function over the text of the value."""
+    @F.pandas_udf("array<string>")
+    def walk(bodies: pd.Series) -> pd.Series:
+        return bodies.map(nested_texts)
+
+    return walk(F.to_json(v))
 
 
 def _texts(v: Column) -> Column:

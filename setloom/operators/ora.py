@@ -32,86 +32,25 @@ def with_hypergeometric(counts: DataFrame) -> DataFrame:
     return counts.withColumn("p_hyper", F.when(F.col("K") > 0, p))
 
 
-def empirical_p(
-    counts: DataFrame,
-    sets: DataFrame,
-    draws: int = 10_000,
-    seed: int = 123,
-    chunks: int = 32,
-    max_joint: int = 2_000_000,
-) -> DataFrame:
+def empirical_p(counts: DataFrame, draws: int = 10_000, seed: int = 123) -> DataFrame:
     """(1 + #draws with overlap >= x) / (1 + draws) for random K-subsets of the universe.
 
-    A study with at most ``max_joint`` memberships gets joint draws: its membership index
-    travels as one row per chunk of draws. Beyond that size each set draws its overlap
-    from its own hypergeometric law, which is the law of the same counter and needs no
-    membership at all. Only partial counters leave the tasks.
+    The overlap of a set with a random K-subset is hypergeometric, so each set draws its overlaps from that law, whatever
+    the sizes: one row per set goes in, and no membership moves.
     """
-    live = counts.where(F.col("K") > 0)
-    size = counts.groupBy("study_id").agg(F.sum("M").alias("_rows"))
-    small = size.where(F.col("_rows") <= max_joint).select("study_id")
-    per_chunk = -(-draws // chunks)
-
-    numbered = live.join(small, "study_id", "left_semi").withColumn(
-        "_i", F.row_number().over(Window.partitionBy("study_id").orderBy("set_name")) - 1)
-    observed = numbered.groupBy("study_id").agg(
-        F.max("N").alias("N"), F.max("K").alias("K"),
-        F.array_sort(F.collect_list(F.struct("_i", "set_name", "x"))).alias("_sets"))
-    index = sets.join(numbered.select(*KEY, "_i"), KEY).groupBy("study_id", "member").agg(
-        F.array_sort(F.collect_list("_i")).alias("_in")).groupBy("study_id").agg(
-        F.array_sort(F.collect_list(F.struct("member", "_in")))["_in"].alias("_index"))
-    jobs = observed.join(index, "study_id").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
-    jobs = jobs.repartition("study_id", "_chunk")
-
-    def joint(batches):
-        import numpy as np
-        import pandas as pd
-
-        from .sampling import draw_subsets, seeded
-
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                study, n, k, obs, inner, chunk = row
-                rows = min(per_chunk, draws - chunk * per_chunk)
-                if rows <= 0:
-                    continue
-                lens = np.array([len(v) for v in inner])
-                starts = np.concatenate([[0], np.cumsum(lens)])
-                flat = np.concatenate(inner).astype(np.int64)
-                x = np.array([o["x"] for o in obs])
-                s = len(x)
-                ge = np.zeros(s, dtype=np.int64)
-                rng = seeded(seed, study, chunk)
-                step = max(1, min(rows, 4_000_000 // max(1, int(k * max(1.0, lens.mean())))))
-                for lo in range(0, rows, step):
-                    part = min(step, rows - lo)
-                    picks = draw_subsets(rng, int(n), int(k), part)
-                    reps = lens[picks.ravel()]
-                    first = np.repeat(starts[picks.ravel()], reps)
-                    inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                    which = flat[first + inside]
-                    owner = np.repeat(np.repeat(np.arange(part), picks.shape[1]), reps)
-                    hits = np.bincount(owner * s + which, minlength=part * s).reshape(part, s)
-                    ge += (hits >= x).sum(axis=0)
-                yield pd.DataFrame({"study_id": study, "set_name": [o["set_name"] for o in obs], "ge": ge})
-
-    def marginal(batches):
+    def run(batches):
         import pandas as pd
 
-        from .sampling import seeded
+        from .sampling import overlaps_at_least, seeded
 
         for pdf in batches:
-            ge = [
-                int((seeded(seed, r.study_id, r.set_name).hypergeometric(r.M, r.N - r.M, r.K, draws) >= r.x).sum())
-                for r in pdf.itertuples(index=False)
-            ]
+            ge = [overlaps_at_least(seeded(seed, r.study_id, r.set_name), r.N, r.M, r.K, r.x, draws)
+                  for r in pdf.itertuples(index=False)]
             yield pd.DataFrame({"study_id": pdf["study_id"], "set_name": pdf["set_name"], "ge": ge})
 
-    schema = "study_id string, set_name string, ge long"
-    big = live.join(small, "study_id", "left_anti").select(*KEY, "N", "M", "K", "x")
-    counted = jobs.mapInPandas(joint, schema).unionByName(big.mapInPandas(marginal, schema))
-    return counted.groupBy(*KEY).agg(((F.sum("ge") + 1) / F.lit(draws + 1.0)).alias("p_empirical"))
+    live = counts.where(F.col("K") > 0).select(*KEY, "N", "M", "K", "x").repartition(*KEY)
+    counted = live.mapInPandas(run, "study_id string, set_name string, ge long")
+    return counted.select(*KEY, ((F.col("ge") + 1) / F.lit(draws + 1.0)).alias("p_empirical"))
 
 
 def run_ora(
@@ -121,13 +60,12 @@ def run_ora(
     seed: int = 123,
     alpha: float = 0.05,
     p_adjust_method: str | None = "BH",
-    max_joint: int = 2_000_000,
 ) -> DataFrame:
     """Complete over-representation table of every study."""
     clean = clean_sets(sets)
     # One row per set, read by several steps below.
     counts = cut_lineage(with_hypergeometric(ora_counts(clean, query)))
-    emp = empirical_p(counts, clean, draws, seed, max_joint=max_joint)
+    emp = empirical_p(counts, draws, seed)
     # One row per set: kept, so that the draws are never made twice.
     out = cut_lineage(counts.join(emp, KEY, "left"))
     if p_adjust_method is None:

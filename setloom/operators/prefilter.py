@@ -38,7 +38,7 @@ def rename_headers(df: DataFrame, headers: dict[str, str], required: set[str]) -
     missing = required - set(found)
     if missing:
         raise ValueError(f"table is missing columns: {sorted(missing)}")
-    return df.select(*rest, *[F.coalesce(*v).alias(k) for k, v in found.items()])
+    return df.select(*rest, *[F.coalesce(*reversed(v)).alias(k) for k, v in found.items()])
 
 
 def _number(name: str) -> Column:

@@ -45,7 +45,7 @@ def read_sets(
     at = F.struct("_block", "_seq")
     lead = rows.groupBy("file").agg(F.min(at).alias("_lead"))
     body = rows.join(lead, "file").where(~((at == F.col("_lead")) & F.col("value").rlike(r"^\s*#")))
-    fields = body.select("file", "_block", "_seq", F.split(F.regexp_replace(ascii_fold(F.col("value")), r"\t+$", ""), "\t").alias("_f"))
+    fields = body.select("file", "_block", "_seq", F.split(F.regexp_replace(ascii_fold(F.col("value")), r"\t$", ""), "\t").alias("_f"))
     kept = fields.where((F.size("_f") >= 3) & (F.size("_f") - 2 >= min_members)).withColumn("study_id", F.lit(study_id))
     placed = ordered_scan(kept, ["study_id"], [F.col("file"), F.col("_block"), F.col("_seq")], "set_ord")
     sets = placed.select("study_id", F.col("set_ord").cast("int").alias("set_ord"), F.get("_f", F.lit(0)).alias("set_name"),

@@ -57,7 +57,7 @@ def _reviewed(spark, sf):
     d = table(spark, sf, "documents")
     return d.select(
         "doc_id", F.replace("text", F.lit(" und "), F.lit(" conflict ")).alias("gaps"),
-        F.slice(F.split("text", r"\.\s"), 2, 2).alias("snippets"), F.col("source").alias("alternative"))
+        F.split("text", r"\.\s").alias("snippets"), F.col("source").alias("alternative"))
 
 
 def verdict(spark, sf):
@@ -170,8 +170,10 @@ def _forms(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_type").alias("v")).distinct().select(
         F.lit(50).cast("long").alias("n"), F.concat(F.lit("Known biology: "), "v", F.lit(" machines")).alias("value"))
     studies = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("study_id")).distinct()
-    lines = r.unionByName(p).withColumn("_k", F.lit(1))
-    return lines.join(studies.withColumn("_k", F.lit(1)), "_k").select("study_id", F.col("n").alias("line_no"), "value")
+    # One row per return flag: a list in a row, not a join.
+    every = studies.agg(F.sort_array(F.collect_set("study_id")).alias("_all")).first()[0]
+    return r.unionByName(p).select(
+        F.explode(F.array(*map(F.lit, every))).alias("study_id"), F.col("n").alias("line_no"), "value")
 
 
 def background_forms(spark, sf):
@@ -208,7 +210,8 @@ def evidence_answers(spark, sf):
         F.col("event_type").alias("study_id"), F.col("event_id").alias("answer_ord"), F.concat(
             F.lit('```json\n{"results": [{"claim_id": "c'), F.get_json_object("props", "$.k"),
             F.lit('", "evidence": ["'), F.col("user_id").cast("string"), F.lit('", {"text": " v '), F.col("event_id").cast("string"),
-            F.lit(' "}], "predictions": "check '), F.col("event_id").cast("string"), F.lit('"}]}\n```')).alias("body"))
+            F.lit(' "}, {"items": {"values": [[{"snippets": [{"text": "deep '), F.col("event_id").cast("string"),
+            F.lit('"}]}]]}}], "predictions": "check '), F.col("event_id").cast("string"), F.lit('"}]}\n```')).alias("body"))
     r = lk.read_evidence(lk.open_envelopes(e))
     return r.select("study_id", "claim_id", F.array_join("snippets", "|").alias("snippets"), F.array_join("predictions", "|").alias("predictions"), "gaps")
 
@@ -224,7 +227,7 @@ QUERIES = {
 }
 
 _REVIEWED = r"""rv AS (SELECT doc_id, replace(text, ' und ', ' conflict ') AS gaps, source,
-  list_slice(regexp_split_to_array(text, '\.\s'), 2, 3) AS sn FROM documents),
+  regexp_split_to_array(text, '\.\s') AS sn FROM documents),
  vd AS (SELECT *, contains(lower(gaps), 'conflict') AS cf, len(list_filter(sn, lambda s: trim(s, ' ') <> '')) AS n FROM rv)"""
 _VERDICT = "CASE WHEN cf THEN 'Hypothesis' WHEN n >= 2 THEN 'Supported' WHEN n = 1 THEN 'Partial' ELSE 'Hypothesis' END"
 _CAT = """CASE WHEN regexp_matches(lower({t}), 'chromatin|h3k27|atac|enhancer|chip') THEN 'Chromatin/Enhancer'
@@ -282,6 +285,6 @@ ORACLES = {
       SELECT study_id, r.* FROM s, r""",
     "evidence_answers": """WITH x AS (SELECT event_type AS study_id, 'c' || regexp_extract(props, '"k": *([0-9]+)', 1) AS claim_id, event_id, user_id FROM events),
       y AS (SELECT study_id, claim_id, max(event_id) AS event_id FROM x GROUP BY ALL)
-      SELECT y.study_id, y.claim_id, user_id || '|v ' || event_id AS snippets, 'check ' || event_id || '|Replicate enhancer validation' AS predictions, '' AS gaps
+      SELECT y.study_id, y.claim_id, user_id || '|v ' || event_id || '|deep ' || event_id AS snippets, 'check ' || event_id || '|Replicate enhancer validation' AS predictions, '' AS gaps
       FROM y JOIN x USING (study_id, claim_id, event_id)""",
 }

@@ -49,7 +49,7 @@ def nes_scatter(spark, sf):
 
 
 def signed_q(spark, sf):
-    r = results(spark, sf).where(F.col("q_value") > 0)
+    r = results(spark, sf)
     return r.select("study_id", "set_name", F.round(signed_q_value(F.col("nes"), F.col("q_value")), 6).alias("signed_q"))
 
 
@@ -159,7 +159,7 @@ ORACLES = {
         CAST(row_number() OVER (PARTITION BY study_id ORDER BY nes DESC, set_name) AS INTEGER) AS x,
         row_number() OVER (PARTITION BY study_id ORDER BY nes DESC, set_name) <= 3 OR row_number() OVER (PARTITION BY study_id ORDER BY nes, set_name DESC) <= 3 AS labelled
       FROM res LEFT JOIN d USING (study_id, set_name)""",
-    "signed_q": f"WITH {RESULTS_SQL} SELECT study_id, set_name, round(sign(nes) * -log10(q_value), 6) AS signed_q FROM res WHERE q_value > 0",
+    "signed_q": f"WITH {RESULTS_SQL} SELECT study_id, set_name, round(sign(nes) * -log10(greatest(q_value, 2.2250738585072014e-308)), 6) AS signed_q FROM res",
     "disambiguation_greedy": """WITH RECURSIVE per AS (SELECT o_orderstatus AS study_id, o_orderpriority AS set_name, count(*) AS n FROM orders GROUP BY ALL),
       pos AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY set_name) AS so FROM per),
       cells AS (SELECT a.study_id, a.set_name AS x, b.set_name AS y, ((a.n * 7 + b.n * 13) % 101) / 100 AS q, a.so AS r, b.so AS c FROM pos a JOIN pos b USING (study_id)),

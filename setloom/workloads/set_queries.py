@@ -27,10 +27,10 @@ def set_sizes(spark, sf):
 
 
 def clean_sets(spark, sf):
-    """Job titles of messy text: padded and empty names trimmed, dropped and made distinct."""
+    """Comma-separated phrases of whole texts: padded and empty ones trimmed, dropped and made distinct."""
     d = table(spark, sf, "documents").select(
         F.col("lang").alias("study_id"), F.col("source").alias("set_name"),
-        F.explode(F.split(F.substring_index("text", ".", 1), ",")).alias("member"))
+        F.explode(F.split("text", ",")).alias("member"))
     return st.clean_sets(d)
 
 
@@ -249,7 +249,7 @@ ORACLES = {
       k AS (SELECT s.* FROM sets s JOIN f USING (study_id, member))
       SELECT study_id, set_name, member FROM k WHERE (study_id, set_name) IN (SELECT (study_id, set_name) FROM k GROUP BY study_id, set_name HAVING count(*) > 20)""",
     "set_sizes": f"WITH {SUPPLIER_SETS_SQL} SELECT study_id, set_name, count(DISTINCT member) AS size FROM sets GROUP BY ALL",
-    "clean_sets": """WITH x AS (SELECT lang AS study_id, source AS set_name, trim(unnest(string_split(split_part(text, '.', 1), ','))) AS member FROM documents)
+    "clean_sets": """WITH x AS (SELECT lang AS study_id, source AS set_name, trim(unnest(string_split(text, ','))) AS member FROM documents)
       SELECT DISTINCT * FROM x WHERE member <> ''""",
     "set_intersection": f"WITH {BRAND_SETS_SQL}, {_RET} SELECT s.* FROM sets s JOIN q USING (study_id, member)",
     "set_difference": f"WITH {BRAND_SETS_SQL}, {_RET} SELECT s.* FROM sets s ANTI JOIN q USING (study_id, member)",

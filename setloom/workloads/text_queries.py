@@ -111,7 +111,7 @@ def missing_seeds(spark, sf):
 
 def document_tokens(spark, sf):
     """Lower-case words of whole texts without stop words, counted per language."""
-    d = table(spark, sf, "documents").where(F.col("lang") == "en").select("lang", F.explode(tx.words(F.col("text"))).alias("token"))
+    d = table(spark, sf, "documents").select("lang", F.explode(tx.words(F.col("text"))).alias("token"))
     return d.where(~F.col("token").isin(tx.STOPWORDS)).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -235,7 +235,7 @@ ORACLES = {
     "library_breakdown": f"""WITH px AS (SELECT p_partkey AS id, p_name AS term, p_type AS source FROM part), {_w('px', 'id, source')}
       SELECT theme, source, count(*) AS n FROM mt GROUP BY ALL""",
     "missing_seeds": "SELECT 'Metal parts' AS theme, 'BRASS_RING' AS term WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_name = 'brass ring')",
-    "document_tokens": f"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE lang = 'en')
+    "document_tokens": f"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)
       SELECT lang, token, count(*) AS n FROM w WHERE length(token) >= 3 AND token NOT IN ({', '.join(repr(x) for x in tx.STOPWORDS)}) GROUP BY ALL""",
     "text_bigrams": """WITH x AS (SELECT regexp_extract_all(upper(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')), '[A-Z0-9]+') AS t FROM benchmark)
       SELECT item, count(*) AS n FROM (SELECT unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) AS item FROM x) GROUP BY ALL""",

@@ -1,9 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from setloom.operators import gsea, ora, sets as st, similarity as sim
-from setloom.operators.sampling import draw_subsets, seeded
+from setloom.operators.sampling import draw_subsets, overlaps_at_least, seeded
 
 
 def running_extremes(aw, hits):
@@ -71,15 +73,37 @@ def test_permutation_table(ranking):
     assert a["top"]["nes"] > 1 and a["low"]["nes"] < -1 and a["low"]["signed_q_value"] < 0
 
 
-def test_row_wise_null_has_the_same_law(ranking):
+def test_null_of_a_set_that_holds_most_of_the_ranking():
+    """Nearly full sets draw their complement; the null of complements mirrors that of their sets."""
+    rng = np.random.default_rng(4)
+    w = np.abs(rng.normal(size=400))
+    for k in (380, 396):
+        picks = draw_subsets(seeded("x", k), 400, k, 300)
+        assert picks.shape == (300, k) and all(len(set(p)) == k for p in picks.tolist())
+        assert (np.diff(picks, axis=1) > 0).all()
+        full = [set(rng.choice(400, k, replace=False).tolist()) for _ in range(300)]
+        plain = np.array([running_extremes(w, sorted(f)) for f in full])
+        assert np.mean(gsea.random_scores(w, picks)) == pytest.approx(plain.mean(), abs=0.12)
+
+
+def test_results_do_not_depend_on_the_blocks(ranking, monkeypatch):
     w, members, weights, sets = ranking
-    vec = {r["set_name"]: r for r in gsea.run_enrichment(weights, sets, 20, 1500).collect()}
-    rows = {r["set_name"]: r for r in gsea.run_enrichment(weights, sets, 20, 1500, max_vector=10).collect()}
-    for k in vec:
-        assert rows[k]["es"] == vec[k]["es"]
-        assert rows[k]["nes"] == pytest.approx(vec[k]["nes"], rel=0.08)
-        p = vec[k]["p_value"]
-        assert rows[k]["p_value"] == pytest.approx(p, abs=6 * np.sqrt(p * (1 - p) / 700) + 0.003)
+    rows = []
+    for hits in (50_000, 1):
+        monkeypatch.setattr(gsea, "HITS_A_JOB", hits)
+        rows.append(sorted(map(str, gsea.run_enrichment(weights, sets, 20, 600).collect())))
+    assert rows[0] == rows[1]
+
+
+def test_overlap_draws_follow_the_law():
+    for n, m, k, x in ((50, 10, 20, 5), (50, 45, 40, 36), (10**10, 5 * 10**9, 1000, 500), (7, 7, 3, 3)):
+        got = overlaps_at_least(seeded(n, m, k), n, m, k, x, 20_000) / 20_000
+        if n < 100:
+            total = math.comb(n, k)
+            want = sum(math.comb(m, v) * math.comb(n - m, k - v) for v in range(x, min(m, k) + 1)) / total
+        else:
+            want = 0.5126
+        assert got == pytest.approx(want, abs=0.015)
 
 
 def test_empirical_p_follows_the_hypergeometric(spark):
@@ -87,13 +111,12 @@ def test_empirical_p_follows_the_hypergeometric(spark):
     rows = [("S", f"set{s}", f"m{m}") for s in range(8) for m in rng.choice(120, 20, replace=False)]
     sets = spark.createDataFrame(rows, "study_id string, set_name string, member string")
     query = spark.createDataFrame([("S", f"m{m}") for m in range(0, 60)] + [("S", "elsewhere")], "study_id string, member string")
-    for limit in (10**6, 1):
-        out = ora.run_ora(sets, query, draws=4000, max_joint=limit).collect()
-        assert len(out) == 8
-        for r in out:
-            p = r["p_hyper"]
-            assert r["p_empirical"] == pytest.approx(p, abs=4 * np.sqrt(p * (1 - p) / 4000) + 0.001)
-            assert r["significant"] == (r["p_empirical_adj"] <= 0.05)
+    out = ora.run_ora(sets, query, draws=4000).collect()
+    assert len(out) == 8
+    for r in out:
+        p = r["p_hyper"]
+        assert r["p_empirical"] == pytest.approx(p, abs=4 * np.sqrt(p * (1 - p) / 4000) + 0.001)
+        assert r["significant"] == (r["p_empirical_adj"] <= 0.05)
 
 
 def test_a_query_outside_the_universe_gives_null_rows(spark):
