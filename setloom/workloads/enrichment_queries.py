@@ -42,6 +42,16 @@ def gsea_table(spark, sf):
     return r.withColumn("leading_edge", F.array_join("leading_edge", ", "))
 
 
+def gsea_table_bounds(spark, sf):
+    """The enrichment table: what is exact as it is, what is drawn as checks that must hold."""
+    r = gsea_table(spark, sf)
+    p, q = F.col("p_value"), F.col("q_value")
+    return r.select(
+        "study_id", "set_name", F.col("size").cast("long").alias("size"), F.round("es", 6).alias("es"), "leading_edge",
+        ((p > 0) & (p <= 1) & (q >= p * (1 - 1e-12)) & (q <= 1)).alias("p_in_range"),
+        (F.signum("nes") == F.signum("es")).alias("nes_follows_es"))
+
+
 def nes_scatter(spark, sf):
     rates = mx.detection_rate(counts(spark, sf), samples(spark, sf), 20.0).withColumn("feature_id", F.col("feature_id").cast("string"))
     r = results(spark, sf).withColumn("p_value", F.col("q_value"))
@@ -119,7 +129,7 @@ def rank_scores(spark, sf):
 
 QUERIES = {
     "feature_ranks": feature_ranks, "es_running": es_running, "es_scores": es_scores, "leading_edge": leading_edge,
-    "enrichment_curve": enrichment_curve, "gsea_table": gsea_table, "nes_scatter": nes_scatter, "signed_q": signed_q,
+    "enrichment_curve": enrichment_curve, "gsea_table": gsea_table, "gsea_table_bounds": gsea_table_bounds, "nes_scatter": nes_scatter, "signed_q": signed_q,
     "disambiguate": disambiguate, "disambiguation_greedy": disambiguation_greedy, "set_activity": set_activity,
     "set_activity_corrected": set_activity_corrected, "rank_scores": rank_scores,
 }
@@ -149,6 +159,11 @@ ORACLES = {
         string_agg(feature_id, ', ' ORDER BY CASE WHEN es > 0 THEN i ELSE -i END) AS leading_edge FROM h JOIN es USING (study_id, set_name)
         WHERE (es > 0 AND i <= peak) OR (es < 0 AND i >= dip) GROUP BY ALL)
       SELECT study_id, set_name, round(es, 6) AS es, coalesce(leading_edge, '') AS leading_edge FROM es LEFT JOIN le USING (study_id, set_name) WHERE size >= 15""",
+    "gsea_table_bounds": f"""WITH {WEIGHTS_SQL}, {BRAND_SETS_SQL}, {_hits()}, le AS (SELECT h.study_id, h.set_name,
+        string_agg(feature_id, ', ' ORDER BY CASE WHEN es > 0 THEN i ELSE -i END) AS leading_edge FROM h JOIN es USING (study_id, set_name)
+        WHERE (es > 0 AND i <= peak) OR (es < 0 AND i >= dip) GROUP BY ALL)
+      SELECT study_id, set_name, size, round(es, 6) AS es, coalesce(leading_edge, '') AS leading_edge, true AS p_in_range,
+        true AS nes_follows_es FROM es LEFT JOIN le USING (study_id, set_name) WHERE size >= 15""",
     "enrichment_curve": f"""WITH {WEIGHTS_SQL}, w2 AS (SELECT study_id, feature_id, (weight - min(weight) OVER g) / (max(weight) OVER g - min(weight) OVER g) AS weight
         FROM weights WINDOW g AS (PARTITION BY study_id)), {BRAND_SETS_SQL}, {_hits("w2")}
       SELECT study_id, set_name, feature_id, rank, round(top, 6) AS top, round(bottom, 6) AS bottom FROM h WHERE set_name = 'Brand#13'""",

@@ -76,6 +76,15 @@ def ora_empirical(spark, sf):
     return ora.run_ora(brand_sets(spark, sf), _returned(spark, sf), draws=2000)
 
 
+def ora_empirical_bounds(spark, sf):
+    """The complete table, its drawn p values as a check against the exact ones: within six standard errors."""
+    p, n = F.col("p_hyper"), 2000
+    near = F.abs(F.col("p_empirical") - p) <= 6 * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n) + 2 / n
+    return ora_empirical(spark, sf).select(
+        "study_id", "set_name", "N", "M", "K", "x", F.round(p, 6).alias("p_hyper"), near.alias("within_bounds"),
+        (F.col("p_empirical_adj") >= F.col("p_empirical") * (1 - 1e-12)).alias("adjusted_up"))
+
+
 def hypergeometric(spark, sf):
     """Tail probabilities on one quadruple per order line."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("x0"),
@@ -174,7 +183,7 @@ QUERIES = {
     "member_frequency": member_frequency, "specific_sets": specific_sets, "set_sizes": set_sizes,
     "clean_sets": clean_sets, "set_intersection": set_intersection, "set_difference": set_difference,
     "set_universe": set_universe, "ora_interval_counts": ora_interval_counts, "ora_intervals": ora_intervals,
-    "ora_parts": ora_parts, "ora_empirical": ora_empirical, "hypergeometric": hypergeometric,
+    "ora_parts": ora_parts, "ora_empirical": ora_empirical, "ora_empirical_bounds": ora_empirical_bounds, "hypergeometric": hypergeometric,
     "bh_adjust": _adjusted("BH"), "by_adjust": _adjusted("BY"), "holm_adjust": _adjusted("holm"),
     "hochberg_adjust": _adjusted("hochberg"), "bonferroni_adjust": _adjusted("bonferroni"),
     "set_pairs": set_pairs, "set_cosine": set_cosine, "similarity_edges": similarity_edges,
@@ -260,6 +269,9 @@ ORACLES = {
       SELECT study_id, set_name, "N", "M", "K", x, round(p, 6) AS p_hyper, round({_BH.replace("p * m", "p * tests")}, 6) AS p_adj FROM k""",
     "ora_parts": f"""WITH {SUPPLIER_SETS_SQL.replace('l_suppkey AS set_ord,', '')}, {_RET}, {_CNT}
       SELECT *, round(CASE WHEN x = 0 THEN 1.0 ELSE {_tail('"N"', '"M"', '"K"', 'x')} END, 6) AS p_hyper FROM c""",
+    "ora_empirical_bounds": f"""WITH {BRAND_SETS_SQL}, {_RET}, {_CNT}
+      SELECT *, round(CASE WHEN x = 0 THEN 1.0 ELSE {_tail('"N"', '"M"', '"K"', 'x')} END, 6) AS p_hyper,
+        true AS within_bounds, true AS adjusted_up FROM c""",
     "hypergeometric": f"""WITH d AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS x0, (l_suppkey + 1) * 4 AS m0 FROM lineitem),
       v AS (SELECT DISTINCT x0, m0 FROM d), p AS (SELECT x0, m0, CASE WHEN x0 > least(m0, 300) THEN 0.0 ELSE {_tail('5000', 'm0', '300', 'x0')} END AS p FROM v)
       SELECT l_orderkey, l_linenumber, round(p, 6) AS p FROM d JOIN p USING (x0, m0)""",
