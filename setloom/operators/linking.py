@@ -215,8 +215,10 @@ def prioritise_claims(claims: DataFrame, settings: LinkSettings) -> DataFrame:
     """Helper claims by (-|effect|, q) first; theme-only claims by label, capped per direction."""
     q = F.coalesce(F.nullif(F.col("helper_q_value"), F.lit(0.0)), F.lit(1.0))
     has = claims.where(_named()).select("study_id", "direction").distinct().withColumn("_has", F.lit(True))
+    # The larger cap as a constant first: Spark then cuts each group before it meets in one task.
+    most = max(settings.theme_only_cap_with_helpers, settings.theme_only_cap_no_helpers)
     alone = claims.where(~_named()).withColumn("_r", F.row_number().over(
-        Window.partitionBy("study_id", "direction").orderBy("theme_label", "claim_ord")))
+        Window.partitionBy("study_id", "direction").orderBy("theme_label", "claim_ord"))).where(F.col("_r") <= most)
     cap = F.when(F.col("_has"), settings.theme_only_cap_with_helpers).otherwise(settings.theme_only_cap_no_helpers)
     alone = alone.join(has, ["study_id", "direction"], "left").where(F.col("_r") <= cap).drop("_has")
     both = claims.where(_named()).withColumn("_r", F.lit(0)).unionByName(alone)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import neg_log10, unit_scale
 from ..session import cut_lineage
-from .scan import group_quantile
+from .scan import group_quantile, ordered_scan
 from .sets import KEY, pair_counts
 
 
@@ -45,12 +45,10 @@ def elbow_cut(result: DataFrame, q: str = "q_value") -> DataFrame:
     keep each distinct q with its first rank.
     """
     per_q = result.groupBy("study_id", F.col(q).alias("_q")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("study_id").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy("study_id")
-    curve = per_q.select(
-        "study_id", "_q", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"),
-        F.sum("_c").over(all_).alias("_n"), neg_log10(F.col("_q")).alias("_y"),
-        F.max(neg_log10(F.col("_q"))).over(all_).alias("_hi"), F.min(neg_log10(F.col("_q"))).over(all_).alias("_lo"))
+    height = neg_log10(F.col("_q"))
+    ends = per_q.groupBy("study_id").agg(F.sum("_c").alias("_n"), F.max(height).alias("_hi"), F.min(height).alias("_lo"))
+    curve = ordered_scan(per_q, ["study_id"], [F.col("_q")], None, {"_upto": F.col("_c")}).join(ends, "study_id").select(
+        "study_id", "_q", (F.col("_upto") - F.col("_c")).alias("_before"), "_n", height.alias("_y"), "_hi", "_lo")
     x = F.when(F.col("_n") > 1, F.col("_before") / (F.col("_n") - 1)).otherwise(0.0)
     gap = F.round((1.0 - unit_scale(F.col("_y"), F.col("_lo"), F.col("_hi"))) - x, 12)
     return curve.groupBy("study_id").agg(
