@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sentences as say
 from ..functions.text import (
     drop_stopwords, hallmark_phrase, label_keywords, theme_tokens, token_set,
 )
@@ -166,8 +167,8 @@ def fallback_claims(themes: DataFrame, helpers: DataFrame, settings: LinkSetting
     phrase = F.when(alone, F.concat(F.coalesce(F.nullif(F.col("collection"), F.lit("")), F.lit("pathway")), F.lit(" adaptation"))).otherwise(
         F.coalesce(F.nullif(F.col("top_hallmark"), F.lit("")), F.concat("helper_class", F.lit(" program"))))
     why = F.concat(
-        F.col("label"), F.lit(" ("), F.col("direction"), F.lit(") aligns with "), phrase, F.lit("; helper q-values "),
-        F.when(alone, "pending enhancer screen").otherwise("available"), F.lit("."))
+        F.col("label"), F.lit(" ("), F.col("direction"), F.lit(say.ALIGNS), phrase, F.lit(say.HELPER_Q),
+        F.when(alone, say.Q_PENDING).otherwise("available"), F.lit("."))
     sure = F.when(alone, "low").otherwise("medium") if helpers_available else F.lit("hypothesis")
     return j.select(
         "study_id", ((_side() * BLOCK + F.col("theme_pos")).cast("long") * BLOCK + F.coalesce("_r", F.lit(0))).alias("claim_ord"),
@@ -364,13 +365,13 @@ def read_evidence(entries: DataFrame) -> DataFrame:
         F.coalesce(collect_snippets(F.try_variant_get(e, f"$.{k}", "variant")), none)
         for k in ("evidence", "evidence_snippets", "snippets")])
     preds = F.coalesce(_texts(F.try_variant_get(e, "$.predictions", "variant")), none)
-    spare = F.array(F.lit("Replicate enhancer validation"), F.lit("Profile driver genes"))
+    spare = F.array(F.lit(say.NEW_ASSAY_1), F.lit(say.NEW_ASSAY_2))
     padded = F.when(F.size(preds) < 2, F.concat(preds, F.slice(spare, F.lit(1), 2 - F.size(preds)))).otherwise(preds)
     text = lambda k: F.nullif(F.try_variant_get(e, f"$.{k}", "string"), F.lit(""))
     flat = entries.select(
         "study_id", text("claim_id").alias("claim_id"), F.struct("answer_ord", "entry_ord").alias("_o"),
         snippets.alias("snippets"), padded.alias("predictions"),
-        F.coalesce(text("alternative"), F.lit("Consider alternate regulatory programs.")).alias("alternative"),
+        F.coalesce(text("alternative"), F.lit(say.OTHER_PROGRAMS)).alias("alternative"),
         F.coalesce(text("missing_or_conflicting"), F.lit("")).alias("gaps"), F.to_json("entry").alias("raw_entry"))
     fields = ["snippets", "predictions", "alternative", "gaps", "raw_entry"]
     last = flat.where(F.col("claim_id").isNotNull()).groupBy("study_id", "claim_id").agg(
@@ -405,19 +406,19 @@ def attach_evidence(claims: DataFrame, themes: DataFrame, evidence: DataFrame |
     about = F.when(F.col("_label").isNotNull(), F.concat(
         F.col("_label"), F.lit(" "), F.col("direction"), F.lit(" shift tracks "), _first(F.col("_terms"), 2, "theme pathways"),
         F.lit(" and genes "), _first(F.col("_genes"), 3, "leading-edge genes"), F.lit("."))).otherwise(F.concat(
-            F.col("theme_label"), F.lit(" "), F.col("direction"), F.lit(" shift follows its leading-edge genes.")))
+            F.col("theme_label"), F.lit(" "), F.col("direction"), F.lit(say.FOLLOWS_GENES)))
     known = answered & F.col("_meta").isNotNull()
     mark = F.coalesce(F.nullif(F.col("helper_top_hallmark"), F.lit("")), F.col("helper_class"))
     helper_line = F.when(known, F.concat(
-        F.lit("Helper "), F.col("helper_name"), F.lit(" reflects "), F.col("_meta"), F.lit(" activity supporting this response."))).otherwise(
-        F.concat(F.lit("Helper "), F.col("helper_name"), F.lit(" captures "), mark, F.lit(" program consistent with the theme.")))
+        F.lit("Helper "), F.col("helper_name"), F.lit(" reflects "), F.col("_meta"), F.lit(say.SUPPORTS_RESPONSE))).otherwise(
+        F.concat(F.lit("Helper "), F.col("helper_name"), F.lit(" captures "), mark, F.lit(say.FITS_THEME)))
     template = F.when(_named(), F.array(about, helper_line)).otherwise(F.array(about))
     empty = F.coalesce(F.size("snippets"), F.lit(0)) <= 0
-    usual = F.array(F.lit("Profile enhancer marks at key leading-edge genes"), F.lit("Cross-check helper program in matched atlas"))
+    usual = F.array(F.lit(say.ASSAY_MARKS), F.lit(say.ASSAY_ATLAS))
     return j.select(
         *CLAIM, "claim_id",
         F.when(empty, template).otherwise(F.col("snippets")).alias("evidence_snippets"),
-        F.coalesce("alternative", F.lit("Consider alternate regulators if enhancer data remain weak.")).alias("alternative"),
+        F.coalesce("alternative", F.lit(say.OTHER_REGULATORS)).alias("alternative"),
         F.coalesce("gaps", F.lit("")).alias("gaps"), F.coalesce("predictions", usual).alias("predictions"), "raw_entry",
         F.when(answered, "llm").otherwise("fallback").alias("source"), (~answered | empty).alias("used_fallback_snippets"))
 
@@ -427,8 +428,8 @@ def verdict_of(gaps: Column, snippets: Column) -> tuple[Column, Column]:
     n = F.size(F.filter(snippets, lambda s: F.trim(s) != ""))
     conflict = F.contains(F.lower(F.coalesce(gaps, F.lit(""))), F.lit("conflict"))
     verdict = F.when(conflict, "Hypothesis").when(n >= 2, "Supported").when(n == 1, "Partial").otherwise("Hypothesis")
-    reason = F.when(conflict, gaps).when(n >= 2, "Two or more specific evidence snippets available.").when(
-        n == 1, "Single evidence snippet available.").otherwise("No evidence snippets provided.")
+    reason = F.when(conflict, gaps).when(n >= 2, say.TWO_SNIPPETS).when(
+        n == 1, say.ONE_SNIPPET).otherwise(say.NO_SNIPPET)
     return verdict, reason
 
 
@@ -457,7 +458,7 @@ def review_claims(claims: DataFrame, reviews: DataFrame | None) -> DataFrame:
     return j.withColumns({
         "verdict": F.coalesce(given, own),
         "verdict_reason": F.when(given.isNull(), why).otherwise(F.coalesce(
-            F.nullif(F.col("_r.verdict_reason"), F.lit("")), F.lit("Critic unavailable; treat cautiously."))),
+            F.nullif(F.col("_r.verdict_reason"), F.lit("")), F.lit(say.NO_CRITIC))),
         "alternative": pick("alternative"), "gaps": pick("gaps"), "predictions": preds,
     }).drop("_r")
 
@@ -547,26 +548,26 @@ def revise_claims(
     low = F.lower("direction")
     phrase = F.coalesce(hallmark_phrase(F.col("_h.top_hallmark")), F.concat("_h.helper_class", F.lit(" program")))
     subject = F.when(has_theme, F.col("_label")).otherwise(F.lit("The pathway"))
-    lead = F.when(genes != "", F.concat(subject, F.lit(" "), low, F.lit(" shift is driven by genes such as "), genes)).otherwise(
-        F.concat(subject, F.lit(" follows the observed shift")))
+    lead = F.when(genes != "", F.concat(subject, F.lit(" "), low, F.lit(say.DRIVEN_BY), genes)).otherwise(
+        F.concat(subject, F.lit(say.FOLLOWS_SHIFT)))
     swap_why = F.concat_ws(
-        " ", lead, F.concat(F.coalesce("_pick", F.col("_h.helper_class")), F.lit(" captures the "), phrase, F.lit(" activity linked to this response.")),
+        " ", lead, F.concat(F.coalesce("_pick", F.col("_h.helper_class")), F.lit(" captures the "), phrase, F.lit(say.LINKED_ACTIVITY)),
         F.when(expected != "", F.concat(F.lit("Expectation: "), F.substring(expected, 1, 140))))
     label = F.coalesce("_label", "theme_label")
     alone_why = F.concat(
-        label, F.lit(" "), low, F.lit(" shift is retained via leading-edge genes ("), genes,
+        label, F.lit(" "), low, F.lit(say.RETAINED), genes,
         F.lit(") even though no enhancer helper survived gating."),
         F.when(expected != "", F.concat(F.lit(" Expected trend: "), F.substring(expected, 1, 140), F.lit("."))).otherwise(""))
     sets = F.when(has_theme & (F.size("_terms") > 0), F.array_join(F.slice("_terms", 1, 2), ", ")).otherwise(label)
-    line1 = F.concat(label, F.lit(" "), F.col("direction"), F.lit(" signal concentrates in sets such as "), sets)
+    line1 = F.concat(label, F.lit(" "), F.col("direction"), F.lit(say.CONCENTRATES), sets)
     line2 = F.when(F.col("_pick").isNotNull(), F.concat(
-        "_pick", F.lit(" models the "), phrase, F.lit(" module consistent with this direction."))).otherwise(
-        "No helper cleared QC; interpretation falls back to leading-edge genes and background expectations.")
+        "_pick", F.lit(" models the "), phrase, F.lit(say.FITS_DIRECTION))).otherwise(
+        say.NO_HELPER_QC)
     check = F.when(has_theme & (F.size("_genes") > 0), F.concat(
         F.lit("Check enhancer marks at "), F.array_join(F.slice("_genes", 1, 2), ", "))).otherwise(
-        "Profile key leading-edge genes for enhancer activation")
-    reason = F.when(F.col("_pick").isNotNull(), "Deterministic swap pending enhancer confirmation.").otherwise(
-        "No helper cleared revision gates; relying on leading-edge genes.")
+        say.ASSAY_ACTIVATION)
+    reason = F.when(F.col("_pick").isNotNull(), say.SWAPPED).otherwise(
+        say.NO_HELPER_GATES)
     swapped = F.col("_severe") & F.col("_pick").isNotNull()
     bad = F.col("_severe")
 
@@ -588,9 +589,9 @@ def revise_claims(
         choose(F.col("_h.q_value"), none.cast("double"), F.col("helper_q_value")).alias("helper_q_value"),
         F.when(bad, none.cast("string")).otherwise(F.col("claim_id")).alias("claim_id"),
         F.when(bad, F.array(line1, line2)).otherwise(F.col("evidence_snippets")).alias("evidence_snippets"),
-        F.when(bad, "Await direct enhancer validation or motif rescue experiment.").otherwise(F.col("alternative")).alias("alternative"),
+        F.when(bad, say.AWAIT).otherwise(F.col("alternative")).alias("alternative"),
         F.when(bad, reason).otherwise(F.col("gaps")).alias("gaps"),
-        F.when(bad, F.array(check, F.lit("Test whether the highlighted process reverses when perturbation is removed."))).otherwise(
+        F.when(bad, F.array(check, F.lit(say.ASSAY_REVERSAL))).otherwise(
             F.col("predictions")).alias("predictions"),
         choose(F.lit("Partial"), F.lit("Hypothesis"), F.col("verdict")).alias("verdict"),
         F.when(bad, reason).otherwise(F.col("verdict_reason")).alias("verdict_reason"), "issues")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sentences as say
 from ..functions.text import normal_label
 from ..params import SupportThresholds
 
@@ -64,11 +65,11 @@ def support_reason(
     opposed = F.concat(F.lit("Effect sign ("), signed_text(effect), F.lit(") opposes "), direction,
                        F.lit(" with q="), short_number(q), F.lit("."))
     return (
-        F.when(effect.isNull(), "Cell type absent from ESEA table.")
+        F.when(effect.isNull(), say.NOT_IN_TABLE)
         .when((fit == "opposite") & (q <= limits.support_q), opposed)
-        .when(fit.isin("opposite", "unknown"), F.concat(F.lit("Unable to assess direction for claimed "), direction, F.lit(".")))
-        .when(decision == "Supported", F.concat(both, F.lit(" meets thresholds.")))
-        .when(decision == "Partial", F.concat(both, F.lit(" is borderline; treat cautiously.")))
+        .when(fit.isin("opposite", "unknown"), F.concat(F.lit(say.NO_DIRECTION), direction, F.lit(".")))
+        .when(decision == "Supported", F.concat(both, F.lit(say.MEETS)))
+        .when(decision == "Partial", F.concat(both, F.lit(say.BORDERLINE)))
         .otherwise(F.concat(both, F.lit(" is weak for "), direction, F.lit("."))))
 
 
