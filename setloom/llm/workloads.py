@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import bpe, chat, decontaminate, licenses, line_dedup, quality_model, quality_rules, sharding, simhash, toxicity
 from .text import table
 
@@ -85,7 +86,8 @@ def op9_line_dedup(spark, sf):
     """Every web page's visible lines without the boilerplate of its host."""
     pages = table(spark, sf, "pages").select(
         "page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
-    return line_dedup.drop_boilerplate(pages, "host")
+    # Read twice below: the visible lines are taken out of the pages once.
+    return line_dedup.drop_boilerplate(cut_lineage(pages), "host")
 
 
 def op10_chat_format(spark, sf):
