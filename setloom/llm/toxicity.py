@@ -1,14 +1,16 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
 Tags are 0 and 1 for each word; sequences are lines. A word's features are itself and its prefixes of four and six bytes
-(lower case, edge punctuation off), hashed into three tables of weights. Labels exist for documents only, so tokens are
-labelled first: a word of a toxic document is a toxic token if one of its features is far more frequent, by documents, in
-toxic than in other documents and explains at least ``SHARE`` of the toxic documents that stronger features left unexplained. Parameters start from the smoothed log-odds of the labelled tokens and climb the
-conditional likelihood; each step adds expected and observed counts over partitions. For scores, the forward and backward
-passes give the marginal of tag 1 for every word; the score of a document is its greatest marginal, and runs of words
-whose marginal is at least one half are its spans (code point offsets into the text).
-
-The model is fitted on at most ``MAX_DOCS`` labelled documents of each class (distinct texts); every text is scored
+(lower case, edge punctuation off), known by 64-bit hashes, as far as they were selected. Labels exist for documents only,
+so tokens are labelled first: a feature is selected if it is far more frequent, by documents, in toxic than in other
+documents and explains at least ``SHARE`` of the toxic documents that features selected before left unexplained (``LEAST``
+of all toxic documents, three at least); a word of
+a toxic document with a selected feature is a toxic token. Parameters start from the smoothed log-odds of the labelled
+tokens and climb the conditional likelihood; each step adds expected and observed counts over partitions. For scores, the
+forward and backward passes give the marginal of tag 1 for every word; the score of a document is its greatest marginal,
+and runs of words whose marginal is at least one half are its spans (code point offsets into the text).
+
+The model is fitted on at most about ``MAX_DOCS`` labelled documents of each class (distinct texts); every text is scored
 whole. Null and empty texts have no words and score the model's floor (0). Without toxic labels every score is 0.
 """
 
@@ -22,16 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .decontaminate import Terms
 from .sums import partition_sum
 from .text import LOWER, Hasher, blocks, bounded_batches, byte_view, own_names, word_bounds
 
 MAX_DOCS = 4000
-FIT_PARTITIONS = 8  # the sample is bounded, and so are the sums that its partitions send
-BITS = 17
+FIT_PARTITIONS = 8  # the sample is bounded, and so is the number of its partitions
 TABLES = 3
 STEPS = 8
 ROUNDS = 5
 SHARE = 0.08
+LEAST = 0.01
 BLOCK = 1 << 21
 SPANS = "array<struct<start: long, end: long>>"
 
@@ -41,16 +44,19 @@ _EDGE[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 @dataclass
 class Model:
-    weights: np.ndarray  # (TABLES, 2 ** BITS): score of tag 1 over tag 0
+    terms: list[Terms]  # selected features of each table
+    weights: list[np.ndarray]  # their score of tag 1 over tag 0
     bias: float
     moves: np.ndarray  # (2, 2): score of tag b after tag a
+    def features(self, lines: Lines) -> list[np.ndarray]:
+        return [t.find(h) for t, h in zip(self.terms, lines.hashes, strict=True)]
 
 
 @dataclass
 class Lines:
     """Words of a block: features, bounds in bytes, and the lines (sequences) and rows they belong to."""
 
-    features: np.ndarray  # (TABLES, words)
+    hashes: list[np.ndarray]  # of each word, for each table of features
     starts: np.ndarray
     ends: np.ndarray
     line_at: np.ndarray  # first word of each line, and the number of words
@@ -65,13 +71,10 @@ def read_lines(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> Lines:
         a += (a < b) & _EDGE[data[np.minimum(a, len(data) - 1)]] if len(data) else 0
         b -= (a < b) & _EDGE[data[b - 1]] if len(data) else 0
     prefix = hasher.prefix(data)
-    mask = np.uint64((1 << BITS) - 1)
-    features = np.stack([
-        (hasher.ranges(prefix, a, np.minimum(b, a + size)) >> np.uint64(7 * k)) & mask
-        for k, size in enumerate((1 << 40, 4, 6))]).astype(np.int32)
+    hashes = [hasher.ranges(prefix, a, np.minimum(b, a + size)) for size in (1 << 40, 4, 6)]
     breaks = np.searchsorted(starts, np.flatnonzero(data == 10))
     line_at = np.unique(np.concatenate([row_at, breaks, [0, len(starts)]]))
-    return Lines(features, starts, ends, line_at, row_at)
+    return Lines(hashes, starts, ends, line_at, row_at)
 
 
 def _log_ratio(moves: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -83,8 +86,8 @@ def log_odds(model: Model, lines: Lines) -> tuple[np.ndarray, np.ndarray, np.nda
     """Emission scores, and log-odds of tag 1 from what comes before (with the word) and after (without it)."""
     n = len(lines.starts)
     emit = np.full(n, model.bias)
-    for k in range(TABLES):
-        emit += model.weights[k][lines.features[k]]
+    for ids, weight in zip(model.features(lines), model.weights, strict=True):
+        emit += np.append(weight, 0.0)[ids]  # -1: not selected
     sizes = np.diff(lines.line_at)
     order = np.argsort(-sizes, kind="stable")
     first, sizes = lines.line_at[:-1][order], sizes[order]
@@ -110,7 +113,7 @@ def gradient(model: Model, lines: Lines, tags: np.ndarray) -> np.ndarray:
     emit, ahead, behind = log_odds(model, lines)
     p = 1 / (1 + np.exp(-np.clip(ahead + behind, -700, 700)))
     miss = tags - p
-    out = [np.bincount(lines.features[k], miss, 1 << BITS) for k in range(TABLES)]
+    out = [np.bincount(ids + 1, miss, len(w) + 1)[1:] for ids, w in zip(model.features(lines), model.weights, strict=True)]
     inner = np.ones(len(p), bool)
     inner[lines.line_at[:-1][np.diff(lines.line_at) > 0]] = False
     at = np.flatnonzero(inner)
@@ -134,86 +137,143 @@ def _blocks_of(batches, hasher: Hasher):
                 data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], hasher)
 
 
-def _documents_with(lines: Lines, rows: np.ndarray) -> np.ndarray:
-    """For each feature, how many of the chosen rows have it."""
-    n_rows = len(lines.row_at) - 1
-    row = np.repeat(np.arange(n_rows), np.diff(lines.row_at))
-    held = rows[row]
-    return np.stack([np.bincount(
-        np.unique(row[held].astype(np.int64) << BITS | lines.features[k][held]) & ((1 << BITS) - 1), minlength=1 << BITS)
-        for k in range(TABLES)])
+def _toxic_rows(batch: pa.RecordBatch, i: int, j: int) -> np.ndarray:
+    return batch.column("toxic").to_numpy(zero_copy_only=False)[i:j] == 1
 
 
-def fit(labelled: DataFrame) -> Model | None:
-    """A model from ``text, toxic`` rows, already bounded by the caller. None without toxic rows."""
-    marked = np.zeros((TABLES, 1 << BITS), bool)
+def _hits(lines: Lines, terms: list[Terms]) -> np.ndarray:
+    """Words with a selected feature."""
+    hit = np.zeros(len(lines.starts), bool)
+    for t, h in zip(terms, lines.hashes, strict=True):
+        hit |= t.find(h) >= 0
+    return hit
+
+
+def _rows_with(lines: Lines, hit: np.ndarray) -> np.ndarray:
+    rows = len(lines.row_at) - 1
+    return np.bincount(np.repeat(np.arange(rows), np.diff(lines.row_at)), hit, rows) > 0
+
+
+def _by_documents(lines: Lines, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a table, and how many of the chosen rows have each."""
+    row = np.repeat(np.arange(len(rows)), np.diff(lines.row_at))
+    held = rows[row]
+    pairs = np.unique(np.stack([lines.hashes[k][held], row[held].astype(np.uint64)]), axis=1)
+    return np.unique(pairs[0], return_counts=True)
 
-    def hits(lines: Lines, known: np.ndarray) -> np.ndarray:
-        hit = np.zeros(len(lines.starts), bool)
-        for k in range(TABLES):
-            hit |= known[k][lines.features[k]]
-        return hit
 
+def _frequent(labelled: DataFrame, terms: list[Terms]) -> tuple[float, float, list[tuple[int, int, int]]]:
+    """Toxic documents, those without a selected feature, and the features (table, hash, documents) frequent in these."""
+    def totals(batches):
+        hasher, total = Hasher(), np.zeros(2)
+        for batch, i, j, _, lines in _blocks_of(batches, hasher):
+            toxic = _toxic_rows(batch, i, j)
+            total += [toxic.sum(), (toxic & ~_rows_with(lines, _hits(lines, terms))).sum()]
+        return total
+
+    def count(batches):
+        hasher = Hasher()
+        for batch, i, j, _, lines in _blocks_of(batches, hasher):
+            rows = _toxic_rows(batch, i, j) & ~_rows_with(lines, _hits(lines, terms))
+            for k in range(TABLES):
+                hashes, n = _by_documents(lines, rows, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), k, np.int32)), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["k", "h", "n"])
+
+    summed = partition_sum(labelled, totals)
+    toxic, left = (0.0, 0.0) if summed is None else summed
+    if not left:
+        return toxic, left, []
+    counted = labelled.mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    # Each explains a share of the documents, so their number is bounded by the features of a document over the share.
+    return toxic, left, [tuple(r) for r in counted.where(F.col("n") >= max(3.0, SHARE * left, LEAST * toxic)).collect()]
+
+
+def select_features(labelled: DataFrame) -> list[Terms] | None:
+    """Features that tell toxic documents, table by table. None without toxic documents."""
+    chosen: list[set[int]] = [set() for _ in range(TABLES)]
     for _ in range(ROUNDS):
-        def count(batches, known=marked):
-            """Documents with each feature, by class; toxic ones only while no known feature explains them."""
-            hasher, total, docs = Hasher(), np.zeros((2, TABLES, 1 << BITS)), np.zeros(3)
-            for batch, i, j, _, lines in _blocks_of(batches, hasher):
-                toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[i:j] == 1
-                row = np.repeat(np.arange(j - i), np.diff(lines.row_at))
-                explained = np.bincount(row, hits(lines, known), j - i) > 0
-                for y, rows in ((0, ~toxic), (1, toxic & ~explained)):
-                    total[y] += _documents_with(lines, rows)
-                    docs[y] += rows.sum()
-                docs[2] += toxic.sum()
-            return np.concatenate([total.ravel(), docs])
-
-        counted = partition_sum(labelled, count)
-        if counted is None or counted[-1] == 0:
+        terms = _terms(chosen)
+        toxic, left, frequent = _frequent(labelled, terms)
+        if not toxic:
             return None
-        held, docs, toxic = counted[:-3].reshape(2, TABLES, -1), counted[-3:-1], counted[-1]
-        odds = np.log((held[1] + 0.5) / (docs[1] + 1)) - np.log((held[0] + 0.5) / (docs[0] + 1))
-        found = (odds >= 3) & (held[1] >= np.maximum(2, SHARE * docs[1]))
-        if docs[1] < 0.02 * toxic or not found.any():
+        if not frequent:
             break
-        marked = marked | found
+        asked = _terms([{h for k, h, _ in frequent if k == table} for table in range(TABLES)])
+
+        def others(batches, asked=asked):
+            hasher, total = Hasher(), np.zeros(1 + sum(len(t.sorted) for t in asked))
+            for batch, i, j, _, lines in _blocks_of(batches, hasher):
+                rows, at = ~_toxic_rows(batch, i, j), 1
+                total[0] += rows.sum()
+                for k, t in enumerate(asked):
+                    hashes, n = _by_documents(lines, rows, k)
+                    ids = t.find(hashes)
+                    total[at:at + len(t.sorted)] += np.bincount(ids + 1, n, len(t.sorted) + 1)[1:]
+                    at += len(t.sorted)
+            return total
+
+        clean = partition_sum(labelled, others)
+        held, at = {}, 1
+        for k, t in enumerate(asked):
+            held |= {(k, h): clean[at + m] for m, h in enumerate(t.sorted.view(np.int64).tolist())}
+            at += len(t.sorted)
+        found = False
+        for k, h, n in frequent:
+            odds = np.log((n + 0.5) / (left + 1)) - np.log((held[k, h] + 0.5) / (clean[0] + 1))
+            if odds >= 3:
+                chosen[k].add(h)
+                found = True
+        if not found:
+            break
+    return _terms(chosen)
+
+
+def _terms(chosen: list[set[int]]) -> list[Terms]:
+    return [Terms(np.array(sorted(x), np.int64).view(np.uint64)) for x in chosen]
+
+
+def fit(labelled: DataFrame) -> Model | None:
+    """A model from ``text, toxic`` rows, already bounded by the caller. None where no feature tells toxic rows."""
+    terms = select_features(labelled)
+    if terms is None or not any(len(t.sorted) for t in terms):
+        return None
+    sizes = [len(t.sorted) for t in terms]
 
     def tags_of(lines: Lines, toxic: np.ndarray) -> np.ndarray:
         row = np.repeat(np.arange(len(toxic)), np.diff(lines.row_at))
-        return (hits(lines, marked) & toxic[row]).astype(np.float64)
+        return (_hits(lines, terms) & toxic[row]).astype(np.float64)
 
     def tokens(batches):
-        hasher, total = Hasher(), np.zeros((2, TABLES, 1 << BITS))
+        """Tokens of either tag, in all and by feature."""
+        hasher, total = Hasher(), np.zeros((2, 1 + sum(sizes)))
         for batch, i, j, _, lines in _blocks_of(batches, hasher):
-            tags = tags_of(lines, batch.column("toxic").to_numpy(zero_copy_only=False)[i:j] == 1)
-            for k in range(TABLES):
-                total[1, k] += np.bincount(lines.features[k], tags, 1 << BITS)
-                total[0, k] += np.bincount(lines.features[k], 1 - tags, 1 << BITS)
+            tags = tags_of(lines, _toxic_rows(batch, i, j))
+            for y, weight in ((0, 1 - tags), (1, tags)):
+                total[y] += np.concatenate([[weight.sum()], *(
+                    np.bincount(t.find(h) + 1, weight, n + 1)[1:] for t, h, n in zip(terms, lines.hashes, sizes, strict=True))])
         return total
 
     seen = partition_sum(labelled, tokens)
-    ones, zeros = seen[1, 0].sum(), seen[0, 0].sum()
-    if ones == 0:
-        return None
+    zeros, ones = seen[:, 0]
+    share = ones / (ones + zeros)
     prior = np.log((ones + 1) / (zeros + 1))
-    weights = (np.log((seen[1] + ones / (ones + zeros)) / (seen[0] + zeros / (ones + zeros))) - prior) / TABLES * 2
-    model = Model(weights.astype(np.float32), float(prior), np.zeros((2, 2)))
+    start = (np.log((seen[1, 1:] + share) / (seen[0, 1:] + 1 - share)) - prior) / TABLES * 2
+    cuts = np.cumsum(sizes)[:-1]
+    model = Model(terms, np.split(start, cuts), float(prior), np.zeros((2, 2)))
     for _ in range(STEPS):
-        now = model
-
-        def climb(batches, now=now):
-            hasher, total = Hasher(), np.zeros(TABLES * (1 << BITS) + 6)
+        def climb(batches, now=model):
+            hasher, total = Hasher(), np.zeros(sum(sizes) + 6)
             for batch, i, j, _, lines in _blocks_of(batches, hasher):
-                tags = tags_of(lines, batch.column("toxic").to_numpy(zero_copy_only=False)[i:j] == 1)
-                total += gradient(now, lines, tags)
+                total += gradient(now, lines, tags_of(lines, _toxic_rows(batch, i, j)))
             return total
 
         slope = partition_sum(labelled, climb)
-        size = TABLES * (1 << BITS)
-        # Each weight moves by its own count: a step of at most one, however frequent the feature.
-        move = slope[:size].reshape(TABLES, -1) / (seen.sum(axis=0) + 5)
-        model = Model((now.weights + 2 * move).astype(np.float32), now.bias + float(slope[size] / max(slope[-1], 1)),
-                      now.moves + slope[size + 1:size + 5].reshape(2, 2) / max(slope[-1], 1))
+        # Each weight moves by its own count: a step of at most two, however frequent the feature.
+        move = 2 * slope[:-6] / (seen[:, 1:].sum(axis=0) + 5)
+        model = Model(terms, np.split(np.concatenate(model.weights) + move, cuts), model.bias + float(slope[-6] / slope[-1]),
+                      model.moves + slope[-5:-1].reshape(2, 2) / slope[-1])
     return model
 
 
