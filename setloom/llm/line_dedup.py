@@ -3,7 +3,9 @@
 Pages are grouped by host. A line with a visible character is boilerplate of its host if at least ``min_pages`` of the
 host's pages have it and these are more than ``max_ratio`` of all its pages. Boilerplate lines are dropped from the pages
 of that host, except where they make up more than ``max_loss`` of a page's characters: such a page is a copy, which is not
-for this operator to empty. Lines are told apart by their MD5; a line counts once per page.
+for this operator to empty. With ``max_loss`` None no page is exempt, and copies are told by what they are: pages and lines
+count once per distinct text of the host, so copies of one text are no frequency. Lines are told apart by their MD5; a line
+counts once per page.
 
 A host has at most (mean lines per page / ``max_ratio``) boilerplate lines, so they fit in one row per host. These rows
 are broadcast up to ``BROADCAST_LINES`` lines in all; beyond that the pages are dealt by host and salt and joined. Counts
@@ -53,24 +55,28 @@ def _visible(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r")) != ""
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pages: int,
+                distinct_texts: bool = False) -> DataFrame:
     """``_host, _bad``: the keys of each host's boilerplate lines."""
-    lines = pages.select(
-        F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("_host"), F.col(f"`{host}`").isNull().alias("_no_host"),
-        F.explode(F.array_distinct(F.filter(F.split(F.col(f"`{text}`"), "\n"), _visible))).alias("_line"))
-    counted = lines.groupBy("_host", "_no_host", F.unhex(F.md5(F.col("_line"))).alias("_key")).agg(
-        F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    totals = pages.groupBy(F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("_host"),
-                           F.col(f"`{host}`").isNull().alias("_no_host")).agg(F.count(F.lit(1)).alias("_all"))
+    named = (F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("_host"), F.col(f"`{host}`").isNull().alias("_no_host"))
+    same = [F.xxhash64(F.col(f"`{text}`")).alias("_same")] if distinct_texts else []
+    lines = pages.select(*named, *same, F.explode(
+        F.array_distinct(F.filter(F.split(F.col(f"`{text}`"), "\n"), _visible))).alias("_line"))
+    lines = lines.select("_host", "_no_host", *(["_same"] if same else []), F.unhex(F.md5(F.col("_line"))).alias("_key"))
+    counts = pages.select(*named, *same)
+    if same:
+        lines, counts = lines.distinct(), counts.distinct()
+    counted = lines.groupBy("_host", "_no_host", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
+    totals = counts.groupBy("_host", "_no_host").agg(F.count(F.lit(1)).alias("_all"))
     frequent = counted.join(totals, ["_host", "_no_host"]).where(F.col("_n") > F.col("_all") * max_ratio)
     return frequent.groupBy("_host", "_no_host").agg(F.sort_array(F.collect_list("_key")).alias("_bad"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", max_ratio: float = 0.02, min_pages: int = 5,
-                     max_loss: float = 0.5) -> DataFrame:
+                     max_loss: float | None = 0.5) -> DataFrame:
     """All rows, with boilerplate lines gone from ``text``, and ``n_lines`` and ``n_dropped`` (long)."""
     kept = own_names(pages, "n_lines", "n_dropped", "_host", "_no_host", "_bad", "_lines", "_left")
-    bad = cut_lineage(boilerplate(kept, host, text, max_ratio, min_pages))
+    bad = cut_lineage(boilerplate(kept, host, text, max_ratio, min_pages, max_loss is None))
     size = bad.agg(F.sum(F.size("_bad"))).first()[0] or 0
     keyed = kept.withColumns({"_host": F.coalesce(F.col(f"`{host}`"), F.lit("")), "_no_host": F.col(f"`{host}`").isNull()})
     if size <= BROADCAST_LINES:
@@ -85,8 +91,9 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", max_ratio:
     left = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter(
         "_lines", lambda x: ~_visible(x) | ~F.array_contains(F.col("_bad"), F.unhex(F.md5(x)))))
     found = found.select(*names, "_lines", left.alias("_left"))
-    short = F.length(F.array_join("_left", "\n")) < F.length(F.col(f"`{text}`")) * (1 - max_loss)
-    found = found.select(*names, "_lines", F.when(short, F.col("_lines")).otherwise(F.col("_left")).alias("_left"))
+    if max_loss is not None:
+        short = F.length(F.array_join("_left", "\n")) < F.length(F.col(f"`{text}`")) * (1 - max_loss)
+        found = found.select(*names, "_lines", F.when(short, F.col("_lines")).otherwise(F.col("_left")).alias("_left"))
     return found.withColumns({
         text: F.array_join("_left", "\n"), "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
         "n_dropped": F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long"),
