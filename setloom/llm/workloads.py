@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import bpe, chat, decontaminate, licenses, line_dedup, quality_model, quality_rules, sharding, simhash, toxicity
+from . import (
+    align, bpe, chat, decontaminate, licenses, line_dedup, merkle, quality_model, quality_rules, sharding, simhash, token_counts,
+    toxicity)
 from .text import table
 
 VOCABULARY = bpe.Vocabulary(
@@ -105,6 +107,37 @@ def op10_chat_format(spark, sf):
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark, sf):
+    """Every document's leaf, roots and proof; every seventh (by hash) is folded from a tampered leaf and must not verify."""
+    docs = table(spark, sf, "documents").select(*MANIFEST_FIELDS)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    leaf = merkle.leaf_digest(*[F.col(c) for c in MANIFEST_FIELDS])
+    other = merkle.leaf_digest(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in MANIFEST_FIELDS])
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(tampered, other).alias("altered"))
+    proved = merkle.manifest(leaves)
+    folded = proved.withColumn("folded_root", merkle.fold(F.coalesce("altered", "leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof.digest", ""), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_token_counts(spark, sf):
+    """Bytes and tokens of every document under the byte-level BPE file."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op13_tokenizer_alignment(spark, sf):
+    """Every document aligned under two tokenizers, with the corpus counts of its linked id pairs."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pair = align.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.link_sums(docs, pair).select("doc_id", *align.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
 # The lengths follow from the markers: two markers, two line feeds and the escapes of each turn.
 CHAT_SQL = r"""
 WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
@@ -210,6 +243,62 @@ FROM based
 """
 
 
+# The CRC-32 comes from its polynomial: a table by eight shifts, then one step a character of the decimal id.
+_CRC = "x"
+for _ in range(8):
+    _CRC = f"(SELECT xor(y >> 1, (y & 1) * 3988292384::UBIGINT) FROM (SELECT {_CRC} AS y))"
+
+
+def _sql_field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({name}::VARCHAR) || ':' || {name}::VARCHAR END"
+
+
+def _sql_levels(name: str, leaves: str) -> str:
+    return f"""{name} AS (SELECT tree, 0 AS l, i, h, n FROM {leaves} UNION ALL
+   SELECT tree, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2
+   FROM {name} WHERE n > 1 GROUP BY tree, l, i // 2)"""
+
+
+def _sql_steps(levels: str) -> str:
+    """Sibling of each node on the way up; ``odd`` where the node itself is the right one."""
+    return f"""SELECT a.tree, a.l, a.i, b.h AS sibling, a.i % 2 = 1 AS odd FROM {levels} a
+   LEFT JOIN {levels} b ON a.tree = b.tree AND a.l = b.l AND b.i = xor(a.i, 1) WHERE a.n > 1"""
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY x) AS t FROM (
+   SELECT x, {_CRC} AS v FROM (SELECT unnest(range(256))::UBIGINT AS x))),
+ids AS (SELECT DISTINCT doc_id AS id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL),
+crcs AS (SELECT id, xor(list_reduce(list_prepend(4294967295::UBIGINT,
+   list_transform(string_split(s, ''), lambda c: ascii(c)::UBIGINT)),
+   lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS crc FROM ids, crc_table),
+docs AS (SELECT row_number() OVER () AS r, d.*, coalesce(crc % 7 = 0, false) AS bad
+   FROM documents d LEFT JOIN crcs ON d.doc_id = crcs.id),
+hashed AS (SELECT r, doc_id, coalesce('+' || lang, '') AS tree,
+   sha256({" || ".join(map(_sql_field, MANIFEST_FIELDS))}) AS h,
+   CASE WHEN bad THEN sha256({" || ".join(_sql_field(f"({c} + 1)" if c == "n_chars" else c) for c in MANIFEST_FIELDS)}) END AS other
+   FROM docs),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, r) - 1 AS i,
+   count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+{_sql_levels("nodes", "leaves")},
+tops AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n
+   FROM nodes WHERE n = 1),
+{_sql_levels("upper", "tops")},
+node_steps AS ({_sql_steps("nodes")}), upper_steps AS ({_sql_steps("upper")}),
+steps AS (SELECT r, s.l AS k, sibling, odd FROM leaves f JOIN node_steps s ON f.tree = s.tree AND s.i = f.i >> s.l
+   UNION ALL
+   SELECT r, 64 + s.l, sibling, odd FROM leaves f JOIN tops t ON f.tree = t.name JOIN upper_steps s ON s.i = t.i >> s.l),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS k_, count(*) OVER (PARTITION BY r) AS m FROM steps),
+fold AS (SELECT r, 1 AS k_, coalesce(other, h) AS h FROM leaves UNION ALL
+   SELECT f.r, f.k_ + 1, sha256(CASE WHEN sibling IS NULL THEN h WHEN odd THEN sibling || h ELSE h || sibling END)
+   FROM fold f JOIN numbered s ON f.r = s.r AND f.k_ = s.k_),
+folded AS (SELECT r, arg_max(h, k_) AS folded_root FROM fold GROUP BY r),
+proofs AS (SELECT r, sha256(coalesce(string_agg(sibling, '' ORDER BY k) FILTER (sibling IS NOT NULL), '')) AS p FROM steps GROUP BY r)
+SELECT doc_id, f.h AS leaf, t.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+   coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT h FROM upper WHERE n = 1) AS verified
+FROM leaves f JOIN tops t ON f.tree = t.name JOIN folded USING (r) LEFT JOIN proofs USING (r)
+"""
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_decontamination": op2_decontamination,
@@ -221,6 +310,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES = {
@@ -228,4 +320,5 @@ ORACLES = {
     "op6_license_scan": LICENSE_SQL,
     "op9_line_dedup": LINE_DEDUP_SQL,
     "op10_chat_format": CHAT_SQL,
+    "op11_merkle_manifest": MERKLE_SQL,
 }
