@@ -5,7 +5,7 @@ numbers of its keys and how often each occurs. Only the distinct keys of a block
 key, go back to their block, and the sums of each document are taken inside the block. What moves by key is what the blocks
 hold, not what the documents hold; a key that is in every document has one row a block. Nothing is broadcast.
 
-Blocks are checkpointed, as they are read twice: to find the keys, and to sum.
+Blocks are checkpointed, as they are read twice: to find the keys, and to sum. Keys and numbers travel compressed.
 """
 
 from __future__ import annotations
@@ -37,11 +37,34 @@ def row_groups(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int
         yield first, first + len(group), group
 
 
-def schema(kept: T.StructType, key: T.DataType) -> T.StructType:
+def schema(kept: T.StructType) -> T.StructType:
     return T.StructType([
         T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(kept)),
-        T.StructField("packed", T.BinaryType()), T.StructField("lengths", T.ArrayType(T.LongType())),
-        T.StructField("keys", T.ArrayType(key)), T.StructField("totals", T.ArrayType(T.LongType()))])
+        T.StructField("packed", T.BinaryType()), T.StructField("keys", T.BinaryType())])
+
+
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays in one compressed buffer: their number of bytes first, each array by its bytes of like weight."""
+    parts = []
+    for values in arrays:
+        raw = values if isinstance(values, bytes) else np.ascontiguousarray(
+            values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+        small = pa.compress(raw, codec=_CODEC, asbytes=True)
+        parts += [np.array([len(raw), len(small)], np.int64).tobytes(), small]
+    return b"".join(parts)
+
+
+def unpack(packed: bytes, *kinds) -> list:
+    out, at = [], 0
+    for kind in kinds:
+        raw, small = np.frombuffer(packed, np.int64, 2, at).tolist()
+        held = pa.decompress(packed[at + 16:at + 16 + small], raw, codec=_CODEC, asbytes=True)
+        at += 16 + small
+        if kind is not bytes:
+            width = np.dtype(kind).itemsize
+            held = np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(width, -1).T).view(kind).ravel()
+        out.append(held)
+    return out
 
 
 class Packer:
@@ -61,7 +84,7 @@ class Packer:
         held, times = np.unique(doc * span + numbers, return_counts=True)
         self.sizes.append(np.bincount(held // span, minlength=len(sizes)))
         self.numbers.append(held % span)
-        self.times.append(times)
+        self.times.append(times.astype(np.uint32))
         self.rows.append(rows)
         self.bytes += n_bytes
 
@@ -70,53 +93,109 @@ class Packer:
         return self.bytes >= self.limit
 
     def block(self, keys_of: Callable[[np.ndarray], pa.Array]) -> Iterator[pa.RecordBatch]:
-        """The block gathered so far, if any. ``keys_of`` names the keys behind numbers."""
+        """The block gathered so far, if any. ``keys_of`` names the keys behind numbers: strings or longs."""
         if not self.rows:
             return
         numbers, times = np.concatenate(self.numbers), np.concatenate(self.times)
         used, which = np.unique(numbers, return_inverse=True)
-        totals = np.bincount(which, weights=times, minlength=len(used)).astype(np.int64)
         # Frequent keys first: small numbers pack better.
         order = np.argsort(-np.bincount(which, minlength=len(used)), kind="stable")
         place = np.empty(len(used), np.int64)
         place[order] = np.arange(len(used))
-        ends = np.cumsum(np.concatenate(self.sizes))
-        parts = [x.tobytes() for x in (ends.astype(np.int64), place[which].astype(np.uint32), times.astype(np.uint32))]
-        packed = [pa.compress(x, codec=_CODEC, asbytes=True) for x in parts]
-        rows = pa.concat_arrays(self.rows)
+        sizes = np.concatenate(self.sizes)
+        ends = np.cumsum(sizes)
+        # Places of a document in ascending order, each but its first as the distance to the one before.
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        sort = np.lexsort((place[which], doc))
+        ranked = place[which][sort]
+        step = np.diff(ranked, prepend=0)
+        firsts = (ends - sizes)[sizes > 0]
+        step[firsts] = ranked[firsts]
+        totals = np.bincount(which, weights=times, minlength=len(used)).astype(np.uint32)[order]
         names = keys_of(used[order])
         number = (TaskContext.get().partitionId() << 32) | self.made
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        rows = pa.concat_arrays(self.rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), one(rows), pa.array([b"".join(packed)], pa.binary()),
-             one(pa.array([n for pair in zip(map(len, parts), map(len, packed), strict=True) for n in pair], pa.int64())),
-             one(names), one(pa.array(totals[order]))],
-            names=["block", "rows", "packed", "lengths", "keys", "totals"])
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+             pa.array([pack(sizes.astype(np.uint32), step.astype(np.uint32), times[sort])], pa.binary()),
+             pa.array([_pack_keys(names, totals)], pa.binary())], names=["block", "rows", "packed", "keys"])
         self.made += 1
         self._clear()
 
 
-def _unpacked(packed: bytes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    out, at = [], 0
-    for raw, small, kind in zip(lengths[::2], lengths[1::2], (np.int64, np.uint32, np.uint32), strict=True):
-        out.append(np.frombuffer(pa.decompress(packed[at:at + small], raw, codec=_CODEC, asbytes=True), kind))
-        at += small
-    return tuple(out)
+def _pack_keys(names: pa.Array, totals: np.ndarray) -> bytes:
+    if pa.types.is_string(names.type):
+        raw = [x.encode() for x in names.to_pylist()]
+        return pack(totals, np.fromiter(map(len, raw), np.uint32, len(raw)), b"".join(raw))
+    return pack(totals, names.to_numpy().astype(np.int64))
+
+
+def _unpack_keys(packed: bytes, key: pa.DataType) -> tuple[np.ndarray, pa.Array]:
+    if pa.types.is_string(key):
+        totals, sizes, raw = unpack(packed, np.uint32, np.uint32, bytes)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+        return totals, pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    totals, keys = unpack(packed, np.uint32, np.int64)
+    return totals, pa.array(keys, pa.int64())
+
+
+def block_keys(blocks: DataFrame, key: T.DataType) -> DataFrame:
+    """``block, place, key, total``: the distinct keys of each block and how often each occurs in it."""
+    kind = pa.string() if isinstance(key, T.StringType) else pa.int64()
+
+    def run(batches):
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                totals, keys = _unpack_keys(packed, kind)
+                block = np.full(len(keys), number)
+                for i in range(0, len(keys), 50_000):
+                    j = min(i + 50_000, len(keys))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block[i:j]), pa.array(np.arange(i, j, dtype=np.int32)), keys.slice(i, j - i),
+                         pa.array(totals[i:j].astype(np.int64))], names=["block", "place", "key", "total"])
+
+    out = T.StructType([T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()),
+                        T.StructField("key", key), T.StructField("total", T.LongType())])
+    return blocks.select("block", "keys").mapInArrow(run, out)
+
+
+GATHERED = 1 << 20
+
+
+def _gather(found: DataFrame, names: list[str]) -> DataFrame:
+    """``block, found``: values for the places of a block, packed as far as a task meets them together."""
 
+    def rows(parts):
+        block, place, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, block))
+        block, place, values = block[order], place[order].astype(np.uint32), [v[order] for v in values]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+        packed = [pack(np.diff(place[i:j], prepend=np.uint32(0)), *[v[i:j] for v in values]) for i, j in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(packed, pa.binary())], names=["block", "found"])
 
-def key_sums(blocks: DataFrame, values_of: Callable[[DataFrame], DataFrame], names: list[str]) -> DataFrame:
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                held += batch.num_rows
+            if held >= GATHERED:
+                yield rows(parts)
+                parts, held = [], 0
+        if held:
+            yield rows(parts)
+
+    return found.select("block", "place", *[F.col(n).cast("long") for n in names]).mapInArrow(run, "block long, found binary")
+
+
+def key_sums(blocks: DataFrame, key: T.DataType, values_of: Callable[[DataFrame], DataFrame], names: list[str]) -> DataFrame:
     """The packed rows, each with the sum of every named key value over its keys, repeats included.
 
-    ``values_of`` gets ``key, total`` rows (a key once a block, with its occurrences there) and gives one row a key:
-    ``key`` and the named long columns.
+    ``values_of`` gets ``block, place, key, total`` rows, a key once a block, and gives ``block, place`` with the named
+    values of the key there; a key without values is worth nothing.
     """
     blocks = cut_lineage(blocks)
-    zipped = F.posexplode(F.arrays_zip("keys", "totals"))
-    every = blocks.select("block", zipped.alias("place", "_k")).select(
-        "block", "place", F.col("_k.keys").alias("key"), F.col("_k.totals").alias("total"))
-    values = values_of(every.select("key", "total"))
-    back = every.select("block", "place", "key").join(values, "key").groupBy("block").agg(
-        F.collect_list(F.struct("place", *names)).alias("found"))
+    back = _gather(values_of(block_keys(blocks, key)), names).groupBy("block").agg(F.collect_list("found").alias("found"))
     kept = blocks.schema["rows"].dataType.elementType
     out = T.StructType([*kept.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
@@ -124,15 +203,22 @@ def key_sums(blocks: DataFrame, values_of: Callable[[DataFrame], DataFrame], nam
         for batch in batches:
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
             for i in range(batch.num_rows):
-                ends, which, times = _unpacked(column["packed"][i].as_py(), column["lengths"][i].as_py())
-                rows, found = column["rows"][i].values, column["found"][i].values
+                sizes, step, times = unpack(column["packed"][i].as_py(), np.uint32, np.uint32, np.uint32)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                starts = ends - sizes
+                # Distances back to places: a running sum that starts anew with each document.
+                upto = np.concatenate([[0], np.cumsum(step, dtype=np.int64)])
+                which = upto[1:] - np.repeat(upto[starts], sizes)
+                worth = np.zeros((len(names), int(which.max(initial=0)) + 1), np.int64)
+                for packed in column["found"][i].as_py() or []:
+                    place, *values = unpack(packed, np.uint32, *[np.int64] * len(names))
+                    place = np.cumsum(place, dtype=np.int64)
+                    for k, v in enumerate(values):
+                        worth[k, place] = v
                 sums = []
-                for name in names:
-                    worth = np.zeros(int(which.max(initial=0)) + 1, np.int64)
-                    if found is not None:
-                        worth[found.field("place").to_numpy()] = found.field(name).to_numpy()
-                    upto = np.concatenate([[0], np.cumsum(worth[which] * times.astype(np.int64))])
-                    sums.append(pa.array(np.diff(upto[np.concatenate([[0], ends])]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.flatten(), *sums], names=out.names)
-
-    return blocks.select("block", "rows", "packed", "lengths").join(back, "block", "left").mapInArrow(run, out)
+                for value in worth:
+                    total = np.concatenate([[0], np.cumsum(value[which] * times.astype(np.int64))])
+                    sums.append(pa.array(total[ends] - total[starts], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*column["rows"][i].values.flatten(), *sums], names=out.names)
+
+    return blocks.select("block", "rows", "packed").join(back, "block", "left").mapInArrow(run, out)

@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import postings
-from .bpe import KNOWN, Runs, _totals
+from .bpe import Runs, _totals
 from .text import bounded_batches, own_names
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
+KNOWN = 1_000_000
 _STRETCH = regex.compile(r"\s*\S+|\s+").findall
 
 
@@ -123,24 +124,33 @@ def pre_token_blocks(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         yield from packer.block(keys_of)
 
     ordered = kept.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`"))
-    return ordered.mapInArrow(run, postings.schema(rows, T.StringType()))
+    return ordered.mapInArrow(run, postings.schema(rows))
 
 
-def count_pieces(pre_tokens: DataFrame, path: str) -> DataFrame:
-    """``key, pieces`` of distinct ``key`` rows: in how many tokens the library cuts a pre-token."""
+def count_pieces(every: DataFrame, path: str) -> DataFrame:
+    """``block, place, pieces`` of ``block, place, key`` rows: in how many tokens the library cuts the pre-token.
+
+    Equal pre-tokens of all blocks meet in one sorted run, whose first row counts them. A pre-token is in a block once, so
+    a run is no longer than the number of blocks, and it streams.
+    """
 
     def run(batches):
         model = splitter(path).tokenizer.model
+        last, last_pieces = None, 0
         for batch in batches:
-            keys = batch.column(0)
-            pieces = [len(model.tokenize(name)) for name in keys.to_pylist()]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(pieces, pa.int64())], names=["key", "pieces"])
+            pieces = np.empty(batch.num_rows, np.int64)
+            for i, name in enumerate(batch.column(2).to_pylist()):
+                if name != last:
+                    last, last_pieces = name, len(model.tokenize(name))
+                pieces[i] = last_pieces
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(pieces)], names=["block", "place", "pieces"])
 
-    return pre_tokens.select("key").mapInArrow(run, "key string, pieces long")
+    runs = every.select("block", "place", "key").repartition("key").sortWithinPartitions("key")
+    return runs.mapInArrow(run, "block long, place int, pieces long")
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns but the text, with ``n_bytes`` (UTF-8) and ``n_tokens``."""
     blocks = pre_token_blocks(df, path, text)
-    found = postings.key_sums(blocks, lambda every: count_pieces(every.select("key").distinct(), path), ["pieces"])
+    found = postings.key_sums(blocks, T.StringType(), lambda every: count_pieces(every, path), ["pieces"])
     return found.withColumn("n_tokens", F.col("n_special") + F.col("pieces")).drop("n_special", "pieces")
