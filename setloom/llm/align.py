@@ -88,9 +88,10 @@ def expand_links(a_ends: np.ndarray, b_ends: np.ndarray, a_cut: np.ndarray, b_cu
     step = np.arange(len(slice_)) - np.repeat(np.cumsum(size) - size, size)
     left = a_from[slice_] + np.minimum(step, n_a[slice_] - 1)
     right = b_from[slice_] + np.minimum(step, n_b[slice_] - 1)
-    wide = np.flatnonzero((n_a > 1) & (n_b > 1))
+    broad = (n_a > 1) & (n_b > 1)
+    wide = np.flatnonzero(broad)
     if len(wide):
-        here = np.isin(slice_, wide)
+        here = broad[slice_]
         # The links of a wide slice end where a token of either side ends.
         ends = np.union1d(a_ends[spread(a_from[wide], n_a[wide])], b_ends[spread(b_from[wide], n_b[wide])])
         left[here], right[here] = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
@@ -166,8 +167,18 @@ def groups_text(x: Aligned) -> str:
     sign[n_a + x.b_cut - 1] = 2
     order[np.arange(n_a) + np.concatenate([[0], x.b_cut])[a_group]] = np.arange(n_a)
     order[np.arange(n_b) + x.a_cut[b_group]] = n_a + np.arange(n_b)
-    signs = (",", "|", ";")
-    return "".join([f"{i}{signs[s]}" for i, s in zip(ids[order].tolist(), sign[order].tolist(), strict=True)])[:-1]
+    return "".join(map(_SIGNED.__getitem__, (3 * ids + sign)[order].tolist()))[:-1]
+
+
+class _SignedIds(dict):
+    """Text of id and sign by their joint number, made on first use; ids are those of two vocabularies."""
+
+    def __missing__(self, number: int) -> str:
+        self[number] = f"{number // 3}{',|;'[number % 3]}"
+        return self[number]
+
+
+_SIGNED = _SignedIds()
 
 
 @lru_cache(maxsize=1)
@@ -229,7 +240,7 @@ def link_blocks(df: DataFrame, pair: Pair, text: str = "text") -> DataFrame:
                     yield from packer.block(keys_of)
         yield from packer.block(keys_of)
 
-    return ordered.mapInArrow(run, postings.schema(rows, T.LongType()))
+    return ordered.mapInArrow(run, postings.schema(rows))
 
 
 def pair_counts(every: DataFrame) -> DataFrame:
@@ -244,5 +255,8 @@ def pair_counts(every: DataFrame) -> DataFrame:
 def link_sums(df: DataFrame, pair: Pair, text: str = "text") -> DataFrame:
     """All columns but the text, with the counts of tokens, groups and links, the digest of the groups, and over the links
     ``n_best`` (the pair is a most frequent one of its B id) and ``count_sum`` (corpus count of the pair)."""
-    found = postings.key_sums(link_blocks(df, pair, text), pair_counts, ["best", "n"])
+    def counted(every: DataFrame) -> DataFrame:
+        return every.select("block", "place", "key").join(pair_counts(every), "key")
+
+    found = postings.key_sums(link_blocks(df, pair, text), T.LongType(), counted, ["best", "n"])
     return found.withColumnRenamed("best", "n_best").withColumnRenamed("n", "count_sum")
