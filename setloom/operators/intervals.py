@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import range_scan
+
 # Bin widths 64, 512, 4096, ... (64 * 8^level); eleven levels reach beyond 6e10.
 LEVELS = 11
 _WIDTHS = [64 * 8**i for i in range(LEVELS)]
@@ -85,6 +87,38 @@ def overlap_join(
         "_level", "_bin", "_channel", f"{ta}_level", f"{tb}_level", f"{ta}_bin_start")
 
 
+def count_overlaps(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys, id, n``: how many intervals of ``b`` overlap each id of ``a`` (needs ``id``; rows of one id add up).
+
+    No pair is formed: the overlaps of [s, e] are the starts up to e less the ends before s, both from one ordered scan over
+    starts, ends and questions. A crowded locus costs its rows, not their product. Rows with start > end never match;
+    ids without a valid interval are left out.
+    """
+    keys = keys or ["chrom"]
+    valid = F.col("start").cast("long") <= F.col("end").cast("long")
+    zero = F.lit(0).cast("long")
+
+    def marks(side: DataFrame, at: str, turn: int, starts, ends, name) -> DataFrame:
+        return side.select(*keys, F.col(at).cast("long").alias("_x"), F.lit(turn).alias("_turn"), name.alias("id"),
+                           starts.alias("_starts"), ends.alias("_ends"))
+
+    mine, theirs, count = a.where(valid), b.where(valid), F.count(F.lit(1)).alias("_c")
+    none = F.lit(None).cast(a.schema["id"].dataType)
+    # Equal starts and equal ends are one mark each. At one coordinate: lower questions, starts, ends, upper questions.
+    every = marks(mine, "start", 0, zero, zero, F.col("id")).unionAll(
+        marks(theirs.groupBy(*keys, "start").agg(count), "start", 1, F.col("_c"), zero, none)).unionAll(
+        marks(theirs.groupBy(*keys, "end").agg(count), "end", 2, zero, F.col("_c"), none)).unionAll(
+        marks(mine, "end", 3, zero, zero, F.col("id")))
+    asked = range_scan(every, keys, ["_x", "_turn", "id"], ["_starts", "_ends"]).where(F.col("_turn").isin(0, 3)).select(
+        *keys, "id", F.when(F.col("_turn") == 3, F.col("_starts")).otherwise(-F.col("_ends")).alias("_v"))
+    return asked.groupBy(*keys, "id").agg(F.sum("_v").alias("n"))
+
+
+def overlapping_ids(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys, id`` of ``a`` that overlap at least one interval of ``b``, without forming pairs."""
+    return count_overlaps(a, b, keys).where("n > 0").drop("n")
+
+
 def saf_overlaps(enhancers: DataFrame, annotation: DataFrame) -> DataFrame:
     """All overlapping pairs of two SAF tables (GeneID, Chr, Start, End) with both sides' columns."""
 
@@ -129,7 +163,7 @@ def exclude_overlaps(
         (F.col("end") + extend_bp).alias("end"),
     )
     slim = annotation.select(*keys, "start", "end", "id")
-    hit = overlap_join(slim, wide, keys).select(*keys, F.col("a_id").alias("id")).distinct()
+    hit = overlapping_ids(slim, wide, keys)
     return annotation.join(hit, [*keys, "id"], "left_anti")
 
 
@@ -181,18 +215,20 @@ def lookup_variants(rsids: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def union_length(exons: DataFrame, keys: list[str]) -> DataFrame:
-    """Covered length of each feature: its intervals merged, then summed.
+    """Covered length of each feature: where its depth leaves zero is subtracted, where it comes back to zero is added.
 
-    Identical intervals are merged before ordering. Keys usually are (gene_id); chrom is
-    part of the merge so that a feature on two chromosomes is counted on both.
+    Keys usually are (gene_id); a feature on two chromosomes is counted on both. The depth is one ordered scan over starts
+    and ends, so that a feature may have any share of the intervals. Rows with start > end cover nothing.
     """
-    distinct = exons.select(*keys, "chrom", "start", "end").distinct()
-    w = Window.partitionBy(*keys, "chrom").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    marked = distinct.withColumn("_reach", F.max("end").over(w))
-    covered = F.when(F.col("_reach").isNull(), F.col("end") - F.col("start") + 1).otherwise(
-        F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start") - 1, F.col("_reach")))
-    )
-    return marked.groupBy(*keys).agg(F.sum(covered).alias("length"))
+    at = [*keys, "chrom"]
+    valid = exons.where(F.col("start") <= F.col("end"))
+    marks = valid.select(*at, F.explode(F.array(
+        F.struct(F.col("start").cast("long").alias("x"), F.lit(1).cast("long").alias("d")),
+        F.struct((F.col("end") + 1).cast("long").alias("x"), F.lit(-1).cast("long").alias("d")))).alias("m"))
+    steps = marks.groupBy(*at, F.col("m.x").alias("_x")).agg(F.sum("m.d").alias("_d")).where("_d <> 0")
+    depth = range_scan(steps.withColumn("_depth", F.col("_d")), at, ["_x"], ["_depth"])
+    edge = F.when(F.col("_depth") == 0, F.col("_x")).when(F.col("_depth") == F.col("_d"), -F.col("_x")).otherwise(0)
+    return depth.groupBy(*keys).agg(F.sum(edge).alias("length"))
 
 
 def count_reads(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .scan import HOT_ROWS, group_quantile, has_hot_group, ordered_scan
+from .scan import HOT_ROWS, group_quantile, group_quantiles, has_hot_group, ordered_scan
 
 CELL = ["study_id", "feature_id", "sample_id"]
 
@@ -303,11 +303,9 @@ def _scale(dense: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def colour_breaks(values: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """5 % and 95 % quantiles of all cells of a study."""
+    """5 % and 95 % quantiles of all cells of a study, from one pass."""
     v = values.where(F.col("value").isNotNull())
-    lo = group_quantile(v, ["study_id"], "value", 0.05, "q05", hot_rows=hot_rows)
-    hi = group_quantile(v, ["study_id"], "value", 0.95, "q95", hot_rows=hot_rows)
-    return lo.join(hi, "study_id")
+    return group_quantiles(v, ["study_id"], "value", {"q05": 0.05, "q95": 0.95}, hot_rows=hot_rows)
 
 
 def value_quantiles(values: DataFrame, steps: int = 100, hot_rows: int | None = HOT_ROWS) -> DataFrame:

@@ -92,6 +92,25 @@ def ordered_scan(
     return out.drop("_o", *[f"_v_{s}" for s in sums])
 
 
+def range_scan(df: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """Turn each of ``sums`` into its inclusive running sum within ``keys``, by the ``order`` columns.
+
+    One range sort over all groups at once: a group may be any share of the rows, and no plan depends on its size. Rows that
+    are equal in ``keys`` and ``order`` share a task, so the order should tell rows apart.
+    """
+    by = [*keys, *order]
+    # Kept, as range bounds come from a sample and the runs are read twice.
+    ranged = cut_lineage(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums])
+    upto = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = ranged.join(shift, [*keys, "_part"])
+    for c in sums:
+        run = run.withColumn(c, F.sum(c).over(upto) + F.col(f"_off_{c}"))
+    return run.drop("_part", *[f"_off_{c}" for c in sums])
+
+
 def average_rank(
     df: DataFrame, keys: list[str], value: str, rank: str = "rank", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
@@ -102,19 +121,18 @@ def average_rank(
     return df.join(ranks, [*keys, value])
 
 
-def group_quantile(
+def group_quantiles(
     df: DataFrame,
     keys: list[str],
     value: str,
-    q: float,
-    out: str,
+    wanted: dict[str, float],
     zeros: str | None = None,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Exact quantile (linear interpolation between order statistics) of each group.
+    """Exact quantiles (linear interpolation between order statistics) of each group, all from one pass.
 
-    ``zeros`` names a column, constant per group, with the number of implicit zeros; the
-    stored values must then be non-negative, so that the zeros rank before them.
+    ``wanted`` names an output column for each quantile. ``zeros`` names a column, constant per group, with the number of
+    implicit zeros; the stored values must then be non-negative, so that the zeros rank before them.
     """
     z = F.col(zeros).cast("long") if zeros else F.lit(0).cast("long")
     counts = df.select(*keys, F.col(value).alias("_v"), z.alias("_z")).groupBy(*keys, "_v").agg(
@@ -123,18 +141,34 @@ def group_quantile(
     cum = ordered_scan(counts, keys, [F.col("_v")], rank=None, sums={"_cum": F.col("_c")}, hot_rows=hot_rows)
     total = counts.groupBy(*keys).agg((F.sum("_c") + F.max("_z")).alias("_n"))
     j = cum.join(total, keys)
-    pos = (F.col("_n") - 1) * F.lit(float(q))
-    lo = F.floor(pos) + 1
-    hi = F.ceil(pos) + 1
     last = F.col("_cum") + F.col("_z")
     first = last - F.col("_c") + 1
 
     def pick(at: Column) -> Column:
         return F.coalesce(F.max(F.when((at >= first) & (at <= last), F.col("_v"))), F.lit(0.0))
 
-    picked = j.groupBy(*keys).agg(pick(lo).alias("_lo"), pick(hi).alias("_hi"), F.max("_n").alias("_n"))
-    frac = (F.col("_n") - 1) * F.lit(float(q)) - F.floor((F.col("_n") - 1) * F.lit(float(q)))
-    return picked.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(out))
+    def place(q: float) -> Column:
+        return (F.col("_n") - 1) * F.lit(float(q))
+
+    ends = [c for k, q in enumerate(wanted.values()) for c in (
+        pick(F.floor(place(q)) + 1).alias(f"_lo{k}"), pick(F.ceil(place(q)) + 1).alias(f"_hi{k}"))]
+    picked = j.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    return picked.select(*keys, *[
+        (F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (place(q) - F.floor(place(q)))).alias(out)
+        for k, (out, q) in enumerate(wanted.items())])
+
+
+def group_quantile(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    q: float,
+    out: str,
+    zeros: str | None = None,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """One exact quantile of each group."""
+    return group_quantiles(df, keys, value, {out: q}, zeros, hot_rows)
 
 
 def adjust_p(

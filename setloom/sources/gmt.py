@@ -36,12 +36,16 @@ def ascii_fold(c: Column) -> Column:
 def read_sets(
     spark: SparkSession, paths: str | list[str], min_members: int = 5, study_id: str = "S", encoding: str = "ISO-8859-1",
 ) -> DataFrame:
-    """Sets in file order: study_id, set_ord, set_name, member, member_ord.
+    """Sets in file order: study_id, set_ord, set_name, member, member_ord."""
+    return parse_sets(_lines(spark, paths, encoding), min_members, study_id)
+
+
+def parse_sets(rows: DataFrame, min_members: int = 5, study_id: str = "S") -> DataFrame:
+    """Sets of lines (file, _block, _seq, value), in the order of file, block and number.
 
     A comment is skipped on the first line of a file only. Rows with fewer than three fields
     or fewer than ``min_members`` members drop out; repeated members and names stay.
     """
-    rows = _lines(spark, paths, encoding)
     at = F.struct("_block", "_seq")
     lead = rows.groupBy("file").agg(F.min(at).alias("_lead"))
     body = rows.join(lead, "file").where(~((at == F.col("_lead")) & F.col("value").rlike(r"^\s*#")))
@@ -55,7 +59,11 @@ def read_sets(
 
 def read_library(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Sets for the rule audit: term, source (file stem), description, size, first 20 genes."""
-    rows = _lines(spark, paths).withColumn("value", F.trim(F.col("value"))).where(F.col("value") != "")
+    return parse_library(_lines(spark, paths))
+
+
+def parse_library(lines: DataFrame) -> DataFrame:
+    rows = lines.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).where(F.col("value") != "")
     f = rows.select("file", F.split("value", "\t").alias("_f")).where(F.size("_f") >= 2)
     genes = F.slice("_f", 3, 2**31 - 1)
     return f.select(

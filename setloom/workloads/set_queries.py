@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import hypergeom_tail
-from ..operators import bipartite as bp, ora, sets as st, similarity as sim
-from ..operators.intervals import map_points
+from ..operators import bipartite as bp, ora, sets as st, similarity as sim, setjoin
+from ..operators.intervals import overlapping_ids
 from ..operators.scan import adjust_p
 from .roles import (
     BRAND_SETS_SQL, PROPERTY_SETS_SQL, RESULTS_SQL, SUPPLIER_SETS_SQL, brand_sets, intervals, intervals_sql,
@@ -56,7 +56,7 @@ def ora_interval_counts(spark, sf):
     """Property sets against the intervals open just before any event, counted per set."""
     x = intervals(spark, sf)
     points = x.select("chrom", (F.col("start") - 1).alias("start"), (F.col("start") - 1).alias("end"), "id")
-    hit = map_points(points, x).select(F.lit("E").alias("study_id"), F.col("annotation_id").cast("string").alias("member"))
+    hit = overlapping_ids(x, points).select(F.lit("E").alias("study_id"), F.col("id").cast("string").alias("member"))
     return ora.ora_counts(st.clean_sets(property_sets(spark, sf)), hit)
 
 
@@ -113,6 +113,23 @@ def set_cosine(spark, sf):
     return rounded(sim.cosine_pairs(s.select("study_id", "set_name", "member")), "similarity")
 
 
+def _basket_sets(spark, sf):
+    """The brands in each order as a set per order priority: many small sets, some of them alike."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("study_id"), F.col("o_orderkey").alias("l_orderkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
+    parts = table(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type").alias("member"))
+    return lines.join(o, "l_orderkey").join(parts, "p_partkey").select("study_id", F.col("l_orderkey").alias("set_name"), "member")
+
+
+def similar_baskets(spark, sf):
+    """All pairs of orders whose sets of brands and types have a Jaccard similarity of 0.6 or more."""
+    return rounded(setjoin.similar_sets(_basket_sets(spark, sf), 0.6), "similarity")
+
+
+def similar_baskets_cosine(spark, sf):
+    return rounded(setjoin.similar_sets(_basket_sets(spark, sf), 0.75, setjoin.COSINE), "similarity")
+
+
 def similarity_edges(spark, sf):
     return rounded(sim.similarity_network(results(spark, sf), 0.12)[1], "similarity")
 
@@ -187,6 +204,7 @@ QUERIES = {
     "bh_adjust": _adjusted("BH"), "by_adjust": _adjusted("BY"), "holm_adjust": _adjusted("holm"),
     "hochberg_adjust": _adjusted("hochberg"), "bonferroni_adjust": _adjusted("bonferroni"),
     "set_pairs": set_pairs, "set_cosine": set_cosine, "similarity_edges": similarity_edges,
+    "similar_baskets": similar_baskets, "similar_baskets_cosine": similar_baskets_cosine,
     "similarity_nodes": similarity_nodes, "elbow": elbow, "connectivity": connectivity,
     "helper_select": helper_select, "bipartite_edges": bipartite_edges, "bipartite_nodes": bipartite_nodes,
     "bipartite_sets": bipartite_sets, "fisher_top1": fisher_top1,
@@ -250,6 +268,13 @@ _BIP = f"""{RESULTS_SQL},
   sc AS (SELECT ok.study_id, ok.enh_set, ok.gene_set, max(-log10(greatest(p_adj, 2.2250738585072014e-308))) AS w FROM ok
     JOIN rt ON rt.study_id = ok.study_id AND rt.enh_set = ok.enh_set JOIN lf ON lf.study_id = ok.study_id AND lf.gene_set = ok.gene_set GROUP BY ALL)"""
 
+_BASKETS = """WITH m AS (SELECT DISTINCT o_orderpriority AS study_id, o_orderkey AS o, p_brand || '/' || p_type AS member
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+  n AS (SELECT study_id, o, count(*) AS n FROM m GROUP BY ALL),
+  c AS (SELECT x.study_id, x.o AS a, y.o AS b, count(*) AS c FROM m x JOIN m y ON x.study_id = y.study_id AND x.member = y.member AND x.o < y.o GROUP BY ALL),
+  s AS (SELECT c.*, p.n AS na, q.n AS nb FROM c JOIN n p ON p.study_id = c.study_id AND p.o = a JOIN n q ON q.study_id = c.study_id AND q.o = b)
+  SELECT study_id, a, b, c AS common, round({value}, 6) AS similarity FROM s WHERE {value} >= {cut} - 1e-9"""
+
 ORACLES = {
     "member_frequency": f"""WITH {SUPPLIER_SETS_SQL}, t AS (SELECT study_id, count(DISTINCT set_name) AS t FROM sets GROUP BY 1)
       SELECT study_id, member, count(*) AS n_sets, round(count(*) / any_value(t), 6) AS frequency FROM sets JOIN t USING (study_id) GROUP BY ALL""",
@@ -283,6 +308,8 @@ ORACLES = {
     "set_pairs": f"""WITH {SUPPLIER_SETS_SQL} SELECT a.study_id, a.set_name AS a, b.set_name AS b, count(*) AS n FROM sets a JOIN sets b
       ON a.study_id = b.study_id AND a.member = b.member AND a.set_name < b.set_name GROUP BY ALL""",
     "set_cosine": f"""WITH {SUPPLIER_SETS_SQL.replace('sets AS', 'edges AS')}, {_SIM} SELECT study_id, f AS "from", t AS "to", round(similarity, 6) AS similarity FROM cs""",
+    "similar_baskets": _BASKETS.format(value="c / (na + nb - c)", cut=0.6),
+    "similar_baskets_cosine": _BASKETS.format(value="c / sqrt(na * nb)", cut=0.75),
     "similarity_edges": f"""WITH {RESULTS_SQL}, {_SIM} SELECT study_id, f AS "from", t AS "to", round(similarity, 6) AS similarity FROM cs WHERE similarity > 0.12""",
     "similarity_nodes": f"WITH {RESULTS_SQL} SELECT study_id, set_name AS id, round(20 * abs(nes), 6) AS size, CASE WHEN nes > 0 THEN 'Up' ELSE 'Down' END AS type FROM res",
     "elbow": f"WITH {RESULTS_SQL}, {_elbow('res', 0.9)} SELECT * FROM elb",

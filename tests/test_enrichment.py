@@ -183,3 +183,38 @@ def test_disambiguation_matrix_has_every_pair(ranking):
     assert len(rows) == 9 and all(rows[x, x] == 1.0 for x in ("top", "low", "any")) and rows["top", "low"] < 1
     out = gsea.disambiguate(m, chosen).collect()
     assert len(out) == 3
+
+
+def test_splitting_reaches_exact_small_tails(spark):
+    """Tails of every 4-subset of 24 ranks, enumerated; the least is one in 10 626."""
+    import itertools
+
+    import numpy as np
+
+    from setloom.operators import gsea, splitting
+
+    w = np.sort(np.random.default_rng(5).exponential(1.0, 24))[::-1]
+    every = gsea.random_scores(w, np.array(list(itertools.combinations(range(24), 4))))
+    values = np.unique(every[every > 0])
+    targets = np.concatenate([values[[-1, -2, -10]], np.quantile(values, [0.5, 0.9]), np.unique(every[every < 0])[[0, 1, 30]]])
+    wanted = spark.createDataFrame([("s", 4, float(t)) for t in targets], "study_id string, size long, es double")
+    vectors = spark.createDataFrame([("s", w.tolist())], "study_id string, _w array<double>")
+    got = splitting.rare_tails(wanted, vectors).collect()
+    assert len(got) == len(set(targets))
+    for r in got:
+        exact = (every >= r.es).mean() if r.es > 0 else (every <= r.es).mean()
+        error = np.sqrt(max(-np.log2(exact), 1.0) / (splitting.RUNS * splitting.PARTICLES))
+        assert abs(r.tail_p / exact - 1) < 6 * error, (r.es, r.tail_p, exact)
+    again = splitting.rare_tails(wanted.repartition(7), vectors).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_enrichment_has_no_floor(spark):
+    from setloom.operators import gsea
+
+    weights = spark.createDataFrame([("s", f"f{i}", float(300 - i)) for i in range(600)], "study_id string, feature_id string, weight double")
+    top = [("s", "top", f"f{i}") for i in range(40)] + [("s", "spread", f"f{i}") for i in range(0, 600, 15)]
+    sets = spark.createDataFrame(top, "study_id string, set_name string, member string")
+    p = {r.set_name: r.p_value for r in gsea.run_enrichment(weights, sets, 10, permutations=500).collect()}
+    floor = {r.set_name: r.p_value for r in gsea.run_enrichment(weights, sets, 10, permutations=500, rare=0).collect()}
+    assert 0 < p["top"] < 1e-12 and floor["top"] > 1e-3 and p["spread"] == floor["spread"] > 0.01

@@ -70,3 +70,37 @@ def test_read_counting_strands(spark):
         counts, status = iv.count_reads(reads, feats, stranded)
         assert {r["feature_id"]: r["value"] for r in counts.collect()} == want
         assert sum(r["reads"] for r in status.collect()) == 4
+
+
+def test_counts_without_pairs(spark):
+    import random
+
+    from setloom.operators import intervals as iv
+
+    random.seed(7)
+    kinds = "chrom string, start long, end long, id long"
+    rows = [(random.choice(["a", "b", None]), s, s + random.choice([-3, 0, 0, 5, 300]), k)
+            for k, s in enumerate(random.randrange(400) for _ in range(300))]
+    others = [(random.choice(["a", "b", "c"]), s, s + random.choice([-1, 0, 2, 90]), k)
+              for k, s in enumerate(random.randrange(400) for _ in range(200))]
+    a, b = spark.createDataFrame(rows + rows[:5], kinds), spark.createDataFrame(others, kinds)
+    want = {}
+    for chrom, s, e, k in rows + rows[:5]:
+        if s <= e:
+            want[chrom, k] = want.get((chrom, k), 0) + sum(c == chrom and s <= y and x <= e for c, x, y, _ in others if x <= y)
+    assert {(r.chrom, r.id): r.n for r in iv.count_overlaps(a, b).collect() if r.chrom} == {k: v for k, v in want.items() if k[0]}
+    assert {(r.chrom, r.id) for r in iv.overlapping_ids(a, b).collect()} == {k for k, v in want.items() if v and k[0]}
+    assert iv.count_overlaps(a.limit(0), b).count() == 0
+
+
+def test_one_crowded_locus_is_linear(spark):
+    """Forty thousand intervals over each other are 1.6 billion pairs; their counts come from one scan."""
+    from pyspark.sql import functions as F
+
+    from setloom.operators import intervals as iv
+
+    x = spark.range(40_000).select(F.lit("c").alias("chrom"), (F.col("id") % 100).alias("start"), (F.col("id") % 100 + 1000).alias("end"), "id")
+    counted = iv.count_overlaps(x, x)
+    assert counted.agg(F.min("n"), F.max("n"), F.count("n")).first() == (40_000, 40_000, 40_000)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
