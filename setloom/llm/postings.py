@@ -96,28 +96,33 @@ class Packer:
         """The block gathered so far, if any. ``keys_of`` names the keys behind numbers: strings or longs."""
         if not self.rows:
             return
-        numbers, times = np.concatenate(self.numbers), np.concatenate(self.times)
-        used, which = np.unique(numbers, return_inverse=True)
+        sizes, times = np.concatenate(self.sizes), np.concatenate(self.times)
+        used, which = np.unique(np.concatenate(self.numbers), return_inverse=True)
+        self.numbers, self.times = [], []
+        held_by = np.bincount(which, minlength=len(used))
+        totals = np.bincount(which, weights=times, minlength=len(used)).astype(np.uint32)
         # Frequent keys first: small numbers pack better.
-        order = np.argsort(-np.bincount(which, minlength=len(used)), kind="stable")
+        order = np.argsort(-held_by, kind="stable")
+        totals = totals[order]
         place = np.empty(len(used), np.int64)
         place[order] = np.arange(len(used))
-        sizes = np.concatenate(self.sizes)
-        ends = np.cumsum(sizes)
         # Places of a document in ascending order, each but its first as the distance to the one before.
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        sort = np.lexsort((place[which], doc))
-        ranked = place[which][sort]
+        ranked = np.repeat(np.arange(len(sizes)), sizes) * len(used) + place[which]
+        del which, place
+        sort = np.argsort(ranked)
+        ranked, times = ranked[sort] % max(len(used), 1), times[sort]
+        del sort
+        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
         step = np.diff(ranked, prepend=0)
-        firsts = (ends - sizes)[sizes > 0]
         step[firsts] = ranked[firsts]
-        totals = np.bincount(which, weights=times, minlength=len(used)).astype(np.uint32)[order]
+        step = step.astype(np.uint32)
+        del ranked
         names = keys_of(used[order])
         number = (TaskContext.get().partitionId() << 32) | self.made
         rows = pa.concat_arrays(self.rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-             pa.array([pack(sizes.astype(np.uint32), step.astype(np.uint32), times[sort])], pa.binary()),
+             pa.array([pack(sizes.astype(np.uint32), step, times)], pa.binary()),
              pa.array([_pack_keys(names, totals)], pa.binary())], names=["block", "rows", "packed", "keys"])
         self.made += 1
         self._clear()

@@ -26,8 +26,8 @@ from . import postings
 from .bpe import Runs, _totals
 from .text import bounded_batches, own_names
 
-BLOCK_BYTES = 24 << 20
-KNOWN = 1_000_000
+BLOCK_BYTES = 16 << 20
+KNOWN = 300_000  # stretches that are remembered; pre-tokens of a block are at most twice as many
 _STRETCH = regex.compile(r"\s*\S+|\s+").findall
 
 
@@ -53,7 +53,7 @@ class Splitter:
 
     @property
     def heavy(self) -> bool:
-        return len(self.stretches.number) > KNOWN or len(self.names) > KNOWN
+        return len(self.names) > 2 * KNOWN
 
     def _pre_tokens(self, stretch: str) -> list[str]:
         tok = self.tokenizer
@@ -82,6 +82,8 @@ class Splitter:
                 special[i] = len(parts) - 1
             cut.append([s for part in parts for s in (_STRETCH(part) if self.apart else [part] if part else [])])
         every = [s for stretches in cut for s in stretches]
+        if len(self.stretches.number) > KNOWN:
+            self.stretches.clear()
         self._learn(list(set(every).difference(self.stretches.number)))
         each, numbers = self.stretches.read(self.stretches.numbers(every, len(every)))
         return _totals(each, np.fromiter(map(len, cut), np.int64, len(cut))), numbers.astype(np.int64), special
@@ -122,6 +124,7 @@ def pre_token_blocks(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                     yield from packer.block(keys_of)
                     work.forget()
         yield from packer.block(keys_of)
+        work.forget()  # idle workers keep nothing
 
     ordered = kept.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`"))
     return ordered.mapInArrow(run, postings.schema(rows))

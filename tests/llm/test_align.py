@@ -77,7 +77,7 @@ NAMES = (*align.COUNTS, "n_best", "count_sum", "groups_sha256")
 def test_sums_equal_a_walk_over_spans(spark, documents, monkeypatch):
     texts = texts_of(80)
     want = brute(texts)
-    assert sum(w[0] == 0 for w in want) >= 4 and sum(w[0] > w[2] for w in want) > 20
+    assert sum(w[0] == 0 for w in want) >= 3 and sum(w[0] > w[2] for w in want) > 20
     for limit in (align.BLOCK_BYTES, 300):
         monkeypatch.setattr(align, "BLOCK_BYTES", limit)
         got = align.link_sums(documents(texts).repartition(3), PAIR).orderBy("doc_id").collect()
