@@ -213,7 +213,52 @@ def _lang(src, keys):
 _DT = """dt AS (SELECT DISTINCT term FROM px), tok AS (SELECT DISTINCT theme, term FROM mt),
   t AS (SELECT theme, term, unnest(string_split(upper(term), ' ')) AS item FROM tok)"""
 
+def _placed_weights():
+    """Weights of the part rule book on the records ``rc``, with the place of each contribution in the book."""
+    u = "upper(term)"
+    s = lambda pats: " + ".join(f"(CASE WHEN regexp_matches({u}, '{p}') THEN {w} ELSE 0 END)" for p, w in pats)
+    core1, more1 = "(CASE WHEN regexp_matches(replace(upper(term), ' ', '_'), '\\bSMALL_RING\\b') THEN 3.0 ELSE 0 END)", s([(r"\bRING\b", 1.0), (r"\bBOLT\b", 1.0), (r"\bPLATE\b", 1.0)])
+    col = s([(r"\bRED\b", 1.0), (r"\bBLUE\b", 1.0), (r"\bGREEN\b", 2.0)])
+    core3, more3 = s([(r"\bGEAR\b", 3.0)]), s([(r"\bWIDGET\b", 1.0), (r"\bGIZMO\b", 1.0), (r"LARGE[_ ]?GEAR", 1.0)])
+    add = lambda c, m: f"({c} + {m} + CASE WHEN ({c}) > 0 AND ({m}) = 0 THEN 0.25 * ({c}) ELSE 0 END)"
+    return f"""m0 AS (SELECT ro, study_id, direction, score, 'Metal parts' AS theme, 0 AS place, CASE WHEN regexp_matches({u}, 'HOT') THEN 0 ELSE {add(core1, more1)} END AS w FROM rc
+      UNION ALL SELECT ro, study_id, direction, score, 'Coloured goods', 100, {col} FROM rc UNION ALL SELECT ro, study_id, direction, score, 'Metal parts', 101, 0.5 * ({col}) FROM rc
+      UNION ALL SELECT ro, study_id, direction, score, 'Machines', 200, {add(core3, more3)} FROM rc),
+    mt AS (SELECT study_id, direction, ro, score, theme, sum(w)::DOUBLE AS weight, min(place) AS place FROM m0 WHERE w > 0 GROUP BY ALL)"""
+
+
+_D = LinkSettings()
+# Records in reading order, themes by rank, loose terms on free places or in the last theme, then the summary of each theme.
+_SUMMARY = f"""WITH {RESULTS_SQL}, r AS (SELECT study_id, CASE WHEN nes > 0 THEN 'UP' ELSE 'DOWN' END AS direction, ord, set_name, p_name AS term, p_type AS source,
+      nes, abs(nes) AS score, q_value, q_value <= 0.9 AS ok FROM res JOIN part ON p_partkey = ord WHERE nes <> 0),
+  k AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY study_id, direction) AS have,
+    row_number() OVER (PARTITION BY study_id, direction, ok ORDER BY q_value, score DESC, ord) AS rn FROM r),
+  rc AS (SELECT *, row_number() OVER (PARTITION BY study_id, direction ORDER BY score DESC, CASE WHEN ok THEN 0 ELSE rn END, ord) AS ro
+    FROM k WHERE ok OR rn <= {_D.gsea_min_per_direction} - have),
+  {_placed_weights()},
+  rk AS (SELECT study_id, direction, theme, min((ro, place)) AS first, round(sum(score * weight) / greatest(sum(weight), 1e-6)
+    * (1 + any_value(CASE theme WHEN 'Metal parts' THEN 90 WHEN 'Coloured goods' THEN 70 ELSE 50 END) / 100.0), 12) AS rank_score FROM mt GROUP BY ALL),
+  kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_id, direction ORDER BY rank_score DESC, first) AS pos FROM rk) WHERE pos <= {_D.theme_cap}),
+  nk AS (SELECT study_id, direction, count(*) AS n FROM kp GROUP BY ALL),
+  lo AS (SELECT rc.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY rc.study_id, rc.direction ORDER BY ro) AS q FROM rc LEFT JOIN nk USING (study_id, direction)
+    WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.study_id = rc.study_id AND mt.direction = rc.direction AND mt.ro = rc.ro)),
+  p1 AS (SELECT study_id, direction, pos, theme AS label, 0 AS late, ro FROM mt JOIN kp USING (study_id, direction, theme)
+    UNION ALL SELECT study_id, direction, n + q, 'Additional ' || direction || ' signal ' || q || ': ' || term, 0, ro FROM lo WHERE q <= {_D.theme_cap} - n),
+  la AS (SELECT study_id, direction, max((pos, label)) AS last FROM p1 GROUP BY ALL),
+  p2 AS (SELECT * FROM p1 UNION ALL SELECT study_id, direction, last[1], last[2], 1, ro FROM lo JOIN la USING (study_id, direction) WHERE q > {_D.theme_cap} - n),
+  tp AS (SELECT * FROM (SELECT p2.*, rc.* EXCLUDE (study_id, direction, ro), row_number() OVER (PARTITION BY study_id, direction, pos, label ORDER BY score DESC, late, ro) AS at_
+    FROM p2 JOIN rc USING (study_id, direction, ro)) WHERE at_ <= {_D.theme_top_pathways}),
+  ed AS (SELECT study_id, set_name, member, row_number() OVER (PARTITION BY study_id, set_name ORDER BY member) AS g FROM edges),
+  vo AS (SELECT study_id, direction, pos, label, member, count(*) AS c, min((at_, g)) AS f FROM tp JOIN ed USING (study_id, set_name) WHERE g <= 20 GROUP BY ALL),
+  vr AS (SELECT *, row_number() OVER (PARTITION BY study_id, direction, pos, label ORDER BY c DESC, f, member) AS v FROM vo),
+  le AS (SELECT study_id, direction, pos, label, string_agg(member, ',' ORDER BY v) AS genes FROM vr WHERE v <= {_D.max_genes} GROUP BY ALL),
+  bo AS (SELECT study_id, direction, pos, label, avg(nes) AS effect, min(q_value) AS q_value, arg_min(source, at_) FILTER (source <> '') AS collection, count(*) AS n FROM tp GROUP BY ALL)"""
+
 ORACLES = {
+    "theme_summary": f"""{_SUMMARY} SELECT study_id, direction, lower(direction) || '_' || pos || '_' ||
+        coalesce(nullif(lower(trim(regexp_replace(label, '[^A-Za-z0-9]+', '-', 'g'), '-')), ''), 'theme') AS theme_id,
+      label, collection, round(effect, 6) AS effect, q_value, coalesce(genes, '') AS leading_edges, CAST(n AS INTEGER) AS n_top
+      FROM bo LEFT JOIN le USING (study_id, direction, pos, label)""",
     "theme_match": f"WITH {_PARTS}, {_w('px', 'rec_ord')} SELECT rec_ord, theme, round(CAST(weight AS DOUBLE), 6) AS weight FROM mt",
     "theme_rank": f"""WITH {_PARTS}, {_w('px', 'rec_ord, study_id, direction, score')} SELECT study_id, direction, theme, count(*) AS n_terms,
       round(round(CAST(sum(score * weight) / sum(weight) * (1 + any_value(CASE theme WHEN 'Metal parts' THEN 90 WHEN 'Coloured goods' THEN 70 ELSE 50 END) / 100.0) AS DOUBLE), 12), 6) AS ranking_score FROM mt GROUP BY ALL""",
