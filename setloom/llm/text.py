@@ -35,9 +35,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep the batches that reach Python small: whole texts can be long."""
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Keep the batches that reach Python small, in rows and in bytes: whole texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def sealed(df: DataFrame) -> DataFrame:
