@@ -36,6 +36,7 @@ from .text import bounded_batches, own_names
 
 BLOCK_BYTES = 8 << 20
 _STRETCH = regex.compile(r"\s*\S+|\s+").findall
+_SPACE_BEFORE_SPACE = regex.compile(r"\s ").search
 _BYTE_PIECE = regex.compile(r"<0x([0-9A-F]{2})>").fullmatch
 _B_BITS = 20
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -124,32 +125,45 @@ class Aligner:
             raise ValueError("vocabularies beyond a million ids do not fit the pair key")
         self.a_size = np.fromiter(map(len, self.a_bytes), np.int64, len(self.a_bytes))
         self.b_size = np.fromiter(map(len, self.b_bytes), np.int64, len(self.b_bytes))
-        self.known = Runs()
-
-    def _encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.known, self.misspelt = Runs(), set()
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.apart:
+            return [text]
+        if _SPACE_BEFORE_SPACE(text):
+            return _STRETCH(text)
+        first, *rest = text.split(" ")
+        rest = [" " + x for x in rest]
+        return [first, *rest] if first else rest
+
+    def _encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """Ids of each text, one after the other, and whether they spell it. Each distinct stretch is encoded once."""
         if len(self.known.number) > KNOWN:
             self.known.clear()
-        cut = [_STRETCH(t) if self.apart else [t] for t in texts]
+            self.misspelt.clear()
+        cut = [self._cut(t) for t in texts]
         every = list(chain.from_iterable(cut))
         new = list(set(every).difference(self.known.number))
         ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)] if new else []
+        self.misspelt.update(t for t, found in zip(new, ids, strict=True) if b"".join(
+            map(self.a_bytes.__getitem__, found)) != t.encode())
         self.known.add(new, np.fromiter(map(len, ids), np.int64, len(ids)), np.array(list(chain.from_iterable(ids)), np.int32))
         each, values = self.known.read(self.known.numbers(every, len(every)))
-        return _totals(each, np.fromiter(map(len, cut), np.int64, len(cut))), values
+        spelt = [self.misspelt.isdisjoint(stretches) for stretches in cut] if self.misspelt else [True] * len(cut)
+        return _totals(each, np.fromiter(map(len, cut), np.int64, len(cut))), values, spelt
 
     def align(self, texts: list[str]) -> list[Aligned]:
-        sizes, a_all = self._encode_a([" " + t for t in texts])
+        sizes, a_all, spelt = self._encode_a([" " + t for t in texts])
         ends = np.cumsum(sizes)
         b_all = self.model.encode(texts, num_threads=1)
-        return [self._one(text, a_all[end - n:end], np.array(b, np.int64))
-                for text, n, end, b in zip(texts, sizes.tolist(), ends.tolist(), b_all, strict=True)]
-
-    def _one(self, text: str, a: np.ndarray, b: np.ndarray) -> Aligned:
-        none = np.zeros(0, np.int64)
-        whole = b" " + text.encode()
-        if not text or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or (
-                b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole):
+        return [self._one(text, a_all[end - n:end], b, good)
+                for text, n, end, b, good in zip(texts, sizes.tolist(), ends.tolist(), b_all, spelt, strict=True)]
+
+    def _one(self, text: str, a: np.ndarray, b: list[int], spelt: bool) -> Aligned:
+        if not text or not spelt or b"".join(map(self.b_bytes.__getitem__, b)) != b" " + text.encode():
+            none = np.zeros(0, np.int64)
             return Aligned(none, none, none, none, none, none)
+        b = np.array(b, np.int64)
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         a_cut, b_cut = group_ends(a_ends, b_ends)
         return Aligned(a, b, a_cut, b_cut, *expand_links(a_ends, b_ends, a_cut, b_cut))
