@@ -191,3 +191,9 @@ def split_locus(c: Column) -> Column:
     s, e = F.get(parts, 1).try_cast("long"), F.get(parts, 2).try_cast("long")
     ok = s.isNotNull() & e.isNotNull() & (F.get(parts, 0) != "")
     return F.when(ok, F.struct(F.get(parts, 0).alias("chrom"), s.alias("start"), e.alias("end")))
+
+
+def require_locus(c: Column) -> Column:
+    """As ``split_locus``; a malformed name fails the job and is named in the error."""
+    return F.when(c.isNull(), F.lit(None)).otherwise(
+        F.coalesce(split_locus(c), F.raise_error(F.concat(F.lit("row names must read chrom:start-end: "), c))))

@@ -195,7 +195,11 @@ def tmm_factors(
     sum_trim: float = 0.05,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Trimmed-mean-of-M normalisation factor of each sample: (study_id, sample_id, norm_factor)."""
+    """Trimmed-mean-of-M normalisation factor of each sample: (study_id, sample_id, norm_factor).
+
+    The reference sample is the one whose upper quartile is nearest the mean of all; where at least half of the upper
+    quartiles are zero (sparse counts), the one with the largest sum of square roots. Equal ones go by name.
+    """
     # The cells are read five times below; kept once, as is each pairing with the reference.
     cells = cut_lineage(counts.where(F.col("value") > 0).select(*CELL, "value"))
     hot_rows = hot_rows if has_hot_group(cells, ["study_id", "sample_id"], hot_rows) else None
@@ -207,10 +211,14 @@ def tmm_factors(
         "study_id", "sample_id", "_z", (F.col("value") / F.col("lib_size")).alias("_share"))
     uq = group_quantile(shares, ["study_id", "sample_id"], "_share", 0.75, "_uq", zeros="_z", hot_rows=hot_rows)
     uq = cut_lineage(uq)
-    centre = uq.groupBy("study_id").agg(F.avg("_uq").alias("_mid"))
+    # Samples of a study are a few hundred rows, so their median is taken in one group.
+    centre = uq.groupBy("study_id").agg(F.avg("_uq").alias("_mid"), F.median("_uq").alias("_half"))
+    roots = cells.groupBy("study_id", "sample_id").agg(F.sum(F.sqrt("value")).alias("_roots"))
+    near = F.struct(F.round(F.abs(F.col("_uq") - F.col("_mid")), 15), "sample_id")
+    full_ = F.struct(F.round(-F.col("_roots"), 9), "sample_id")
     # One row per study: kept, because the cells are read against it three times.
-    ref = cut_lineage(uq.join(centre, "study_id").groupBy("study_id").agg(
-        F.min_by("sample_id", F.struct(F.round(F.abs(F.col("_uq") - F.col("_mid")), 15), "sample_id")).alias("_ref")))
+    ref = cut_lineage(uq.join(centre, "study_id").join(roots, ["study_id", "sample_id"]).groupBy("study_id").agg(
+        F.when(F.max("_half") < 1e-20, F.min_by("sample_id", full_)).otherwise(F.min_by("sample_id", near)).alias("_ref")))
     obs = cells.join(libs, ["study_id", "sample_id"])
     ref_cells = obs.join(ref, "study_id").where(F.col("sample_id") == F.col("_ref")).select(
         "study_id", "feature_id", F.col("value").alias("_yr"), F.col("lib_size").alias("_nr"))

@@ -265,8 +265,40 @@ def _running_extreme(
     return out.drop("_o")
 
 
+def hommel_values(v):
+    """Hommel's adjustment of ascending p values in O(m log m).
+
+    The level up to which a hypothesis set of size i is kept is i times the least slope from the point (m - i, 0) to the
+    points (rank, p) right of it, a tangent to their lower hull; the adjusted p is the least level at which p leaves.
+    """
+    import numpy as np
+
+    m = len(v)
+    level = np.zeros(m + 2)
+    hull_x, hull_y = [], []  # lower hull of the points seen so far, leftmost last
+    for s in range(m - 1, -1, -1):
+        x, y = s + 1, v[s]
+        while len(hull_x) > 1 and (hull_y[-1] - y) * (hull_x[-2] - hull_x[-1]) >= (hull_y[-2] - hull_y[-1]) * (hull_x[-1] - x):
+            hull_x.pop()
+            hull_y.pop()
+        hull_x.append(x)
+        hull_y.append(y)
+        low, high = 0, len(hull_x) - 1  # the slope from (s, 0) falls towards the tangent point
+        while low < high:
+            mid = (low + high + 1) // 2
+            if hull_y[mid] * (hull_x[mid - 1] - s) <= hull_y[mid - 1] * (hull_x[mid] - s):
+                low = mid
+            else:
+                high = mid - 1
+        level[m - s] = (m - s) * hull_y[low] / (hull_x[low] - s)
+    most = np.maximum.accumulate(level[::-1])[::-1]
+    sizes = np.arange(1, m + 1)
+    at = np.searchsorted(-(most[2:] / sizes), -np.asarray(v), "left") + 1
+    return np.minimum(1.0, np.minimum(at * v, most[at]))
+
+
 def _hommel(counts: DataFrame, keys: list[str], p: str, out: str) -> DataFrame:
-    """Hommel's step for set-level tables: quadratic in the group, one group per task."""
+    """Hommel's adjustment of distinct p values with their counts, one group per task."""
     import pandas as pd
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -276,17 +308,8 @@ def _hommel(counts: DataFrame, keys: list[str], p: str, out: str) -> DataFrame:
         import numpy as np
 
         pdf = pdf.sort_values(p)
-        v = np.repeat(pdf[p].to_numpy(float), pdf["_c"].to_numpy(int))
-        n = len(v)
-        best = np.full(n, (n * v / np.arange(1, n + 1)).min())
-        for m in range(n - 1, 1, -1):
-            head, tail = v[: n - m + 1], v[n - m + 1:]
-            floor = (m * tail / np.arange(2, m + 1)).min()
-            low = np.minimum(m * head, floor)
-            best = np.maximum(best, np.concatenate([low, np.full(m - 1, low[-1])]))
-        full = np.maximum(best, v)
-        ends = np.cumsum(pdf["_c"].to_numpy(int)) - 1
-        pdf[out] = full[ends]
+        times = pdf["_c"].to_numpy(int)
+        pdf[out] = hommel_values(np.repeat(pdf[p].to_numpy(float), times))[np.cumsum(times) - 1]
         return pdf[[*keys, p, out]]
 
     return counts.groupBy(*keys).applyInPandas(adjust, schema)

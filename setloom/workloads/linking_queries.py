@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sentences as say
 from ..functions.text import token_set
-from ..operators import linking as lk
+from ..operators import linking as lk, report as rp
 from ..params import LinkSettings
 from .roles import table
 
@@ -102,13 +102,64 @@ def thesis_themes(spark, sf):
     return lk.thesis_themes(t, c, LinkSettings(thesis_theme_cap=12)).select("study_id", "direction", "theme_id", "thesis_place")
 
 
-QUERIES = {"validated_claims": validated_claims, "assigned_themes": assigned_themes, "reviewed_claims": reviewed_claims,
+def _verdicts(spark, sf):
+    """One verdict per part and order line: the theme is supported where a supported line exists."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    return li.select(
+        F.col("p_type").alias("study_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_ord"), F.concat(F.lit("t"), "l_partkey").alias("theme_id"),
+        F.concat(F.lit("HBrand#"), F.col("l_suppkey") % 28).alias("helper_name"),
+        F.when(F.col("l_quantity") > 49, "Supported").when(F.col("l_quantity") > 40, "Partial").when(F.col("l_quantity") > 30, "").alias("verdict"))
+
+
+def theme_links(spark, sf):
+    """Edges between supported themes and their helpers with line widths, by verdict, q or confidence."""
+    c = _items(spark, sf).withColumn("helper_name", F.concat(F.lit("HBrand#"), F.col("batch_id") % 28)).where("item_ord % 3 = 0").withColumn(
+        "confidence", F.lower("confidence"))
+    return rp.theme_helper_links(_themes(spark, sf), c.drop("batch_id"), _helpers(spark, sf), _verdicts(spark, sf)).withColumn("width", F.round("width", 6))
+
+
+def theme_magnitudes(spark, sf):
+    t = _themes(spark, sf).withColumn("q_value", F.col("place") / 1000)
+    return rp.theme_magnitudes(t, _verdicts(spark, sf))
+
+
+def nes_consistency(spark, sf):
+    """Theme effects beside the mean effect of their helper claims."""
+    c = lk.validate_claims(_items(spark, sf), _themes(spark, sf), _helpers(spark, sf), 0)
+    r = rp.nes_consistency(lk.helper_means(_themes(spark, sf), c))
+    return r.withColumn("helper", F.round("helper", 6)).withColumn("gsea", F.round("gsea", 6))
+
+
+QUERIES = {"theme_links": theme_links, "theme_magnitudes": theme_magnitudes, "nes_consistency": nes_consistency, "validated_claims": validated_claims, "assigned_themes": assigned_themes, "reviewed_claims": reviewed_claims,
            "thesis_themes": thesis_themes}
 
 _Q = "CAST(l_quantity AS INTEGER)"
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 3))"
 
+_VERDICTS = """v AS (SELECT p_type AS study_id, l_orderkey * 10 + l_linenumber AS ord, 't' || l_partkey AS theme_id, 'HBrand#' || (l_suppkey % 28) AS hn,
+    CASE WHEN l_quantity > 49 THEN 'Supported' WHEN l_quantity > 40 THEN 'Partial' WHEN l_quantity > 30 THEN '' END AS verdict FROM lineitem JOIN part ON l_partkey = p_partkey),
+  ok AS (SELECT DISTINCT study_id, theme_id FROM v WHERE verdict = 'Supported'),
+  t AS (SELECT p_type AS study_id, 't' || p_partkey AS theme_id, p_name AS label, CASE WHEN p_size > 25 THEN 'UP' ELSE 'DOWN' END AS direction, p_partkey, p_size / 10 - 2.5 AS effect FROM part)"""
+
 ORACLES = {
+    # The last verdict of a pair counts, missing ones left out; then q, then the confidence.
+    "theme_links": f"""WITH {_VERDICTS}, lv AS (SELECT study_id, theme_id, hn, arg_max(verdict, ord) AS v FROM (SELECT *, max(ord) OVER (PARTITION BY study_id, theme_id, hn) AS last FROM v) WHERE ord = last GROUP BY ALL),
+      hq AS (SELECT p_type AS study_id, 'H' || p_brand AS hn, arg_max(p_size / 100, p_partkey) AS q FROM part GROUP BY ALL),
+      c AS (SELECT p_type AS study_id, 't' || l_partkey AS theme_id, 'HBrand#' || (l_suppkey % 28) AS hn, CASE WHEN {_Q} % 3 = 0 THEN 'lineage' ELSE '' END AS helper_class,
+        CASE {_Q} % 5 WHEN 0 THEN 'up' WHEN 1 THEN 'DOWN' WHEN 2 THEN '' END AS d, CASE WHEN {_Q} > 30 THEN 'high' WHEN {_Q} > 10 THEN '' END AS conf
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE (l_orderkey * 10 + l_linenumber) % 3 = 0)
+      SELECT c.study_id, c.theme_id, label, d AS direction, c.hn AS helper_name, helper_class, round(CASE WHEN coalesce(v, '') <> '' THEN CASE v WHEN 'Supported' THEN 4.0 ELSE 2.6 END
+        WHEN q IS NOT NULL THEN least(4.0, greatest(1.2, -log10(greatest(q, 1e-6)))) ELSE CASE coalesce(conf, 'medium') WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 ELSE 1.5 END END, 6)::DOUBLE AS width
+      FROM c JOIN ok USING (study_id, theme_id) JOIN t USING (study_id, theme_id) LEFT JOIN lv USING (study_id, theme_id, hn) LEFT JOIN hq ON hq.study_id = c.study_id AND hq.hn = c.hn""",
+    "theme_magnitudes": f"WITH {_VERDICTS} SELECT study_id, theme_id, label, direction, effect, p_partkey / 1000 AS q_value FROM t JOIN ok USING (study_id, theme_id)",
+    "nes_consistency": f"""WITH h AS (SELECT p_type AS study_id, 'H' || p_brand AS hn, CASE WHEN p_size % 3 = 0 THEN 'UP' ELSE 'DOWN' END AS hd, arg_max(p_size / 10 - 2.5, p_partkey) AS nes FROM part GROUP BY ALL),
+      i AS (SELECT p_type AS study_id, 't' || l_partkey AS theme_id, CASE WHEN p_size > 25 THEN 'UP' ELSE 'DOWN' END AS dir,
+          CASE WHEN {_Q} % 4 > 1 THEN 'HBrand#' || ({_Q} % 28) END AS hn, CASE {_Q} % 5 WHEN 0 THEN 'UP' WHEN 1 THEN 'DOWN' ELSE '' END AS d FROM lineitem JOIN part ON l_partkey = p_partkey),
+      j AS (SELECT i.*, coalesce(x.nes, u.nes, w.nes) AS nes FROM i LEFT JOIN h x ON x.study_id = i.study_id AND x.hn = i.hn AND x.hd = dir
+        LEFT JOIN h u ON u.study_id = i.study_id AND u.hn = i.hn AND u.hd = 'UP' LEFT JOIN h w ON w.study_id = i.study_id AND w.hn = i.hn AND w.hd = 'DOWN' WHERE d = '' OR d = dir),
+      m AS (SELECT study_id, theme_id, avg(nes) AS helper FROM j WHERE hn IS NOT NULL AND nes IS NOT NULL GROUP BY ALL)
+      SELECT p_type AS study_id, theme_id, p_name AS label, CASE WHEN p_size > 25 THEN 'UP' ELSE 'DOWN' END AS direction, round(p_size / 10 - 2.5, 6) AS gsea, round(helper, 6) AS helper
+      FROM part JOIN m ON m.study_id = p_type AND theme_id = 't' || p_partkey""",
     "validated_claims": f"""WITH h AS (SELECT p_type AS study_id, 'H' || p_brand AS hn, CASE WHEN p_size % 3 = 0 THEN 'UP' ELSE 'DOWN' END AS hd,
         arg_max((CASE WHEN p_size % 2 = 0 THEN 'tf_family' ELSE 'celltype' END, 'HM' || p_size, p_size / 10 - 2.5, p_size / 100), p_partkey) AS ref FROM part GROUP BY ALL),
       i AS (SELECT p_type AS study_id, l_suppkey AS b, l_orderkey * 10 + l_linenumber AS item_ord, 't' || l_partkey AS theme_id, p_name AS theme_label,

@@ -203,6 +203,7 @@ QUERIES = {
     "ora_parts": ora_parts, "ora_empirical": ora_empirical, "ora_empirical_bounds": ora_empirical_bounds, "hypergeometric": hypergeometric,
     "bh_adjust": _adjusted("BH"), "by_adjust": _adjusted("BY"), "holm_adjust": _adjusted("holm"),
     "hochberg_adjust": _adjusted("hochberg"), "bonferroni_adjust": _adjusted("bonferroni"),
+    "hommel_adjust": _adjusted("hommel"), "unadjusted": _adjusted("none"),
     "set_pairs": set_pairs, "set_cosine": set_cosine, "similarity_edges": similarity_edges,
     "similar_baskets": similar_baskets, "similar_baskets_cosine": similar_baskets_cosine,
     "similarity_nodes": similarity_nodes, "elbow": elbow, "connectivity": connectivity,
@@ -304,6 +305,14 @@ ORACLES = {
     "by_adjust": _adj("min(p * m / r * list_sum([1.0 / i for i in range(1, m + 1)]))", "DESC"),
     "holm_adjust": _adj("max(p * (m - r + 1))", "ASC"),
     "hochberg_adjust": _adj("min(p * (m - r + 1))", "DESC"),
+    # Level of size i: i times the least p_(m - i + j) / j; a p leaves at the least max(i p, largest level above i).
+    "hommel_adjust": f"""WITH {_P}, al AS (SELECT a.study_id, any_value(a.m) - a.r + 1 AS i, min(b.p / (b.r - a.r + 1)) * (any_value(a.m) - a.r + 1) AS v
+        FROM k a JOIN k b ON a.study_id = b.study_id AND b.r >= a.r GROUP BY a.study_id, a.r),
+      nx AS (SELECT study_id, i - 1 AS i, max(v) OVER (PARTITION BY study_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS above FROM al
+        UNION ALL SELECT study_id, max(i), 0 FROM al GROUP BY 1),
+      ad AS (SELECT d.study_id, d.p, least(1, min(greatest(i * d.p, above))) AS q FROM (SELECT DISTINCT study_id, p FROM k) d JOIN nx USING (study_id) GROUP BY ALL)
+      SELECT x.study_id, x.id AS o_orderkey, x.p, round(q, 6) AS q FROM x LEFT JOIN ad ON ad.study_id = x.study_id AND ad.p = x.p""",
+    "unadjusted": f"WITH {_P} SELECT study_id, id AS o_orderkey, p, round(p, 6) AS q FROM x",
     "bonferroni_adjust": f"WITH {_P} SELECT x.study_id, x.id AS o_orderkey, x.p, CASE WHEN x.p IS NOT NULL THEN round(least(1.0, x.p * m), 6) END AS q FROM x LEFT JOIN k USING (study_id, id)",
     "set_pairs": f"""WITH {SUPPLIER_SETS_SQL} SELECT a.study_id, a.set_name AS a, b.set_name AS b, count(*) AS n FROM sets a JOIN sets b
       ON a.study_id = b.study_id AND a.member = b.member AND a.set_name < b.set_name GROUP BY ALL""",

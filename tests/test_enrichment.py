@@ -196,7 +196,7 @@ def test_splitting_reaches_exact_small_tails(spark):
     w = np.sort(np.random.default_rng(5).exponential(1.0, 24))[::-1]
     every = gsea.random_scores(w, np.array(list(itertools.combinations(range(24), 4))))
     values = np.unique(every[every > 0])
-    targets = np.concatenate([values[[-1, -2, -10]], np.quantile(values, [0.5, 0.9]), np.unique(every[every < 0])[[0, 1, 30]]])
+    targets = np.concatenate([values[[-1, -2, -10]], np.quantile(values, [0.5, 0.9]), np.unique(every[every < 0])[[0, 1, -1]]])
     wanted = spark.createDataFrame([("s", 4, float(t)) for t in targets], "study_id string, size long, es double")
     vectors = spark.createDataFrame([("s", w.tolist())], "study_id string, _w array<double>")
     got = splitting.rare_tails(wanted, vectors).collect()

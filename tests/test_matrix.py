@@ -75,3 +75,25 @@ def test_large_group_rule_of_the_expression_filter(spark):
 def test_half_to_even(spark):
     got = [r[0] for r in mx.round_counts(long_form(spark, [[0.5, 1.5, 2.5, -0.5]])).select("value").collect()]
     assert sorted(got) == [0.0, 0.0, 2.0, 2.0] or sorted(got) == [-0.0, 0.0, 2.0, 2.0]
+
+
+def test_sparse_samples_take_the_reference_with_most_signal(spark):
+    """Upper quartiles that are mostly zero: the sample with the largest sum of square roots is the reference (factor ratios
+    then follow from the features it shares with the others)."""
+    m = np.zeros((40, 3))
+    m[:6, 0], m[:8, 1], m[:7, 2] = 5, 50, 9
+    f = {r["sample_id"]: r["norm_factor"] for r in mx.tmm_factors(long_form(spark, m)).collect()}
+    share = m / m.sum(axis=0)
+    ratio = np.log2(share[0] / share[0, 1])  # constant over shared features
+    assert [f[k] for k in sorted(f)] == pytest.approx(2 ** (ratio - ratio.mean()))
+
+
+def test_malformed_row_names_fail(spark):
+    from pyspark.sql import functions as F
+
+    from setloom.functions.text import require_locus
+
+    rows = spark.createDataFrame([("chr1:5-9",), (None,)], "n string").select(require_locus(F.col("n")).alias("l")).collect()
+    assert tuple(rows[0].l) == ("chr1", 5, 9) and rows[1].l is None
+    with pytest.raises(Exception, match="chr1:x-9"):
+        spark.createDataFrame([("chr1:x-9",)], "n string").select(require_locus(F.col("n"))).collect()

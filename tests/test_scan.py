@@ -70,3 +70,37 @@ def test_quantile_with_implicit_zeros(spark):
     df = spark.createDataFrame(rows, "k string, v double, z long")
     q = {r["k"]: r["q"] for r in scan.group_quantile(df, ["k"], "v", 0.75, "q", zeros="z").collect()}
     assert q == {"a": pytest.approx(np.quantile([0, 0, 0, 1, 4], 0.75)), "b": 2.0}
+
+
+def test_hommel_equals_the_quadratic_rule():
+    import numpy as np
+
+    from setloom.operators.scan import hommel_values
+
+    def quadratic(v):
+        n = len(v)
+        best = np.full(n, (n * v / np.arange(1, n + 1)).min())
+        for m in range(n - 1, 1, -1):
+            head, tail = v[:n - m + 1], v[n - m + 1:]
+            low = np.minimum(m * head, (m * tail / np.arange(2, m + 1)).min())
+            best = np.maximum(best, np.concatenate([low, np.full(m - 1, low[-1])]))
+        return np.maximum(best, v)
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        for v in (rng.random(n) ** 3, np.round(rng.random(n), 1), rng.random(n) * 0.01):
+            assert np.allclose(hommel_values(np.sort(v)), quadratic(np.sort(v)), atol=1e-12)
+
+
+def test_range_scan_runs_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from setloom.operators.scan import range_scan
+
+    x = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 3001).alias("x"), (F.col("id") % 5).alias("v"))
+    got = {(r.g, r.x): r.v for r in range_scan(x, ["g"], ["x"], ["v"]).collect()}
+    rows, run = sorted((r.g, r.x, r.v) for r in x.collect()), {}
+    for g, k, v in rows:
+        run[g] = run.get(g, 0) + v
+        assert got[g, k] == run[g]
