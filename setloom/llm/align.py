@@ -31,10 +31,11 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import postings
-from .bpe import KNOWN, Runs, _totals, spread
+from .bpe import Runs, _totals, spread
 from .text import bounded_batches, own_names
 
 BLOCK_BYTES = 8 << 20
+KNOWN = 800_000  # stretches that are remembered
 _STRETCH = regex.compile(r"\s*\S+|\s+").findall
 _SPACE_BEFORE_SPACE = regex.compile(r"\s ").search
 _BYTE_PIECE = regex.compile(r"<0x([0-9A-F]{2})>").fullmatch
@@ -145,9 +146,16 @@ class Aligner:
         every = list(chain.from_iterable(cut))
         new = list(set(every).difference(self.known.number))
         ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)] if new else []
-        self.misspelt.update(t for t, found in zip(new, ids, strict=True) if b"".join(
-            map(self.a_bytes.__getitem__, found)) != t.encode())
-        self.known.add(new, np.fromiter(map(len, ids), np.int64, len(ids)), np.array(list(chain.from_iterable(ids)), np.int32))
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = list(chain.from_iterable(ids))
+        values = np.array(flat, np.int32)
+        raw = [t.encode() for t in new]
+        # Spelt right as a whole and each of the right length: every stretch is right.
+        if not np.array_equal(_totals(self.a_size[values], counts), np.fromiter(map(len, raw), np.int64, len(raw))) or (
+                b"".join(map(self.a_bytes.__getitem__, flat)) != b"".join(raw)):
+            self.misspelt.update(t for t, b, found in zip(new, raw, ids, strict=True) if b"".join(
+                map(self.a_bytes.__getitem__, found)) != b)
+        self.known.add(new, counts, values)
         each, values = self.known.read(self.known.numbers(every, len(every)))
         spelt = [self.misspelt.isdisjoint(stretches) for stretches in cut] if self.misspelt else [True] * len(cut)
         return _totals(each, np.fromiter(map(len, cut), np.int64, len(cut))), values, spelt
