@@ -28,12 +28,16 @@ def _helpers(spark, sf):
         (F.col("p_size") / 100).alias("q_value"), F.concat(F.lit("HM"), "p_size").alias("top_hallmark"))
 
 
+# A number of its own for each order line: order, line, quantity and part.
+_LINE = "((l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS INT)) * 1000000 + l_partkey"
+
+
 def _items(spark, sf):
     """Every order line is a claim on its part, in the batch of its supplier; some name a helper, a direction, a class."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     q = F.col("l_quantity").cast("int")
     return li.select(
-        F.col("p_type").alias("study_id"), F.col("l_suppkey").cast("int").alias("batch_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_ord"),
+        F.col("p_type").alias("study_id"), F.col("l_suppkey").cast("int").alias("batch_id"), F.expr(_LINE).alias("item_ord"),
         F.concat(F.lit("t"), "l_partkey").alias("theme_id"),
         F.when(q % 4 == 0, F.lit(None)).when(q % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("HBrand#"), q % 28)).alias("helper_name"),
         F.when(q % 3 == 0, "lineage").otherwise("").alias("helper_class"),
@@ -106,7 +110,7 @@ def _verdicts(spark, sf):
     """One verdict per part and order line: the theme is supported where a supported line exists."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     return li.select(
-        F.col("p_type").alias("study_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_ord"), F.concat(F.lit("t"), "l_partkey").alias("theme_id"),
+        F.col("p_type").alias("study_id"), F.expr(_LINE).alias("claim_ord"), F.concat(F.lit("t"), "l_partkey").alias("theme_id"),
         F.concat(F.lit("HBrand#"), F.col("l_suppkey") % 28).alias("helper_name"),
         F.when(F.col("l_quantity") > 49, "Supported").when(F.col("l_quantity") > 40, "Partial").when(F.col("l_quantity") > 30, "").alias("verdict"))
 
@@ -136,7 +140,7 @@ QUERIES = {"theme_links": theme_links, "theme_magnitudes": theme_magnitudes, "ne
 _Q = "CAST(l_quantity AS INTEGER)"
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 3))"
 
-_VERDICTS = """v AS (SELECT p_type AS study_id, l_orderkey * 10 + l_linenumber AS ord, 't' || l_partkey AS theme_id, 'HBrand#' || (l_suppkey % 28) AS hn,
+_VERDICTS = f"""v AS (SELECT p_type AS study_id, {_LINE} AS ord, 't' || l_partkey AS theme_id, 'HBrand#' || (l_suppkey % 28) AS hn,
     CASE WHEN l_quantity > 49 THEN 'Supported' WHEN l_quantity > 40 THEN 'Partial' WHEN l_quantity > 30 THEN '' END AS verdict FROM lineitem JOIN part ON l_partkey = p_partkey),
   ok AS (SELECT DISTINCT study_id, theme_id FROM v WHERE verdict = 'Supported'),
   t AS (SELECT p_type AS study_id, 't' || p_partkey AS theme_id, p_name AS label, CASE WHEN p_size > 25 THEN 'UP' ELSE 'DOWN' END AS direction, p_partkey, p_size / 10 - 2.5 AS effect FROM part)"""
@@ -147,7 +151,7 @@ ORACLES = {
       hq AS (SELECT p_type AS study_id, 'H' || p_brand AS hn, arg_max(p_size / 100, p_partkey) AS q FROM part GROUP BY ALL),
       c AS (SELECT p_type AS study_id, 't' || l_partkey AS theme_id, 'HBrand#' || (l_suppkey % 28) AS hn, CASE WHEN {_Q} % 3 = 0 THEN 'lineage' ELSE '' END AS helper_class,
         CASE {_Q} % 5 WHEN 0 THEN 'up' WHEN 1 THEN 'DOWN' WHEN 2 THEN '' END AS d, CASE WHEN {_Q} > 30 THEN 'high' WHEN {_Q} > 10 THEN '' END AS conf
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE (l_orderkey * 10 + l_linenumber) % 3 = 0)
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE ({_LINE}) % 3 = 0)
       SELECT c.study_id, c.theme_id, label, d AS direction, c.hn AS helper_name, helper_class, round(CASE WHEN coalesce(v, '') <> '' THEN CASE v WHEN 'Supported' THEN 4.0 ELSE 2.6 END
         WHEN q IS NOT NULL THEN least(4.0, greatest(1.2, -log10(greatest(q, 1e-6)))) ELSE CASE coalesce(conf, 'medium') WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 ELSE 1.5 END END, 6)::DOUBLE AS width
       FROM c JOIN ok USING (study_id, theme_id) JOIN t USING (study_id, theme_id) LEFT JOIN lv USING (study_id, theme_id, hn) LEFT JOIN hq ON hq.study_id = c.study_id AND hq.hn = c.hn""",
@@ -162,7 +166,7 @@ ORACLES = {
       FROM part JOIN m ON m.study_id = p_type AND theme_id = 't' || p_partkey""",
     "validated_claims": f"""WITH h AS (SELECT p_type AS study_id, 'H' || p_brand AS hn, CASE WHEN p_size % 3 = 0 THEN 'UP' ELSE 'DOWN' END AS hd,
         arg_max((CASE WHEN p_size % 2 = 0 THEN 'tf_family' ELSE 'celltype' END, 'HM' || p_size, p_size / 10 - 2.5, p_size / 100), p_partkey) AS ref FROM part GROUP BY ALL),
-      i AS (SELECT p_type AS study_id, l_suppkey AS b, l_orderkey * 10 + l_linenumber AS item_ord, 't' || l_partkey AS theme_id, p_name AS theme_label,
+      i AS (SELECT p_type AS study_id, l_suppkey AS b, {_LINE} AS item_ord, 't' || l_partkey AS theme_id, p_name AS theme_label,
           CASE WHEN p_size > 25 THEN 'UP' ELSE 'DOWN' END AS dir, CASE {_Q} % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'HBrand#' || ({_Q} % 28) END AS hn,
           CASE WHEN {_Q} % 3 = 0 THEN 'lineage' END AS cls, CASE {_Q} % 5 WHEN 0 THEN 'UP' WHEN 1 THEN 'DOWN' ELSE '' END AS d, l_returnflag AS fl, {_Q} AS q
         FROM lineitem JOIN part ON l_partkey = p_partkey),
