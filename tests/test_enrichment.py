@@ -218,3 +218,16 @@ def test_enrichment_has_no_floor(spark):
     p = {r.set_name: r.p_value for r in gsea.run_enrichment(weights, sets, 10, permutations=500).collect()}
     floor = {r.set_name: r.p_value for r in gsea.run_enrichment(weights, sets, 10, permutations=500, rare=0).collect()}
     assert 0 < p["top"] < 1e-12 and floor["top"] > 1e-3 and p["spread"] == floor["spread"] > 0.01
+
+
+def test_pair_counts_unfold_members_of_few_sets(spark):
+    # One id a block: copies for the blocks would be 4000 x 2000 rows, the pairs of the members are 2000.
+    chain = [("s", f"i{k % 2000:04}", f"m{m}") for m in range(2000) for k in (m, m + 1)]
+    df = spark.createDataFrame(chain, "study_id string, id string, member string")
+    got = {(x["a"], x["b"]): x["n"] for x in st.pair_counts(df, ids_per_block=1).collect()}
+    assert got == {tuple(sorted((f"i{m:04}", f"i{(m + 1) % 2000:04}"))): 1 for m in range(2000)}
+    # A hub goes to the blocks, the others unfold; both add up.
+    rows = [("s", f"i{k:02}", "hub") for k in range(40)] + [("s", f"i{k:02}", f"m{k // 2}") for k in range(40)]
+    df = spark.createDataFrame(rows, "study_id string, id string, member string")
+    got = {(x["a"], x["b"]): x["n"] for x in st.pair_counts(df, ids_per_block=4).collect()}
+    assert got == {(f"i{a:02}", f"i{b:02}"): 1 + (a // 2 == b // 2) for b in range(40) for a in range(b)}
