@@ -260,7 +260,8 @@ ORACLES = {
       SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN v WHEN v = 'Supported' THEN 'Partial' ELSE 'Refuted' END AS decision FROM d""",
     "support_rows": """WITH c AS (SELECT DISTINCT l_linestatus AS theme, CASE WHEN l_returnflag = 'A' THEN 'UP' ELSE 'DOWN' END AS direction,
         'Supplier#' || lpad(CAST(l_suppkey + 50 AS VARCHAR), 9, '0') AS cell_type FROM lineitem),
-      j AS (SELECT c.*, s_acctbal / 10000 AS e, s_nationkey / 200 AS q FROM c LEFT JOIN supplier ON lower(s_name) = lower(cell_type))
+      s AS (SELECT lower(s_name) AS label, arg_max((s_acctbal / 10000, s_nationkey / 200), s_suppkey) AS m FROM supplier GROUP BY 1),
+      j AS (SELECT c.*, m[1] AS e, m[2] AS q FROM c LEFT JOIN s ON label = lower(cell_type))
       SELECT theme, direction, cell_type, CASE WHEN e IS NULL OR (direction = 'UP') <> (e > 0) OR e = 0 THEN 'Refuted' WHEN q <= 0.05 AND abs(e) >= 0.3 THEN 'Supported'
         WHEN q <= 0.1 OR abs(e) >= 0.2 THEN 'Partial' ELSE 'Refuted' END AS decision, CASE WHEN e IS NULL THEN 'NA' ELSE printf('%+.2f', e) END AS effect_size FROM j""",
     "edge_widths": """SELECT l_orderkey, l_linenumber, round(CASE WHEN l_returnflag = 'R' THEN 2.0 WHEN l_returnflag = 'A' THEN 2.6

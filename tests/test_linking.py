@@ -187,3 +187,20 @@ def test_support_texts(spark):
     bad = rows["DOWN", "b-cell"]
     assert bad["decision"] == "Refuted" and bad["reason"] == "Effect sign (+0.35) opposes DOWN with q=0.0123. Background note: thin."
     assert rows["UP", "none"]["q_value"] == "NA" and rows["SIDE", "b-cell"]["reason"] == "Unable to assess direction for claimed SIDE."
+
+
+def test_support_rows_of_repeated_names_equal_their_sql(spark, tmp_path):
+    """Of suppliers with one name, the later row counts in the query and in its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from setloom.workloads import claims_queries as cq
+
+    spark.createDataFrame([(51, "Supplier#000000051", 9000.0, 1), (52, "Supplier#000000052", -7000.0, 2), (1051, "SUPPLIER#000000051", -5000.0, 3)],
+                          "s_suppkey long, s_name string, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "O", "A"), (2, "F", "R"), (3, "O", "N")], "l_suppkey long, l_linestatus string, l_returnflag string"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in cq.support_rows(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(cq.ORACLES["support_rows"]).fetchall())
+    assert [r[2:] for r in got if r[2].endswith("51")] == [("Supplier#000000051", "Refuted", "-0.50")]
