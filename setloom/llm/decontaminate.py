@@ -5,7 +5,7 @@ words count in the length of a vector only, with the weight of the benchmark's m
 
 1. document frequencies of the benchmark's words over the passages of all documents;
 2. passages with enough weight on benchmark words to reach the cosine at all (an upper bound, so nothing is lost by it)
-   become sparse rows; about ``FIT_PASSAGES`` of all passages, chosen by hash, and the benchmark's own windows give a
+   become sparse rows; each distinct one of them and the benchmark's own windows give a
    randomised SVD: a random start, then products with the matrix and its transpose summed over partitions, an
    orthonormal basis on the driver, and once more;
 3. every such passage of every text is projected and compared with the projected benchmark windows; where the latent
@@ -31,16 +31,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .sums import partition_sum
-from .text import Hasher, blocks, bounded_batches, byte_view, mix, own_names, word_hashes
+from .text import Hasher, blocks, bounded_batches, byte_view, own_names, word_hashes
 
 WINDOW = 16
 RANK = 64
 SPARE = 16
-FIT_PASSAGES = 200_000
 MAX_ITEMS = 500
 MAX_WORDS = 400
 MIN_WORDS = 5
-_PLACES = np.arange(1, 2 * WINDOW, 2, dtype=np.uint64)
 LEAKS = "array<struct<item_id: long, cosine: double, lcs: double, answer: double>>"
 
 
@@ -108,7 +106,6 @@ class Space:
     terms: Terms
     weights: np.ndarray  # of each benchmark word
     other: float  # of any other word
-    passages: int  # of all texts
 
     def heavy(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, cosine: float) -> np.ndarray:
         """Windows whose share of weight on benchmark words does not rule the cosine out."""
@@ -183,7 +180,7 @@ def weigh(texts: DataFrame, terms: Terms) -> Space:
     counts = partition_sum(texts, count)
     counts = np.zeros(len(terms.sorted) + 1) if counts is None else counts
     weights = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
-    return Space(terms, weights, float(np.median(weights)), int(counts[-1]))
+    return Space(terms, weights, float(np.median(weights)))
 
 
 def basis_of(passages: DataFrame, own: np.ndarray, space: Space) -> np.ndarray:
@@ -227,9 +224,7 @@ def basis_of(passages: DataFrame, own: np.ndarray, space: Space) -> np.ndarray:
 
 
 def heavy_passages(texts: DataFrame, space: Space, cosine: float) -> DataFrame:
-    """Distinct passages that may reach the cosine, as word ids: all, or a share chosen by hash for a large corpus."""
-    limit = np.uint64(min(int(FIT_PASSAGES / max(space.passages, 1) * (1 << 64)), (1 << 64) - 1))
-
+    """All distinct passages that may reach the cosine, as word ids."""
     def run(batches):
         hasher = Hasher()
         for _, _, _, hashes, upto in _text_blocks(batches, 0, hasher):
@@ -237,9 +232,6 @@ def heavy_passages(texts: DataFrame, space: Space, cosine: float) -> DataFrame:
             _, first, end = windows(upto)
             at = space.heavy(ids, first, end, cosine)
             rows = grid(ids, first[at], end[at]) if len(at) else np.zeros((0, WINDOW), np.int32)
-            with np.errstate(over="ignore"):
-                keys = mix((mix(rows.astype(np.uint64)) * _PLACES).sum(axis=1, dtype=np.uint64))
-            rows = rows[keys <= limit]
             if len(rows):
                 rows = np.unique(rows, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(

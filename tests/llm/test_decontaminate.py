@@ -57,3 +57,15 @@ def test_lcs():
     for _ in range(60):
         a, b = (rng.integers(0, 6, rng.integers(0, 90)).tolist() for _ in range(2))
         assert decontaminate.lcs(a, b) == plain(a, b)
+
+
+def test_the_fit_takes_every_passage(spark, documents):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(60)])
+    texts = [" ".join(words[rng.integers(0, 60, 20_000)]) for _ in range(100)]
+    hashes = np.array(decontaminate._hash_words(" ".join(words).encode(), decontaminate.Hasher()), np.uint64)
+    docs = documents(texts).select("text")
+    space = decontaminate.weigh(docs, decontaminate.Terms(hashes))
+    _, first, _ = decontaminate.windows(np.array([0, 20_000]))
+    # No two windows of these texts are equal.
+    assert decontaminate.heavy_passages(docs, space, 0.6).count() == len(first) * len(texts) > 200_000
