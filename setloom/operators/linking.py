@@ -118,17 +118,19 @@ def assign_themes(items: DataFrame, batch_themes: DataFrame) -> DataFrame:
 
     ``batch_themes``: study_id, batch_id, place, theme_id, theme_tokens.
     """
-    mine = items.where(F.col("theme_id").isNull()).select("study_id", "batch_id", "item_ord", F.explode(
-        token_set(F.col("helper_name"), F.col("helper_class"), F.col("helper_top_hallmark"))).alias("t"))
-    theirs = batch_themes.select("study_id", "batch_id", "place", "theme_id", F.explode("theme_tokens").alias("t"))
-    shared = mine.join(theirs, ["study_id", "batch_id", "t"]).groupBy("study_id", "batch_id", "item_ord", "theme_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("place").alias("_p"))
-    best = shared.groupBy("study_id", "batch_id", "item_ord").agg(
-        F.max_by("theme_id", F.struct("_n", (-F.col("_p")).alias("p"))).alias("_best"))
-    first = batch_themes.groupBy("study_id", "batch_id").agg(F.min_by("theme_id", "place").alias("_first"))
-    return items.join(best, ["study_id", "batch_id", "item_ord"], "left").join(
-        first, ["study_id", "batch_id"], "left").withColumn(
-        "theme_id", F.coalesce("theme_id", "_best", "_first")).drop("_best", "_first")
+    batch = ["study_id", "batch_id"]
+    # Only the first theme of each token set can win, and items with equal tokens have the same answer.
+    loose = items.withColumn("_mine", F.when(F.col("theme_id").isNull(), F.array_sort(
+        token_set(F.col("helper_name"), F.col("helper_class"), F.col("helper_top_hallmark")))))
+    lead = batch_themes.groupBy(*batch, F.array_sort("theme_tokens").alias("_theirs")).agg(
+        F.min("place").alias("place"), F.min_by("theme_id", "place").alias("_id"))
+    mine = loose.where(F.col("_mine").isNotNull()).select(*batch, "_mine").distinct().withColumn("t", F.explode("_mine"))
+    theirs = lead.select(*batch, "place", "_id", F.explode("_theirs").alias("t"))
+    shared = mine.join(theirs, [*batch, "t"]).groupBy(*batch, "_mine", "_id", "place").agg(F.count(F.lit(1)).alias("_n"))
+    best = shared.groupBy(*batch, "_mine").agg(F.max_by("_id", F.struct("_n", (-F.col("place")).alias("p"))).alias("_best"))
+    first = lead.groupBy(*batch).agg(F.min_by("_id", "place").alias("_first"))
+    return loose.join(best, [*batch, "_mine"], "left").join(first, batch, "left").select(*[
+        F.coalesce("theme_id", "_best", "_first").alias("theme_id") if c == "theme_id" else F.col(c) for c in items.columns])
 
 
 def theme_batches(themes: DataFrame, per_direction: int = 2) -> DataFrame:

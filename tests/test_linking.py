@@ -204,3 +204,14 @@ def test_support_rows_of_repeated_names_equal_their_sql(spark, tmp_path):
     got = sorted(tuple(r) for r in cq.support_rows(spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(cq.ORACLES["support_rows"]).fetchall())
     assert [r[2:] for r in got if r[2].endswith("51")] == [("Supplier#000000051", "Refuted", "-0.50")]
+
+
+def test_equal_labels_do_not_pair_all_claims_with_all_themes(spark):
+    """Thirty thousand claims and themes of one label: a join of their words would have 1.8 billion rows."""
+    n = 30_000
+    themes = spark.range(n).selectExpr("'S' study_id", "1 batch_id", "id place", "concat('t', id) theme_id", "split('alpha beta', ' ') theme_tokens")
+    items = spark.range(n).selectExpr("'S' study_id", "1 batch_id", "id item_ord", "if(id % 10 = 0, 'given', null) theme_id", "'beta alpha' helper_name",
+                                      "if(id % 3 = 0, 'x', 'y') helper_class", "cast(null as string) helper_top_hallmark")
+    got = lk.assign_themes(items, themes)
+    assert got.columns == items.columns
+    assert {(r[0], r[1]) for r in got.groupBy("theme_id").count().collect()} == {("given", n // 10), ("t0", n - n // 10)}
