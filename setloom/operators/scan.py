@@ -17,6 +17,8 @@ from ..session import cut_lineage
 
 HOT_ROWS = 5_000_000
 SLICES = 64
+# Above this, p values are merged before they are ordered, and a window of whole rows is not used.
+ADJUST_ROWS = 500_000
 BROADCAST_GROUPS = 4096
 
 
@@ -177,7 +179,7 @@ def adjust_p(
     p: str,
     out: str,
     method: str = "BH",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = ADJUST_ROWS,
 ) -> DataFrame:
     """p.adjust over the non-null p values of each group; NULL stays NULL.
 

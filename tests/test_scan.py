@@ -104,3 +104,15 @@ def test_range_scan_runs_over_partitions(spark):
     for g, k, v in rows:
         run[g] = run.get(g, 0) + v
         assert got[g, k] == run[g]
+
+
+def test_p_values_of_a_large_group_are_merged_before_they_are_ordered(spark, monkeypatch):
+    from setloom.operators import scan as sc
+
+    def whole_rows(*_):
+        raise AssertionError("a window over all rows of a large group")
+
+    monkeypatch.setattr(sc, "_adjust_in_windows", whole_rows)
+    df = spark.range(600_000).selectExpr("'S' study_id", "(id % 1000 + 1) / 1000 p")
+    q = {r[0]: r[1] for r in sc.adjust_p(df, ["study_id"], "p", "q").distinct().select("p", "q").collect()}
+    assert len(q) == 1000 and all(abs(v - 1.0) < 1e-9 for v in q.values())
