@@ -231,3 +231,30 @@ def test_pair_counts_unfold_members_of_few_sets(spark):
     df = spark.createDataFrame(rows, "study_id string, id string, member string")
     got = {(x["a"], x["b"]): x["n"] for x in st.pair_counts(df, ids_per_block=4).collect()}
     assert got == {(f"i{a:02}", f"i{b:02}"): 1 + (a // 2 == b // 2) for b in range(40) for a in range(b)}
+
+
+def test_large_subsets_move_on_one_level():
+    """Exchanges with positions outside never collide, so a large subset mixes within the proposals of one level."""
+    from setloom.operators import splitting
+
+    rng = seeded("mix")
+    picks = draw_subsets(rng, 20_000, 6_000, 9)
+    before = picks.copy()
+    splitting._exchange(rng, picks, np.zeros(9), -1.0, 20_000, lambda p: np.zeros(len(p)), 3_000)
+    assert (np.diff(picks, axis=1) > 0).all() and picks.min() >= 0 and picks.max() < 20_000
+    kept = np.mean([len(np.intersect1d(a, b)) / 6_000 for a, b in zip(before, picks, strict=True)])
+    assert kept < 0.6
+
+
+def test_long_jobs_are_not_merged_by_their_bytes(ranking):
+    from setloom.operators import gsea
+
+    _, _, weights, sets = ranking
+    ranked = gsea.rank_features(weights)
+    scores = gsea.enrichment_scores(ranked, sets, 20, leading_edge=False)
+    lanes = gsea._lanes(scores, 20_000)
+    jobs = [(j["_chunk"], tuple(s["size"] for s in j["_sizes"])) for r in lanes.collect() for j in r["_jobs"]]
+    assert lanes.count() == -(-80 * 20_000 // (300 * gsea.HITS_A_FEATURE)) or lanes.count() == 80
+    assert len(jobs) == len(set(jobs)) == 80
+    null = gsea.permutation_null(scores.select("study_id", "set_name", "size", "N", "es"), ranked, 20_000)
+    assert "REPARTITION_BY_NUM" in null._jdf.queryExecution().toString()
