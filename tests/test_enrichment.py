@@ -254,7 +254,32 @@ def test_long_jobs_are_not_merged_by_their_bytes(ranking):
     scores = gsea.enrichment_scores(ranked, sets, 20, leading_edge=False)
     lanes = gsea._lanes(scores, 20_000)
     jobs = [(j["_chunk"], tuple(s["size"] for s in j["_sizes"])) for r in lanes.collect() for j in r["_jobs"]]
-    assert lanes.count() == -(-80 * 20_000 // (300 * gsea.HITS_A_FEATURE)) or lanes.count() == 80
+    assert lanes.count() == 80
     assert len(jobs) == len(set(jobs)) == 80
     null = gsea.permutation_null(scores.select("study_id", "set_name", "size", "N", "es"), ranked, 20_000)
     assert "REPARTITION_BY_NUM" in null._jdf.queryExecution().toString()
+
+
+def test_equal_derived_sets_are_tested_once(spark, ranking, monkeypatch):
+    """Sets without a common member keep all of theirs: they are tested once, and count in the adjustment as often as they stand."""
+    _, _, weights, sets = ranking
+    held = {"a": set(range(0, 40)), "b": set(range(20, 60)), "c": set(range(100, 140)), "d": set(range(130, 170))}
+    held = {name: {f"f{m:03d}" for m in ms} for name, ms in held.items()}
+    wide = spark.createDataFrame([("S", i, name, m) for i, (name, ms) in enumerate(held.items()) for m in sorted(ms)], sets.schema)
+    chosen = wide.select("study_id", "set_name", "set_ord").distinct()
+    every = [("S", f"{x}|{y}", m) for x in held for y in held if x != y for m in held[x] - held[y]]
+    plain = gsea.run_enrichment(weights, spark.createDataFrame(every, "study_id string, set_name string, member string"), 10, 200)
+    want = {tuple(r["set_name"].split("|")): r["q_value"] for r in plain.collect()}
+    seen = []
+    scores = gsea.enrichment_scores
+
+    def counted(ranked, derived, *rest, **named):
+        seen.append(derived.select("set_name").distinct().count())
+        return scores(ranked, derived, *rest, **named)
+
+    monkeypatch.setattr(gsea, "enrichment_scores", counted)
+    rows = gsea.disambiguation_matrix(weights, wide, chosen, 10, 200).collect()
+    got = {(r["set_name"], r["removed_set"]): r["q_value"] for r in rows}
+    pairs = {(x, y) for x in held for y in held if x != y and held[x] & held[y]}
+    assert len(rows) == len(got) == 16 and seen == [8] and len(pairs) == 4
+    assert {k: q for k, q in got.items() if k in want} == pytest.approx(want) and all(q == 1.0 for k, q in got.items() if k not in want)
