@@ -283,3 +283,26 @@ def test_equal_derived_sets_are_tested_once(spark, ranking, monkeypatch):
     pairs = {(x, y) for x in held for y in held if x != y and held[x] & held[y]}
     assert len(rows) == len(got) == 16 and seen == [8] and len(pairs) == 4
     assert {k: q for k, q in got.items() if k in want} == pytest.approx(want) and all(q == 1.0 for k, q in got.items() if k not in want)
+
+
+def test_corrected_activity_meets_only_significant_sets(spark, monkeypatch):
+    """Pairs are formed inside a sample, between sets significant there; pairs of all sets are not counted."""
+    from setloom.operators import activity, sets as set_ops
+
+    def refuse(*_, **__):
+        raise AssertionError("pairs of all sets")
+
+    monkeypatch.setattr(set_ops, "pair_counts", refuse)
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(60, 4))
+    values[:30, 0] += 4
+    cells = [("S", f"f{f:02}", f"s{s}", float(values[f, s] + 20)) for f in range(60) for s in range(4)]
+    counts = spark.createDataFrame(cells, "study_id string, feature_id string, sample_id string, value double")
+    samples = spark.createDataFrame([("S", f"s{s}") for s in range(4)], "study_id string, sample_id string")
+    held = {"strong": range(0, 30), "shadow": [*range(0, 12), *range(40, 52)], "rest": range(30, 60)}
+    sets = spark.createDataFrame([("S", n, f"f{m:02}") for n, ms in held.items() for m in ms], "study_id string, set_name string, member string")
+    plain = {(r["set_name"], r["sample_id"]): r["nes"] for r in activity.set_activity(counts, samples, sets, 10).collect()}
+    rows = activity.pleiotropy_corrected(counts, samples, sets, 10, regulator_p=0.2, min_shared=5).collect()
+    got = {(r["set_name"], r["sample_id"]): r["nes"] for r in rows}
+    assert len(rows) == 12 and got.keys() == plain.keys()
+    assert got["shadow", "s0"] < plain["shadow", "s0"] and got["rest", "s0"] == pytest.approx(plain["rest", "s0"])
