@@ -140,16 +140,70 @@ def saf_overlaps(enhancers: DataFrame, annotation: DataFrame) -> DataFrame:
     )
 
 
+# Blocks of 1, 4, 16, ... coordinates; aligned blocks up to 4^17 cover any locus.
+_BLOCKS = [4**i for i in range(18)]
+
+
+def _holding(x: Column, longest: Column) -> Column:
+    """The aligned blocks that hold a coordinate, one per level whose blocks are not longer than ``longest``."""
+    every = F.array(*[F.struct(F.lit(i).alias("l"), F.floor(x / w).cast("long").alias("n")) for i, w in enumerate(_BLOCKS)])
+    return F.filter(every, lambda b: F.pow(F.lit(4.0), b["l"]) <= longest)
+
+
+def _tagged(numbers: Column, level: int) -> Column:
+    return F.transform(numbers, lambda n: F.struct(F.lit(level).alias("l"), n.alias("n")))
+
+
+def _covering(start: Column, end: Column) -> Column:
+    """The fewest aligned blocks that together are [start, end]: at most six per level, the largest inside, small ones at the ends."""
+    none = F.array().cast("array<bigint>")
+    parts = []
+    for i, w in enumerate(_BLOCKS):
+        low, high = F.ceil(start / w).cast("long"), (F.floor((end + 1) / w) - 1).cast("long")
+        whole = F.when(low <= high, F.sequence(low, high)).otherwise(none)
+        if i + 1 < len(_BLOCKS):
+            up = _BLOCKS[i + 1]
+            left = F.ceil(start / up).cast("long") * 4
+            right = F.floor((end + 1) / up).cast("long") * 4
+            ends = F.concat(F.when(low < left, F.sequence(low, left - 1)).otherwise(none),
+                            F.when(right <= high, F.sequence(right, high)).otherwise(none))
+            whole = F.when(left < right, ends).otherwise(whole)
+        parts.append(_tagged(whole, i))
+    return F.concat(*parts)
+
+
 def first_overlap(loci: DataFrame, annotation: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Each locus with the first annotation row (smallest ``ord``) it overlaps; others drop out.
+    """Each locus with the first annotation row (smallest ``ord``, then ``id``) it overlaps; others drop out.
 
-    Needs ``id`` on both sides and ``ord`` on the annotation. The minimum is taken on the
-    map side before the shuffle, so a locus with very many hits costs one row per task.
+    Needs ``id`` on both sides and ``ord`` on the annotation. No pair is formed: what overlaps [s, e] starts inside of it or
+    holds s. For both, one side is cut into aligned blocks, the other looks up the blocks that hold its coordinate, and the
+    first row of each block is known beforehand. Equal places are asked once.
     """
     keys = keys or ["chrom"]
-    hits = overlap_join(loci, annotation, keys)
-    return hits.groupBy(*keys, F.col("a_id").alias("id"), F.col("a_start").alias("start"),
-                        F.col("a_end").alias("end")).agg(F.min_by("b_id", "b_ord").alias("mapped_id"))
+    at = [*keys, "start", "end"]
+
+    def long_ends(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *more).where("start <= end")
+
+    named = long_ends(loci, "id").distinct()
+    asked = named.select(*at).distinct()
+    known = long_ends(annotation, "id", "ord").groupBy(*at).agg(F.min(F.struct("ord", "id")).alias("_first"))
+    length = F.coalesce(F.max(F.col("end") - F.col("start") + 1), F.lit(0))
+    of_asked, of_known = asked.agg(length).scalar(), known.agg(length).scalar()
+    s, e = F.col("start"), F.col("end")
+
+    def blocks(df: DataFrame, starts_inside: Column, holds_start: Column, *rest: str) -> DataFrame:
+        inside = F.transform(starts_inside, lambda b: F.struct(F.lit(0).alias("k"), b["l"].alias("l"), b["n"].alias("n")))
+        holds = F.transform(holds_start, lambda b: F.struct(F.lit(1).alias("k"), b["l"].alias("l"), b["n"].alias("n")))
+        return df.select(*keys, *rest, F.explode(F.concat(inside, holds)).alias("_b")).select(
+            *keys, *rest, F.col("_b.k").alias("_kind"), F.col("_b.l").alias("_level"), F.col("_b.n").alias("_block"))
+
+    block = [*keys, "_kind", "_level", "_block"]
+    answers = blocks(known.withColumn("_longest", of_asked), _holding(s, F.col("_longest")), _covering(s, e), "_first").groupBy(
+        *block).agg(F.min("_first").alias("_first"))
+    questions = blocks(asked.withColumn("_longest", of_known), _covering(s, e), _holding(s, F.col("_longest")), "start", "end")
+    found = questions.join(answers, block).groupBy(*at).agg(F.min("_first").alias("_first"))
+    return named.join(found, at).select(*keys, "id", "start", "end", F.col("_first.id").alias("mapped_id"))
 
 
 def exclude_overlaps(

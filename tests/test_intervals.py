@@ -104,3 +104,29 @@ def test_one_crowded_locus_is_linear(spark):
     assert counted.agg(F.min("n"), F.max("n"), F.count("n")).first() == (40_000, 40_000, 40_000)
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_first_overlap_forms_no_pairs(spark, monkeypatch):
+    import random
+
+    def refuse(*_, **__):
+        raise AssertionError("pairs")
+
+    monkeypatch.setattr(iv, "overlap_join", refuse)
+    random.seed(4)
+
+    def rows(n, long):
+        starts = [random.randrange(-500, 4000) for _ in range(n)]
+        return [(random.choice("xy"), s, s + random.choice([-1, 0, 1, 5, random.randrange(long)])) for s in starts]
+
+    a = [(c, s, e, i) for i, (c, s, e) in enumerate(rows(150, 300))]
+    b = [(c, s, e, i, (i * 37) % 101) for i, (c, s, e) in enumerate(rows(101, 3000))]
+    got = iv.first_overlap(spark.createDataFrame(a + a[:5], "chrom string, start long, end long, id long"),
+                           spark.createDataFrame(b, "chrom string, start long, end long, id long, ord long"))
+    want = {}
+    for c, s, e, i in a:
+        hits = [(o, j) for d, x, y, j, o in b if c == d and s <= e and x <= y and s <= y and x <= e]
+        if hits:
+            want[i] = min(hits)[1]
+    found = got.collect()
+    assert len(found) == len(want) and {r["id"]: r["mapped_id"] for r in found} == want
