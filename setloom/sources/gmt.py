@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scan import ordered_scan
+from ..operators.scan import range_scan
 
 
 def _lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -51,7 +51,8 @@ def parse_sets(rows: DataFrame, min_members: int = 5, study_id: str = "S") -> Da
     body = rows.join(lead, "file").where(~((at == F.col("_lead")) & F.col("value").rlike(r"^\s*#")))
     fields = body.select("file", "_block", "_seq", F.split(F.regexp_replace(ascii_fold(F.col("value")), r"\t$", ""), "\t").alias("_f"))
     kept = fields.where((F.size("_f") >= 3) & (F.size("_f") - 2 >= min_members)).withColumn("study_id", F.lit(study_id))
-    placed = ordered_scan(kept, ["study_id"], [F.col("file"), F.col("_block"), F.col("_seq")], "set_ord")
+    # One range sort: lines are long and all in one study.
+    placed = range_scan(kept.withColumn("set_ord", F.lit(1).cast("long")), ["study_id"], ["file", "_block", "_seq"], ["set_ord"])
     sets = placed.select("study_id", F.col("set_ord").cast("int").alias("set_ord"), F.get("_f", F.lit(0)).alias("set_name"),
                          F.slice("_f", 3, 2**31 - 1).alias("_m"))
     return sets.select("study_id", "set_ord", "set_name", F.posexplode("_m").alias("member_ord", "member"))

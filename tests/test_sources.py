@@ -155,3 +155,22 @@ def test_quantification(spark):
     assert tpm == pytest.approx({"f": 8e5, "g": 2e5})
     rpkm = {r["feature_id"]: r["value"] for r in out["unlog.rpkm"].collect()}
     assert rpkm["f"] == pytest.approx(4 / 0.05 / 5e-6)
+
+
+def test_lines_of_one_study_do_not_meet_in_one_window(spark, monkeypatch):
+    from setloom.operators import scan
+    from setloom.sources import gmt
+
+    seen = []
+    whole = scan.range_scan
+
+    def watched(df, keys, *rest):
+        seen.append(keys)
+        return whole(df, keys, *rest)
+
+    monkeypatch.setattr(gmt, "range_scan", watched)
+    rows = [("/b" if i % 2 else "/a", i % 3, i, f"n{i}\td\tx{i}\ty") for i in range(200)]
+    lines = spark.createDataFrame(rows, "file string, _block long, _seq long, value string").repartition(5)
+    got = gmt.parse_sets(lines, 2).where("member_ord = 0").orderBy("set_ord").collect()
+    assert seen == [["study_id"]]
+    assert [(r["set_ord"], r["set_name"]) for r in got] == [(i + 1, f"n{s}") for i, (_, _, s, _) in enumerate(sorted(rows))]
