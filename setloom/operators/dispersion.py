@@ -28,7 +28,7 @@ from ..params import Contrast
 from ..session import cut_lineage
 from .de import size_factors
 from .matrix import low_count_filter, round_counts
-from .scan import HOT_ROWS, adjust_p, group_quantile, ordered_scan
+from .scan import HOT_ROWS, adjust_p, group_quantile, range_scan
 
 LEAST = 1e-8  # least dispersion
 FITTED = 1e-6  # dispersions from here on shape the trend and the prior
@@ -247,11 +247,12 @@ def lowess(x: np.ndarray, y: np.ndarray, share: float = 0.2, robust: int = 3) ->
     return fit
 
 
-def rejections(tested: DataFrame, alpha: float = 0.1, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def rejections(tested: DataFrame, alpha: float = 0.1) -> DataFrame:
     """``study_id, step, theta, cutoff, rejected``: features whose adjusted p is below ``alpha`` if those under the theta
     quantile of the base mean leave. Only p values below ``alpha`` can be rejected, so only these are ranked."""
-    ranked = ordered_scan(tested.select("study_id", "feature_id", "base_mean", "pvalue"), ["study_id"],
-                          [F.col("base_mean"), F.col("feature_id")], "_r", hot_rows=hot_rows)
+    # Range sorts: a study is any share of the features, and a step holds most of its study.
+    ranked = range_scan(tested.select("study_id", "feature_id", "base_mean", "pvalue", F.lit(1).cast("long").alias("_r")),
+                        ["study_id"], ["base_mean", "feature_id"], ["_r"])
     ranked = cut_lineage(ranked)
     n = ranked.groupBy("study_id").agg(F.count(F.lit(1)).alias("_n"), F.avg((F.col("base_mean") == 0).cast("double")).alias("_z"))
     top = F.when(F.col("_z") < 0.95, 0.95).otherwise(1.0)
@@ -266,7 +267,8 @@ def rejections(tested: DataFrame, alpha: float = 0.1, hot_rows: int | None = HOT
     passed = F.explode(F.filter("_cuts", lambda c: c["cutoff"] <= F.col("base_mean") + 1e-12)["step"]).alias("step")
     held = ranked.where(F.col("pvalue").isNotNull()).join(per_study, "study_id").select("study_id", "feature_id", "pvalue", passed)
     total = held.groupBy("study_id", "step").agg(F.count(F.lit(1)).alias("_m"))
-    small = ordered_scan(held.where(F.col("pvalue") < alpha), ["study_id", "step"], [F.col("pvalue"), F.col("feature_id")], "_i", hot_rows=hot_rows)
+    small = range_scan(held.where(F.col("pvalue") < alpha).withColumn("_i", F.lit(1).cast("long")),
+                       ["study_id", "step"], ["pvalue", "feature_id"], ["_i"])
     hit = small.join(total, ["study_id", "step"]).where(F.col("pvalue") * F.col("_m") / F.col("_i") < alpha).groupBy(
         "study_id", "step").agg(F.max("_i").alias("rejected"))
     return cuts.join(hit, ["study_id", "step"], "left").select(
@@ -308,6 +310,6 @@ def differential_test(counts: DataFrame, samples: DataFrame, contrast: Contrast,
     tested = fitted.withColumn("lfc", F.log2(F.col("mean_num") / F.col("mean_den"))).withColumn("lfc_se", error)
     tested = tested.withColumn("stat", F.col("lfc") / F.col("lfc_se")).withColumn("pvalue", two_sided_normal(F.col("stat")))
     tested = cut_lineage(tested.drop("mean_num", "mean_den", "info_num", "info_den"))
-    cutoff = threshold(rejections(tested, alpha, hot_rows))
+    cutoff = threshold(rejections(tested, alpha))
     kept = tested.join(cutoff, "study_id").withColumn("_p", F.when(F.col("base_mean") >= F.col("cutoff") - 1e-12, F.col("pvalue")))
     return adjust_p(kept, ["study_id"], "_p", "padj", hot_rows=hot_rows).drop("_p", "cutoff")

@@ -114,3 +114,23 @@ def test_filter_picks_the_first_good_step(spark):
     assert dispersion.threshold(frame).first().cutoff == 0.0
     rising = spark.createDataFrame([("s", k, k / 49, float(k), 100 + min(k, 20) * 10) for k in range(50)], frame.schema)
     assert 10 <= dispersion.threshold(rising).first().cutoff <= 20
+
+
+def test_rejections_rank_features_by_range(spark, monkeypatch):
+    """Neither the features of a study nor the p values of a step meet in one window of the whole group."""
+    from setloom.operators import dispersion
+
+    seen = []
+    scan = dispersion.range_scan
+
+    def watched(df, keys, *rest):
+        seen.append(keys)
+        return scan(df, keys, *rest)
+
+    monkeypatch.setattr(dispersion, "range_scan", watched)
+    rows = [("S", i, float(i + 1), (i * 37 % 200 + 1) / 2000) for i in range(200)]
+    got = dispersion.rejections(spark.createDataFrame(rows, "study_id string, feature_id long, base_mean double, pvalue double")).collect()
+    assert seen == [["study_id"], ["study_id", "step"]] and len(got) == 50
+    for r in got:
+        p = sorted(x[3] for x in rows if x[2] >= r["cutoff"] - 1e-12)
+        assert r["rejected"] == max([i + 1 for i, v in enumerate(p) if v < 0.1 and v * len(p) / (i + 1) < 0.1], default=0)
