@@ -18,7 +18,7 @@ from ..functions.text import (
     drop_stopwords, hallmark_phrase, label_keywords, theme_tokens, token_set,
 )
 from ..params import LinkSettings
-from .scan import ordered_scan
+from .scan import ordered_scan, range_scan
 
 CLAIM = [
     "study_id", "claim_ord", "theme_id", "theme_label", "helper_name", "helper_class", "direction",
@@ -225,9 +225,10 @@ def prioritise_claims(claims: DataFrame, settings: LinkSettings) -> DataFrame:
     cap = F.when(F.col("_has"), settings.theme_only_cap_with_helpers).otherwise(settings.theme_only_cap_no_helpers)
     alone = alone.join(has, ["study_id", "direction"], "left").where(F.col("_r") <= cap).drop("_has")
     both = claims.where(_named()).withColumn("_r", F.lit(0)).unionByName(alone)
-    order = [F.when(_named(), 0).otherwise(1), -_strength(), q, _side(), F.col("_r"), F.col("claim_ord")]
-    ranked = ordered_scan(both, ["study_id"], order, "_new").drop("claim_ord")
-    return ranked.withColumnRenamed("_new", "claim_ord").select(*CLAIM)
+    order = {"_o1": F.when(_named(), 0).otherwise(1), "_o2": -_strength(), "_o3": q, "_o4": _side(), "_o5": F.col("_r"), "_o6": F.col("claim_ord")}
+    # One range sort: a study may hold any share of the claims.
+    ranked = range_scan(both.withColumns(order | {"_new": F.lit(1).cast("long")}), ["study_id"], list(order), ["_new"])
+    return ranked.drop("claim_ord").withColumnRenamed("_new", "claim_ord").select(*CLAIM)
 
 
 def semantic_scores(themes: DataFrame, claims: DataFrame, helpers: DataFrame) -> DataFrame:

@@ -215,3 +215,25 @@ def test_equal_labels_do_not_pair_all_claims_with_all_themes(spark):
     got = lk.assign_themes(items, themes)
     assert got.columns == items.columns
     assert {(r[0], r[1]) for r in got.groupBy("theme_id").count().collect()} == {("given", n // 10), ("t0", n - n // 10)}
+
+
+def test_claims_of_a_study_are_ordered_by_range(spark, monkeypatch):
+    from setloom.operators import linking
+    from setloom.workloads import claims_queries
+
+    seen = []
+    scan = linking.range_scan
+
+    def watched(df, keys, *rest):
+        seen.append(keys)
+        return scan(df, keys, *rest)
+
+    monkeypatch.setattr(linking, "range_scan", watched)
+    rows = claims_queries.claim_priority(spark, "/root/testdata/sf0.001").where("helper_name is not null").collect()
+    assert seen == [["study_id"]]
+    by_study = {}
+    for r in rows:
+        by_study.setdefault(r["study_id"], []).append((r["claim_ord"], -abs(r["helper_effect"])))
+    for found in by_study.values():
+        found.sort()
+        assert [n for n, _ in found] == list(range(1, len(found) + 1)) and [s for _, s in found] == sorted(s for _, s in found)
