@@ -15,7 +15,7 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .text import bounded_batches, own_names
 
 WIDTHS = (2, 3, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
-KNOWN = 400_000
+KNOWN = 60_000  # pieces or stretches that are remembered; more cost memory and gain no time
+BATCH = "2m"  # ids, bytes and texts of a batch are in memory together
 _NONE = np.int32(0x7FFFFFFF)
 _STRETCH = regex.compile(r"\s*\S+|\s+").findall
 _SPACE_BEFORE_SPACE = regex.compile(r"\s ").search
@@ -187,8 +188,8 @@ class Coder:
         bucket = np.searchsorted(WIDTHS, length)
         for k, width in enumerate(WIDTHS):
             rows = np.flatnonzero(~done & (bucket == k))
-            for at in range(0, len(rows), 20_000):
-                part = rows[at:at + 20_000]
+            for at in range(0, len(rows), 4000):
+                part = rows[at:at + 4000]
                 column = np.arange(width)
                 place = np.minimum(start[part][:, None] + column, len(data) - 1)
                 state = np.where(column < length[part][:, None], self.byte_ids[data[place]], np.int32(-1))
@@ -305,22 +306,29 @@ def _row_groups(texts: pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
         yield group
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """Add ``ids`` (array of int) to each row. No shuffle; every text is encoded whole."""
-    bounded_batches(df.sparkSession)
-    kept = own_names(df, ids)
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "token_ids", raw: str | None = None) -> DataFrame:
+    """Add ``ids`` (array of int) to each row. No shuffle; every text is encoded whole.
+
+    With ``raw`` also the bytes that the ids stand for, as ``decode`` gives them: by the same worker, with one coder.
+    """
+    bounded_batches(df.sparkSession, size=BATCH)
+    kept = own_names(df, ids) if raw is None else own_names(df, ids, raw)
     names = kept.columns
     place = names.index(text)
-    out = kept.withColumn(ids, F.array().cast("array<int>")).schema
+    found = kept.withColumn(ids, F.array().cast("array<int>"))
+    out = (found if raw is None else found.withColumn(raw, F.lit(b"").cast("binary"))).schema
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what earlier jobs left in this worker
         work = coder(vocabulary)
         for batch in batches:
             done = [work.encode(group) for group in _row_groups(batch.column(place))]
             ends = np.concatenate([[0], *(sizes for sizes, _ in done)]).cumsum().astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int32), *(found for _, found in done)])
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, ids])
+            added = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            if raw is not None:
+                added.append(pa.array((work.decode(values[a:b]) for a, b in pairwise(ends.tolist())), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=out.names)
 
     return kept.mapInArrow(run, out)
 

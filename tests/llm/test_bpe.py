@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from setloom.llm import bpe
 
@@ -76,3 +77,20 @@ def test_frames(spark, documents, library):
 def test_unknown_id():
     with pytest.raises(ValueError):
         bpe.coder(VOCABULARY).decode(ids_array([10 ** 6]))
+
+
+def test_bytes_of_the_same_pass(spark, documents):
+    docs = documents(["a few words", None, "", "x  y\n z", "é漢字" * 50, "\x00\t "] + [f"word{k} and some" for k in range(40)])
+    docs = docs.withColumn("Decoded", F.lit("old"))
+    both = bpe.encode(docs, VOCABULARY, raw="decoded")
+    two = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    assert sorted(both.select("doc_id", "token_ids", "decoded").collect()) == sorted(two.select("doc_id", "token_ids", "decoded").collect())
+    # One worker a task: a second one would hold a second coder.
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_memory_of_the_coder_is_bounded():
+    work = bpe.Coder(VOCABULARY)
+    for k in range(0, 400_000, 20_000):
+        work.encode([" ".join(f"w{i}q" for i in range(k, k + 20_000))])
+        assert len(work.stretches.number) <= 100_000
