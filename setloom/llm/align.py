@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -31,14 +32,15 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import postings
-from .bpe import Runs, _totals, spread
+from .bpe import _totals, spread
 from .text import bounded_batches, own_names
 
 BLOCK_BYTES = 8 << 20
-KNOWN = 800_000  # stretches that are remembered
-_STRETCH = regex.compile(r"\s*\S+|\s+").findall
+KNOWN = 600_000  # stretches that are remembered
+_BEFORE_SPACE = regex.compile(r"(?<=\S)(?= )", regex.V1).split
 _SPACE_BEFORE_SPACE = regex.compile(r"\s ").search
 _BYTE_PIECE = regex.compile(r"<0x([0-9A-F]{2})>").fullmatch
+_INNER_SPACE = regex.compile("[^▁]▁").search
 _B_BITS = 20
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -100,18 +102,52 @@ def expand_links(a_ends: np.ndarray, b_ends: np.ndarray, a_cut: np.ndarray, b_cu
     return left, right
 
 
+class Known:
+    """What is known of stretches under dense numbers: ids, ends of groups and pair keys in growing arrays, groups as text."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.spelt = np.zeros(0, bool)
+        none = np.zeros(0, np.int64)
+        self.sizes = dict.fromkeys(("a", "b", "a_cut", "b_cut", "key"), none)
+        self.starts = dict(self.sizes)
+        self.pools = {n: none if n == "key" else none.astype(np.int32) for n in self.sizes}
+
+    def add(self, names: list[str], spelt: np.ndarray, texts: list[str], n_a, n_b, n_group, n_link, a, b, a_cut, b_cut, key) -> None:
+        """Sizes and values are those of the stretches that are spelt."""
+        first = len(self.number)
+        self.number.update(zip(names, range(first, first + len(names)), strict=True))
+        self.texts += texts
+        self.spelt = np.concatenate([self.spelt, spelt])
+        for name, some, values in (("a", n_a, a), ("b", n_b, b), ("a_cut", n_group, a_cut), ("b_cut", n_group, b_cut), ("key", n_link, key)):
+            sizes = np.zeros(len(names), np.int64)
+            sizes[spelt] = some
+            pool = self.pools[name]
+            self.starts[name] = np.concatenate([self.starts[name], len(pool) + np.cumsum(sizes) - sizes])
+            self.sizes[name] = np.concatenate([self.sizes[name], sizes])
+            self.pools[name] = np.concatenate([pool, values.astype(pool.dtype)])
+
+    def read(self, name: str, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the runs and their values in one array."""
+        sizes = self.sizes[name][numbers]
+        return sizes, self.pools[name][spread(self.starts[name][numbers], sizes)].astype(np.int64)
+
+
 class Aligner:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, pair: Pair):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(pair.a)
         self.tokenizer.encode_special_tokens = True
         told = json.loads(self.tokenizer.to_str())
         kind = told["pre_tokenizer"] or {}
         if told["normalizer"] is not None or kind.get("type") != "ByteLevel" or kind["add_prefix_space"]:
             raise ValueError("tokenizer A must be byte-level, without normaliser and without a space of its own")
-        # No pre-token of the byte-level pattern runs from a non-space into white space: stretches are encoded once.
-        self.apart = kind["use_regex"]
         letters = byte_letters()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.a_bytes = [bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode() for name in (
@@ -126,55 +162,94 @@ class Aligner:
             raise ValueError("vocabularies beyond a million ids do not fit the pair key")
         self.a_size = np.fromiter(map(len, self.a_bytes), np.int64, len(self.a_bytes))
         self.b_size = np.fromiter(map(len, self.b_bytes), np.int64, len(self.b_bytes))
-        self.known, self.misspelt = Runs(), set()
+        # No pre-token of the byte-level pattern runs from a non-space into white space, and where no piece of B has a
+        # space behind anything else, no merge of B crosses such a place: stretches from there on are aligned once.
+        self.apart = kind["use_regex"] and not any(_INNER_SPACE(self.model.id_to_piece(i)) for i in range(len(self.b_bytes)))
+        self.known = Known()
 
     def _cut(self, text: str) -> list[str]:
+        """Stretches of a text that begins with a space, each with a space in front as B adds one."""
         if not self.apart:
             return [text]
         if _SPACE_BEFORE_SPACE(text):
-            return _STRETCH(text)
-        first, *rest = text.split(" ")
-        rest = [" " + x for x in rest]
-        return [first, *rest] if first else rest
-
-    def _encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
-        """Ids of each text, one after the other, and whether they spell it. Each distinct stretch is encoded once."""
+            found = _BEFORE_SPACE(text)
+        else:
+            found = [" " + x for x in text[1:].split(" ")]
+        if len(found) > 1 and found[-1] == " ":  # B would see nothing there
+            found[-2:] = [found[-2] + " "]
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        """Both tokenizers on new stretches, and their groups and links as if they were one text."""
+        a = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        b = self.model.encode([x[1:] for x in new], num_threads=1)
+        raw = [x.encode() for x in new]
+        spelt = _spelt(a, self.a_bytes, self.a_size, raw) & _spelt(b, self.b_bytes, self.b_size, raw)
+        good = np.flatnonzero(spelt).tolist()
+        n_a, n_b = (np.fromiter((len(ids[k]) for k in good), np.int64, len(good)) for ids in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(ids[k] for k in good), np.int64, n) for ids, n in ((a, n_a.sum()), (b, n_b.sum())))
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        a_cut, b_cut = group_ends(a_ends, b_ends)
+        left, right = expand_links(a_ends, b_ends, a_cut, b_cut)
+        # Every stretch ends in a common end.
+        upto_a, upto_b = np.cumsum(n_a), np.cumsum(n_b)
+        upto_group, upto_link = np.searchsorted(a_cut, upto_a, "right"), np.searchsorted(left, upto_a, "left")
+        n_group, n_link = np.diff(upto_group, prepend=0), np.diff(upto_link, prepend=0)
+        told = groups_text(Aligned(a, b, a_cut, b_cut, left, right)).split(";") if len(a) else []
+        texts = [""] * len(new)
+        for k, end, n in zip(good, upto_group.tolist(), n_group.tolist(), strict=True):
+            texts[k] = told[end - 1] if n == 1 else ";".join(told[end - n:end])
+        self.known.add(new, spelt, texts, n_a, n_b, n_group, n_link, a, b, a_cut - np.repeat(upto_a - n_a, n_group),
+                       b_cut - np.repeat(upto_b - n_b, n_group), (a[left] << _B_BITS) | b[right])
+
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the stretches of each text, one text after the other, and how many; none where a text has no tokens."""
         if len(self.known.number) > KNOWN:
             self.known.clear()
-            self.misspelt.clear()
-        cut = [self._cut(t) for t in texts]
+        cut = [self._cut(" " + t) if t else [] for t in texts]
         every = list(chain.from_iterable(cut))
-        new = list(set(every).difference(self.known.number))
-        ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)] if new else []
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = list(chain.from_iterable(ids))
-        values = np.array(flat, np.int32)
-        raw = [t.encode() for t in new]
-        # Spelt right as a whole and each of the right length: every stretch is right.
-        if not np.array_equal(_totals(self.a_size[values], counts), np.fromiter(map(len, raw), np.int64, len(raw))) or (
-                b"".join(map(self.a_bytes.__getitem__, flat)) != b"".join(raw)):
-            self.misspelt.update(t for t, b, found in zip(new, raw, ids, strict=True) if b"".join(
-                map(self.a_bytes.__getitem__, found)) != b)
-        self.known.add(new, counts, values)
-        each, values = self.known.read(self.known.numbers(every, len(every)))
-        spelt = [self.misspelt.isdisjoint(stretches) for stretches in cut] if self.misspelt else [True] * len(cut)
-        return _totals(each, np.fromiter(map(len, cut), np.int64, len(cut))), values, spelt
+        new = set(every).difference(self.known.number)
+        if new:
+            self._learn(list(new))
+        numbers = np.fromiter(map(self.known.number.__getitem__, every), np.int64, len(every))
+        held = np.fromiter(map(len, cut), np.int64, len(cut))
+        whole = _totals(~self.known.spelt[numbers], held) == 0
+        return numbers[np.repeat(whole, held)], np.where(whole, held, 0)
 
     def align(self, texts: list[str]) -> list[Aligned]:
-        sizes, a_all, spelt = self._encode_a([" " + t for t in texts])
-        ends = np.cumsum(sizes)
-        b_all = self.model.encode(texts, num_threads=1)
-        return [self._one(text, a_all[end - n:end], b, good)
-                for text, n, end, b, good in zip(texts, sizes.tolist(), ends.tolist(), b_all, spelt, strict=True)]
-
-    def _one(self, text: str, a: np.ndarray, b: list[int], spelt: bool) -> Aligned:
-        if not text or not spelt or b"".join(map(self.b_bytes.__getitem__, b)) != b" " + text.encode():
-            none = np.zeros(0, np.int64)
-            return Aligned(none, none, none, none, none, none)
-        b = np.array(b, np.int64)
-        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        a_cut, b_cut = group_ends(a_ends, b_ends)
-        return Aligned(a, b, a_cut, b_cut, *expand_links(a_ends, b_ends, a_cut, b_cut))
+        numbers, held = self._numbers(texts)
+        ends = np.cumsum(held)
+        return [self._one(numbers[end - n:end]) for n, end in zip(held.tolist(), ends.tolist(), strict=True)]
+
+    def _one(self, numbers: np.ndarray) -> Aligned:
+        known = self.known
+        (n_a, a), (n_b, b) = known.read("a", numbers), known.read("b", numbers)
+        n_group, a_cut = known.read("a_cut", numbers)
+        a_cut = a_cut + np.repeat(np.cumsum(n_a) - n_a, n_group)
+        b_cut = known.read("b_cut", numbers)[1] + np.repeat(np.cumsum(n_b) - n_b, n_group)
+        if not len(a):
+            return Aligned(a, b, a_cut, b_cut, a, b)
+        return Aligned(a, b, a_cut, b_cut, *expand_links(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), a_cut, b_cut))
+
+    def summaries(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[str]]:
+        """Of each text the numbers of A tokens, B tokens, groups and links, and its groups as text; all pair keys of the links."""
+        numbers, held = self._numbers(texts)
+        sizes = [self.known.sizes[n][numbers] for n in ("a", "b", "a_cut", "key")]
+        names = list(map(self.known.texts.__getitem__, numbers.tolist()))
+        ends = np.cumsum(held).tolist()
+        groups = [";".join(names[end - n:end]) for n, end in zip(held.tolist(), ends, strict=True)]
+        return [_totals(x, held) for x in sizes], self.known.read("key", numbers)[1], groups
+
+
+def _spelt(ids: list[list[int]], names: list[bytes], sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Whether each list of ids spells its bytes."""
+    flat = list(chain.from_iterable(ids))
+    spans = _totals(sizes[np.array(flat, np.int64)], np.fromiter(map(len, ids), np.int64, len(ids)))
+    # Right as a whole and each of the right length: all are right.
+    if np.array_equal(spans, np.fromiter(map(len, raw), np.int64, len(raw))) and (
+            b"".join(map(names.__getitem__, flat)) == b"".join(raw)):
+        return np.ones(len(raw), bool)
+    return np.fromiter((b"".join(map(names.__getitem__, found)) == x for found, x in zip(ids, raw, strict=True)), bool, len(raw))
 
 
 def groups_text(x: Aligned) -> str:
@@ -250,14 +325,11 @@ def link_blocks(df: DataFrame, pair: Pair, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for i, j, group in postings.row_groups(batch.column(len(others))):
-                found = work.align(group)
-                pairs = [(x.a[x.left].astype(np.int64) << _B_BITS) | x.b[x.right] for x in found]
-                sizes = np.fromiter(map(len, pairs), np.int64, len(pairs))
-                digests = [hashlib.sha256(groups_text(x).encode()).hexdigest() if len(x.a) else "" for x in found]
-                counts = [pa.array([len(getattr(x, n)) for x in found], pa.int64()) for n in ("a", "b", "a_cut", "left")]
+                counts, keys, groups = work.summaries(group)
+                digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups]
                 packer.add(pa.StructArray.from_arrays(
-                    [*batch.slice(i, j - i).columns[:len(others)], *counts, pa.array(digests, pa.string())],
-                    names=rows.names), sizes, np.concatenate(pairs), sum(map(len, group)))
+                    [*batch.slice(i, j - i).columns[:len(others)], *map(pa.array, counts), pa.array(digests, pa.string())],
+                    names=rows.names), counts[-1], keys, sum(map(len, group)))
                 if packer.full:
                     yield from packer.block(keys_of)
         yield from packer.block(keys_of)

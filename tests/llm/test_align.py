@@ -118,3 +118,22 @@ def test_query(spark, documents, tmp_path):
     documents(texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = workloads.op13_tokenizer_alignment(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [tuple(r[n] for n in NAMES) for r in got] == brute(texts)
+
+
+def test_each_stretch_is_aligned_once():
+    work, seen = align.Aligner(PAIR), []
+
+    class Told:
+        def encode(self, texts, **options):
+            seen.extend(texts)
+            return model.encode(texts, **options)
+
+    model, work.model = work.model, Told()
+    texts = ["some words and some words", "words and  words ", "some\n words", " ", "a ", "words"]
+    first = work.align(texts)
+    assert len(seen) == len(set(seen)) and max(map(len, seen)) < 12
+    known = len(seen)
+    counts, keys, groups = work.summaries(texts)
+    assert len(seen) == known and groups == [align.groups_text(x) if len(x.a) else "" for x in first]
+    assert [x.tolist() for x in counts] == [[len(getattr(x, n)) for x in first] for n in ("a", "b", "a_cut", "left")]
+    assert all(x.b.tolist() == model.encode(t) for x, t in zip(first, texts, strict=True))
