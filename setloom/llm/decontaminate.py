@@ -101,6 +101,23 @@ def grid(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where(at < end[:, None], ids[np.minimum(at, len(ids) - 1)], -1)
 
 
+def _word_class(ids: np.ndarray) -> np.ndarray:
+    """One of 64 classes of each word id."""
+    return ids.astype(np.uint64) & np.uint64(63)
+
+
+class Own:
+    """The benchmark's windows: word ids, lengths, the classes of their words, and how often the most frequent word occurs."""
+
+    def __init__(self, rows: np.ndarray, space: Space):
+        self.rows, self.length = rows, space.length(rows)
+        bits = np.where(rows >= 0, np.uint64(1) << _word_class(rows), np.uint64(0))
+        self.holds = np.bitwise_or.reduce(bits, axis=1)
+        self.most = np.zeros(len(rows), np.int64)
+        for k in range(WINDOW):
+            self.most = np.maximum(self.most, (rows == rows[:, k:k + 1]).sum(axis=1) * (rows[:, k] >= 0))
+
+
 @dataclass
 class Space:
     terms: Terms
@@ -123,35 +140,49 @@ class Space:
         weight = np.where(rows >= 0, self.weights[held], 0.0).astype(np.float32)
         return np.einsum("nw,nwk->nk", weight, basis[held], optimize=False)
 
-    def cosine(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, a: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Cosine in the full space of windows ``a`` with benchmark windows, a row of ``own`` for each."""
-        rows, out = grid(ids, first, end), np.zeros(len(a))
-        size = end - first
+    def near(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, own: Own,
+             cosine: float) -> np.ndarray:
+        """Pairs of a window ``a`` and a benchmark window ``b`` that reach the cosine in the full space.
+
+        A bit for each of 64 classes of words tells what a benchmark window may hold; words that it may hold, each as often
+        as its most frequent one, bound the product from above. Only pairs that the bound lets pass are compared by word.
+        """
+        rows = grid(ids, first, end)
         known = rows >= 0
-        norm = np.sqrt(self.length(rows) ** 2 + (size - known.sum(axis=1)) * self.other ** 2)
-        for k in range(0, len(a), 20_000):
-            left, right = rows[a[k:k + 20_000]], own[k:k + 20_000]
-            same = (left[:, :, None] == right[:, None, :]) & (left >= 0)[:, :, None]
-            weight = np.where(left >= 0, self.weights[np.maximum(left, 0)], 0.0) ** 2
-            out[k:k + 20_000] = (same.sum(axis=2) * weight).sum(axis=1) / (norm[a[k:k + 20_000]] * self.length(right))
-        return out
+        square = np.where(known, self.weights[np.maximum(rows, 0)], 0.0) ** 2
+        norm = np.sqrt(square.sum(axis=1) + (end - first - known.sum(axis=1)) * self.other ** 2) + 1e-12
+        out = []
+        for k in range(0, len(a), 4000):
+            left, right = a[k:k + 4000], b[k:k + 4000]
+            need = cosine * norm[left] * own.length[right]
+            may = (own.holds[right][:, None] >> _word_class(rows[left])) & np.uint64(1)
+            bound = np.einsum("nw,nw->n", may.astype(np.float64), square[left]) * own.most[right]
+            at = np.flatnonzero(bound >= need * (1 - 1e-9))
+            left, right = left[at], right[at]
+            same = (rows[left][:, :, None] == own.rows[right][:, None, :]).sum(axis=2)
+            out.append(k + at[(same * square[left]).sum(axis=1) / (norm[left] * own.length[right]) >= cosine])
+        return np.concatenate([np.zeros(0, np.int64), *out])
 
     def length(self, rows: np.ndarray) -> np.ndarray:
         return np.sqrt((np.where(rows >= 0, self.weights[np.maximum(rows, 0)], 0.0) ** 2).sum(axis=1)) + 1e-12
 
 
-def lcs(item: list[int], words: list[int]) -> int:
-    """Length of the longest common subsequence, by bit vectors."""
+def word_places(item: list[int]) -> dict[int, int]:
+    """The places of each word as bits."""
     places: dict[int, int] = {}
     for k, w in enumerate(item):
         places[w] = places.get(w, 0) | 1 << k
+    return places
+
+
+def lcs(item: list[int], words: list[int], places: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit vectors; ``places`` if the item's are known."""
+    places = word_places(item) if places is None else places
     full = (1 << len(item)) - 1
     row = full
-    for w in words:
-        met = places.get(w)
-        if met:
-            kept = row & met
-            row = ((row + kept) | (row - kept)) & full
+    for met in filter(None, map(places.get, words)):
+        kept = row & met
+        row = ((row + kept) | (row - kept)) & full
     return len(item) - row.bit_count()
 
 
@@ -170,11 +201,11 @@ def weigh(texts: DataFrame, terms: Terms) -> Space:
             ids = terms.find(hashes)
             row = np.repeat(np.arange(len(upto) - 1), np.diff(upto))
             # Each word falls into one tumbling passage; two neighbours of those make a window.
-            passage = row.astype(np.int64) << 24 | (np.arange(len(ids)) - upto[row]) // (WINDOW // 2)
+            passage = np.cumsum((np.arange(len(ids)) - upto[row]) % (WINDOW // 2) == 0)
             held = np.flatnonzero(ids >= 0)
-            pairs = np.unique((np.unique(passage, return_inverse=True)[1][held].astype(np.int64) << 32) | ids[held])
+            pairs = np.unique((passage[held] << 32) | ids[held])
             total[:-1] += np.bincount(pairs & 0xFFFFFFFF, minlength=len(terms.sorted))
-            total[-1] += len(np.unique(passage))
+            total[-1] += passage[-1] if len(passage) else 0
         return total
 
     counts = partition_sum(texts, count)
@@ -188,8 +219,8 @@ def basis_of(passages: DataFrame, own: np.ndarray, space: Space) -> np.ndarray:
     n = len(space.weights)
 
     def product(rows: np.ndarray, q: np.ndarray, total: np.ndarray) -> None:
-        for k in range(0, len(rows), 2000):
-            part = rows[k:k + 2000]
+        for k in range(0, len(rows), 200):  # what is gathered at once stays near the core
+            part = rows[k:k + 200]
             unit = 1 / space.length(part)
             y = space.project(part, q) * (unit ** 2)[:, None]
             held = part >= 0
@@ -267,6 +298,7 @@ def _mark_block(docs: DataFrame, items: list[Item], text: str, cosine: float, sh
     owner, first, end = windows(upto, stride=4)
     own = grid(ids, first, end)
     basis = basis_of(cut_lineage(heavy_passages(texts, space, cosine)), own, space)
+    known_own, known_places = Own(own, space), [word_places(x.words) for x in items]
     target = space.project(own, basis)
     target = (target / (np.linalg.norm(target, axis=1, keepdims=True) + 1e-12)).T.astype(np.float32)
     names = docs.columns
@@ -283,8 +315,8 @@ def _mark_block(docs: DataFrame, items: list[Item], text: str, cosine: float, sh
             vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12
             near = vectors @ target
             a, b = np.nonzero(near >= cosine)
-            full = space.cosine(ids, first[at], end[at], a, own[b])
-            a, b = a[full >= cosine], b[full >= cosine]
+            held = space.near(ids, first[at], end[at], a, b, known_own, cosine)
+            a, b = a[held], b[held]
             yield from zip(row[at[a]].tolist(), owner[b].tolist(), near[a, b].tolist(), first[at[a]].tolist(), strict=True)
 
     def leaks_of(hashes: np.ndarray, upto: np.ndarray) -> dict[int, dict[int, tuple]]:
@@ -298,7 +330,7 @@ def _mark_block(docs: DataFrame, items: list[Item], text: str, cosine: float, sh
             item = items[number]
             size = len(item.words)
             around = hashes[max(int(upto[row]), at - size):min(int(upto[row + 1]), at + WINDOW + size)].tolist()
-            held = lcs(item.words, around) / size
+            held = lcs(item.words, around, known_places[number]) / size
             if held >= share:
                 answer = lcs(item.answer, around) / len(item.answer)
                 if held >= sure or answer >= sure:

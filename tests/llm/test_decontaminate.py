@@ -69,3 +69,22 @@ def test_the_fit_takes_every_passage(spark, documents):
     _, first, _ = decontaminate.windows(np.array([0, 20_000]))
     # No two windows of these texts are equal.
     assert decontaminate.heavy_passages(docs, space, 0.6).count() == len(first) * len(texts) > 200_000
+
+
+def test_bounded_pairs_reach_the_cosine():
+    rng = np.random.default_rng(4)
+    space = decontaminate.Space(decontaminate.Terms(np.arange(200, dtype=np.uint64)), rng.random(200) + 0.1, 0.4)
+    ids = np.where(rng.random(4000) < 0.2, -1, rng.integers(0, 40, 4000)).astype(np.int32)
+    _, first, end = decontaminate.windows(np.array([0, 1500, 1505, 4000]))
+    rows = np.where(rng.random((60, 16)) < 0.1, -1, rng.integers(0, 200, (60, 16)))
+    rows[:30] %= 40
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(first)), np.arange(60), indexing="ij"))
+    want = []
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        words = ids[first[i]:end[i]].tolist()
+        dot = sum(space.weights[w] ** 2 * rows[j].tolist().count(w) for w in words if w >= 0)
+        norm = sum(space.weights[w] ** 2 if w >= 0 else 0.16 for w in words) ** 0.5
+        if dot >= 0.3 * norm * sum(space.weights[w] ** 2 for w in rows[j].tolist() if w >= 0) ** 0.5:
+            want.append(k)
+    got = space.near(ids, first, end, a, b, decontaminate.Own(rows, space), 0.3)
+    assert want and len(want) < len(a) / 2 and got.tolist() == want
