@@ -157,7 +157,9 @@ def expression_filter(
     libs = library_sizes(counts)
     cut = libs.groupBy("study_id").agg((F.lit(min_count) / F.median("lib_size") * 1e6).alias("_cut"))
     limits = cut.join(small, "study_id").select("study_id", "_cut", need.alias("_need"))
-    cells = counts.join(libs, ["study_id", "sample_id"]).join(limits, "study_id")
+    # One row a sample goes to the cells: studies and samples are few and large, a shuffle by them would land in few tasks.
+    scale = libs.join(limits, "study_id")
+    cells = counts.join(F.broadcast(scale), ["study_id", "sample_id"])
     cpm_value = F.col("value") / F.col("lib_size") * 1e6
     j = cells.withColumn("_k", F.count_if(cpm_value >= F.col("_cut")).over(_row())).withColumn(
         "_t", F.sum("value").over(_row()))

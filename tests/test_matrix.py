@@ -97,3 +97,19 @@ def test_malformed_row_names_fail(spark):
     assert tuple(rows[0].l) == ("chr1", 5, 9) and rows[1].l is None
     with pytest.raises(Exception, match="chr1:x-9"):
         spark.createDataFrame([("chr1:x-9",)], "n string").select(require_locus(F.col("n"))).collect()
+
+
+def test_cells_are_not_dealt_by_study(spark):
+    cells = spark.createDataFrame([("s", f"f{i % 5}", f"x{i % 3}", float(i)) for i in range(40)],
+                                  "study_id string, feature_id string, sample_id string, value double").groupBy(*mx.CELL).agg(F.sum("value").alias("value"))
+    samples = spark.createDataFrame([("s", f"x{i}", f"g{i % 2}") for i in range(3)], "study_id string, sample_id string, grp string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mx.expression_filter(cells, samples)._jdf.queryExecution().executedPlan().toString()
+        dense = mx.fill_zeros(cells, samples)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin [study_id" in plan and "SortMergeJoin" not in dense
+    top = plan[:plan.index("BroadcastHashJoin [study_id")]
+    assert "SortMergeJoin" not in top
