@@ -91,6 +91,10 @@ def validate_claims(items: DataFrame, themes: DataFrame, helpers: DataFrame, per
     t = themes.select("study_id", "theme_id", F.col("label").alias("theme_label"), F.col("direction").alias("_dir"))
     j = items.join(t, ["study_id", "theme_id"]).where(
         (F.coalesce("direction", F.lit("")) == "") | (F.upper("direction") == F.col("_dir")))
+    # A helper changes no number of rows: only the claims that stay look for theirs.
+    if per_batch > 0:
+        w = Window.partitionBy("study_id", "batch_id").orderBy("item_ord")
+        j = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_batch).drop("_r")
     ref = helpers.groupBy("study_id", "helper_name", F.col("direction").alias("_hd")).agg(
         F.max_by(F.struct("helper_class", "top_hallmark", "nes", "q_value"), "ord").alias("_ref"))
     by_name = ref.groupBy("study_id", "helper_name").agg(F.map_from_entries(F.collect_list(F.struct("_hd", "_ref"))).alias("_refs"))
@@ -98,9 +102,6 @@ def validate_claims(items: DataFrame, themes: DataFrame, helpers: DataFrame, per
     hit = F.coalesce(
         F.try_element_at("_refs", F.col("_dir")), F.try_element_at("_refs", F.lit("UP")), F.try_element_at("_refs", F.lit("DOWN")))
     j = j.withColumn("_ref", F.when(_named(), hit))
-    if per_batch > 0:
-        w = Window.partitionBy("study_id", "batch_id").orderBy("item_ord")
-        j = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_batch)
     blank = F.array().cast("array<string>")
     phrases = F.filter(F.transform(F.coalesce("function_phrases", blank), lambda t: F.trim(t)), lambda p: p != "")
     return j.select(

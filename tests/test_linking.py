@@ -237,3 +237,16 @@ def test_claims_of_a_study_are_ordered_by_range(spark, monkeypatch):
     for found in by_study.values():
         found.sort()
         assert [n for n, _ in found] == list(range(1, len(found) + 1)) and [s for _, s in found] == sorted(s for _, s in found)
+
+
+def test_only_claims_that_stay_look_for_helpers(spark):
+    items = spark.createDataFrame([("s", 1, i, "t", "h", None, "", ["a"], None, None, None) for i in range(5)],
+                                  "study_id string, batch_id int, item_ord int, theme_id string, helper_name string, helper_class string, "
+                                  "direction string, function_phrases array<string>, rationale string, confidence string, helper_top_hallmark string")
+    themes = spark.createDataFrame([("s", "t", "label", "UP")], "study_id string, theme_id string, label string, direction string")
+    helpers = spark.createDataFrame([("s", "h", "DOWN", 1, "c", "m", 0.5, 0.1)],
+                                    "study_id string, helper_name string, direction string, ord int, helper_class string, top_hallmark string, nes double, q_value double")
+    out = lk.validate_claims(items, themes, helpers, 3)
+    assert sorted((r.item_ord, r.helper_effect, r.helper_class) for r in out.collect()) == [(i, 0.5, "c") for i in range(3)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("Window [")
