@@ -291,7 +291,8 @@ def fill_zeros(counts: DataFrame, samples: DataFrame) -> DataFrame:
     wanted = samples.groupBy("study_id").agg(F.collect_set("sample_id").alias("_all"))
     present = counts.groupBy("study_id", "feature_id").agg(
         F.map_from_entries(F.collect_list(F.struct("sample_id", "value"))).alias("_cells"))
-    rows = present.join(wanted, "study_id").select(
+    # One row a study goes to the features: a shuffle by study would land in few tasks.
+    rows = present.join(F.broadcast(wanted), "study_id").select(
         "study_id", "feature_id", "_cells", F.explode("_all").alias("sample_id"))
     return rows.select(*CELL, F.coalesce(F.try_element_at("_cells", F.col("sample_id")), F.lit(0.0)).alias("value"))
 
@@ -301,14 +302,17 @@ def zscore(counts: DataFrame, samples: DataFrame, by: str = "row") -> DataFrame:
     dense = fill_zeros(counts, samples)
     if by in ("col", "both"):
         dense = _scale(dense, ["study_id", "sample_id"])
-    if by in ("row", "both"):
-        dense = _scale(dense, ["study_id", "feature_id"])
+    if by in ("row", "both"):  # a row has one cell a sample, and lies in one task already
+        dense = _scaled(dense.withColumn("_m", F.avg("value").over(_row())).withColumn("_s", F.stddev_samp("value").over(_row())))
     return dense
 
 
 def _scale(dense: DataFrame, keys: list[str]) -> DataFrame:
     stats = dense.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    j = dense.join(stats, keys)
+    return _scaled(dense.join(stats, keys))
+
+
+def _scaled(j: DataFrame) -> DataFrame:
     return j.select(*CELL, F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).alias("value"))
 
 

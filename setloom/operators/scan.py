@@ -137,7 +137,16 @@ def group_quantiles(
     implicit zeros; the stored values must then be non-negative, so that the zeros rank before them.
     """
     z = F.col(zeros).cast("long") if zeros else F.lit(0).cast("long")
-    counts = df.select(*keys, F.col(value).alias("_v"), z.alias("_z")).groupBy(*keys, "_v").agg(
+    work = df.select(*keys, F.col(value).alias("_v"), z.alias("_z"))
+    if hot_rows is not None:
+        work = cut_lineage(work)  # read several times
+        if not has_hot_group(work, keys, hot_rows):
+            hot_rows = None
+        elif zeros is None:
+            found = _bracketed_quantiles(work, keys, wanted, hot_rows)
+            if found is not None:
+                return found
+    counts = work.groupBy(*keys, "_v").agg(
         F.count(F.lit(1)).alias("_c"), F.max("_z").alias("_z")
     )
     cum = ordered_scan(counts, keys, [F.col("_v")], rank=None, sums={"_cum": F.col("_c")}, hot_rows=hot_rows)
@@ -160,6 +169,49 @@ def group_quantiles(
         for k, (out, q) in enumerate(wanted.items())])
 
 
+# Half the width of a bracket, as a share of the group, and the accuracy of its ends: well inside of it.
+BRACKET = 5e-4
+ACCURACY = 10_000
+
+
+def _bracketed_quantiles(work: DataFrame, keys: list[str], wanted: dict[str, float], hot_rows: int) -> DataFrame | None:
+    """Exact quantiles of few, large groups without ordering them. None: a bracket missed or there are many groups.
+
+    Approximate quantiles bracket the order statistics; one more pass counts what lies below each bracket and gives its
+    values, which alone are ordered. The counts tell whether the wanted places lie inside.
+    """
+    shares = [min(1.0, max(0.0, q + d)) for q in wanted.values() for d in (-BRACKET, BRACKET)]
+    ends = cut_lineage(work.groupBy(*keys).agg(F.percentile_approx("_v", shares, ACCURACY).alias("_e")))
+    if ends.count() > BROADCAST_GROUPS:
+        return None
+    near = work.join(F.broadcast(ends), keys)
+    v = F.col("_v")
+    low, high = ([F.col("_e")[2 * k + d] for k in range(len(wanted))] for d in (0, 1))
+    below = cut_lineage(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[
+        F.count_if(v.isNull() | (v < x)).alias(f"_b{k}") for k, x in enumerate(low)]))
+    inside = near.select(*keys, v, F.explode(F.array_compact(F.array(*[
+        F.when((v >= a) & (v <= b), F.lit(k)) for k, (a, b) in enumerate(zip(low, high, strict=True))]))).alias("_k"))
+    counts = cut_lineage(inside.groupBy(*keys, "_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    cum = ordered_scan(counts, [*keys, "_k"], [v], rank=None, sums={"_cum": F.col("_c")}, hot_rows=hot_rows)
+    j = cum.join(F.broadcast(below), keys)
+    picks = []
+    for k, q in enumerate(wanted.values()):
+        last = F.col("_cum") + F.col(f"_b{k}")
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        for name, at in (("lo", F.floor(place) + 1), ("hi", F.ceil(place) + 1)):
+            here = (F.col("_k") == k) & (at > last - F.col("_c")) & (at <= last)
+            picks.append(F.max(F.when(here, v)).alias(f"_{name}{k}"))
+    picked = cut_lineage(j.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks))
+    missed = F.greatest(*[F.col(c).isNull() for c in picked.columns if c not in (*keys, "_n")])
+    if picked.count() < ends.count() or picked.where(missed).count():
+        return None
+    out = []
+    for k, (name, q) in enumerate(wanted.items()):
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        out.append((F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (place - F.floor(place))).alias(name))
+    return picked.select(*keys, *out)
+
+
 def group_quantile(
     df: DataFrame,
     keys: list[str],

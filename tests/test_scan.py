@@ -116,3 +116,20 @@ def test_p_values_of_a_large_group_are_merged_before_they_are_ordered(spark, mon
     df = spark.range(600_000).selectExpr("'S' study_id", "(id % 1000 + 1) / 1000 p")
     q = {r[0]: r[1] for r in sc.adjust_p(df, ["study_id"], "p", "q").distinct().select("p", "q").collect()}
     assert len(q) == 1000 and all(abs(v - 1.0) < 1e-9 for v in q.values())
+
+
+def test_quantiles_of_hot_groups_do_not_order_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [("a" if i % 9 else "b", float(x), None) for i, x in enumerate(rng.normal(size=20_000))]
+    rows += [("a", 0.25, None)] * 500 + [("b", None, None)] * 3 + [("c", 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, v double, z long")
+    wanted = {"q05": 0.05, "mid": 0.5, "top": 1.0, "low": 0.0}
+    plain = sorted(scan.group_quantiles(df, ["k"], "v", wanted, hot_rows=None).collect(), key=str)
+    with monkeypatch.context() as m:
+        m.setattr(scan, "_sliced", None)
+        df_ = df.where("v is not null")
+        some = sorted(scan.group_quantiles(df_, ["k"], "v", wanted, hot_rows=1000).collect(), key=str)
+        assert some == sorted(scan.group_quantiles(df_, ["k"], "v", wanted, hot_rows=None).collect(), key=str)
+    assert sorted(scan.group_quantiles(df, ["k"], "v", wanted, hot_rows=1000).collect(), key=str) == plain
+    monkeypatch.setattr(scan, "BRACKET", -0.01)  # every bracket misses
+    assert sorted(scan.group_quantiles(df, ["k"], "v", wanted, hot_rows=1000).collect(), key=str) == plain
