@@ -130,3 +130,34 @@ def test_first_overlap_forms_no_pairs(spark, monkeypatch):
             want[i] = min(hits)[1]
     found = got.collect()
     assert len(found) == len(want) and {r["id"]: r["mapped_id"] for r in found} == want
+
+
+def _pairs_of(df):
+    return sorted((r["input_id"], r["annotation_id"]) for r in df.collect())
+
+
+def test_mapped_points_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    a, b = random_rows(rng, 300, 20), random_rows(rng, 150, 9000) + [("1", 10, 9), ("1", 700, 700)]
+    a = [(c, s, s) for c, s, _ in a[:280]] + a[280:] + [("1", 700, 700)] * 5 + [("2", -4, -4)]
+    want = sorted(brute(a, b))
+    points, known = frame(spark, a), frame(spark, b)
+    assert _pairs_of(iv.map_points(points, known)) == want
+    lists = {r["input_id"]: r["annotation_ids"] for r in iv.annotations_by_point(points, known).collect()}
+    assert lists == {i: [y for x, y in want if x == i] for i in {x for x, _ in want}}
+    # Inputs and intervals of several rows: a pair comes once.
+    twice = _pairs_of(iv.map_points(points.unionAll(points.selectExpr("chrom", "start + 1", "end + 1", "id", "ord")), known.unionAll(known)))
+    more = brute([(c, s + 1, e + 1) for c, s, e in a], b)
+    assert twice == sorted(set(want) | more)
+    joined = iv.annotations_by_point(points, known.unionAll(known), sep=",").collect()
+    assert {r["input_id"]: r["annotation_ids"] for r in joined} == {k: ",".join(map(str, v)) for k, v in lists.items()}
+
+
+def test_pairs_of_copies_are_not_moved(spark):
+    """400 inputs and 400 intervals at one place: 160 000 pairs, of which no exchange may carry any."""
+    x = spark.range(400).selectExpr("'1' AS chrom", "5L AS start", "5L AS end", "id")
+    for mapped, rows in ((iv.map_points(x, x), 160_000), (iv.annotations_by_point(x, x, sep=","), 400)):
+        assert mapped.count() == rows
+        plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+        top = plan[:plan.index("Join")]
+        assert "Aggregate" not in top and "Distinct" not in top
