@@ -49,23 +49,43 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + tail - np.log(up)
 
 
-def _likelihood(y: np.ndarray, mu: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """Negative-binomial log likelihood of each cell without the terms that do not hold ``alpha``."""
+def _count_terms(y: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """The part of each cell's log likelihood that holds its count and ``alpha``, but not its mean."""
     r = 1.0 / alpha
-    near = np.minimum(r, 1e3)
-    plain = _log_gamma(y + near) - _log_gamma(near) + y * np.log(np.maximum(alpha, 1e-3)) - (y + near) * np.log1p(mu * alpha)
+    out = np.empty(np.broadcast(y, alpha).shape)
+    far = np.broadcast_to(r > 1e3, out.shape)
+    y, alpha, r = (np.broadcast_to(v, out.shape) for v in (y, alpha, r))
+    v, a, k = y[~far], alpha[~far], r[~far]
+    out[~far] = _log_gamma(v + k) - _log_gamma(k) + v * np.log(np.maximum(a, 1e-3))
     # Beyond r = 1000 the gamma functions cancel; their difference follows from Stirling's series.
-    series = (r + y - 0.5) * np.log1p(y * alpha) - y + (1.0 / (r + y) - alpha) / 12.0 - (y + r) * np.log1p(mu * alpha)
-    return np.where(r > 1e3, series, plain)
+    v, a, k = y[far], alpha[far], r[far]
+    out[far] = (k + v - 0.5) * np.log1p(v * a) - v + (1.0 / (k + v) - a) / 12.0
+    return out
 
 
-def adjusted_profile(y: np.ndarray, mu: np.ndarray, groups: np.ndarray, log_alpha: np.ndarray) -> np.ndarray:
-    """Cox-Reid adjusted log likelihood: features x cells ``y`` and ``mu``, features x candidates ``log_alpha``."""
+def _likelihood(y: np.ndarray, mu: np.ndarray, alpha: np.ndarray, terms: np.ndarray | None = None) -> np.ndarray:
+    """Negative-binomial log likelihood of each cell without the terms that do not hold ``alpha``."""
+    return (_count_terms(y, alpha) if terms is None else terms) - (y + 1.0 / alpha) * np.log1p(mu * alpha)
+
+
+def adjusted_profile(y: np.ndarray, mu: np.ndarray, groups: np.ndarray, log_alpha: np.ndarray,
+                     grid: np.ndarray | None = None) -> np.ndarray:
+    """Cox-Reid adjusted log likelihood: features x cells ``y`` and ``mu``, features x candidates ``log_alpha``.
+
+    Features of one number in ``grid`` have the same candidates; cells of one count and grid share their count terms.
+    """
     out = np.empty_like(log_alpha)
+    grid = np.arange(len(y)) if grid is None else np.unique(grid, return_inverse=True)[1].reshape(-1)
+    counts, number = np.unique(y, return_inverse=True)
+    pairs, place = np.unique(grid[:, None] * len(counts) + number.reshape(y.shape), return_inverse=True)
+    place, of_pair = place.reshape(y.shape), counts[pairs % len(counts)]
+    one = np.empty(grid.max() + 1 if len(grid) else 0, int)
+    one[grid] = np.arange(len(grid))
+    feature, inverse = one[pairs // len(counts)], 1.0 / mu
     for c in range(log_alpha.shape[1]):
         alpha = np.exp(log_alpha[:, c:c + 1])
-        weight = 1.0 / (1.0 / mu + alpha)
-        out[:, c] = _likelihood(y, mu, alpha).sum(axis=1) - 0.5 * np.log(weight @ groups).sum(axis=1)
+        terms = _count_terms(of_pair, alpha[feature, 0])[place]
+        out[:, c] = _likelihood(y, mu, alpha, terms).sum(axis=1) - 0.5 * np.log((1.0 / (inverse + alpha)) @ groups).sum(axis=1)
     return out
 
 
@@ -73,15 +93,17 @@ def best_dispersion(y, mu, groups, prior_mean=None, prior_var=None) -> np.ndarra
     """Dispersion of each feature with the largest adjusted likelihood, or posterior where a log-normal prior is given."""
     n, top = len(y), math.log(max(10.0, y.shape[1]))
     low, step = np.full(n, math.log(LEAST)), np.full(n, (top - math.log(LEAST)) / (GRID - 1))
+    grid = np.zeros(n, int)  # number of the candidates: features that went the same way have the same ones
     for _ in range(ROUNDS):
         at = low[:, None] + step[:, None] * np.arange(GRID)
-        value = adjusted_profile(y, mu, groups, at)
+        value = adjusted_profile(y, mu, groups, at, grid)
         if prior_mean is not None:
             value = value - (at - np.log(prior_mean)[:, None]) ** 2 / (2 * prior_var[:, None])
         place = value.argmax(axis=1)
         best, width = at[np.arange(n), place], step
         low = np.maximum(best - step, math.log(LEAST))
         step = (np.minimum(best + step, top) - low) / (GRID - 1)
+        grid = grid * GRID + place
     # The top of the parabola through the best point of the last round and its neighbours.
     inner = np.clip(place, 1, GRID - 2)
     before, here, after = (value[np.arange(n), inner + k] for k in (-1, 0, 1))
@@ -142,14 +164,13 @@ def feature_rows(counts: DataFrame, samples: DataFrame, contrast: Contrast, roun
 
 def gene_wise(rows: DataFrame) -> DataFrame:
     """Add ``base_mean`` and ``gene_dispersion``."""
-    out = rows.select("study_id", "feature_id", F.lit(0.0).alias("base_mean"), F.lit(0.0).alias("gene_dispersion")).schema
+    out = rows.select("*", F.lit(0.0).alias("base_mean"), F.lit(0.0).alias("gene_dispersion")).schema
 
     def run(frames):
         for part, y, size, groups in _batches(frames):
             mean = (y / size) @ groups / groups.sum(axis=0)
             mu = np.maximum((mean @ groups.T) * size, 0.5)
-            yield pd.DataFrame({"study_id": part["study_id"], "feature_id": part["feature_id"], "base_mean": (y / size).mean(axis=1),
-                                "gene_dispersion": best_dispersion(y, mu, groups)})
+            yield part.assign(base_mean=(y / size).mean(axis=1), gene_dispersion=best_dispersion(y, mu, groups))
 
     return rows.mapInPandas(run, out)
 
@@ -196,9 +217,9 @@ def prior_of(genes: DataFrame, trend: DataFrame, design: DataFrame, hot_rows: in
         "study_id", spread.alias("spread"), F.greatest(F.lit(0.25), spread - trigamma(F.col("freedom") / 2)).alias("prior_var"))
 
 
-def shrunken(rows: DataFrame, genes: DataFrame, trend: DataFrame, prior: DataFrame) -> DataFrame:
-    """Dispersions (gene-wise, trend, final), group means and information of each feature."""
-    given = rows.join(genes, ["study_id", "feature_id"]).join(trend, "study_id").join(prior, "study_id")
+def shrunken(genes: DataFrame, trend: DataFrame, prior: DataFrame) -> DataFrame:
+    """Dispersions (gene-wise, trend, final), group means and information of each feature. Features stay where they are."""
+    given = genes.join(F.broadcast(trend.join(prior, "study_id")), "study_id")  # one row a study
     given = given.withColumn("trend_dispersion", F.col("a0") + F.col("a1") / F.col("base_mean")).drop("a0", "a1")
     names = ["study_id", "feature_id", "base_mean", "gene_dispersion", "trend_dispersion"]
     out = given.select(*names, F.lit(0.0).alias("dispersion"), F.lit(True).alias("outlier"), *[
@@ -299,13 +320,16 @@ def differential_test(counts: DataFrame, samples: DataFrame, contrast: Contrast,
 
     ``samples``: study_id, sample_id, grp. ``padj`` is NULL for features below the mean threshold of their study.
     """
-    rows = cut_lineage(feature_rows(counts, samples, contrast, round_values, min_total, hot_rows))
-    design = rows.groupBy("study_id").agg(F.first("groups").alias("_g")).select(
+    rows = feature_rows(counts, samples, contrast, round_values, min_total, hot_rows)
+    # Fits take long for their bytes, by which adaptive merging goes: features are dealt over all tasks once, and stay there.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fits = cut_lineage(gene_wise(rows.repartition(tasks, F.xxhash64("study_id", "feature_id"))))
+    design = fits.groupBy("study_id").agg(F.first("groups").alias("_g")).select(
         "study_id", (F.size("_g") - F.array_max("_g") - 1).alias("freedom"))
-    genes = cut_lineage(gene_wise(rows))
+    genes = cut_lineage(fits.select("study_id", "feature_id", "base_mean", "gene_dispersion"))  # read by every step of the trend
     trend = fit_trend(genes)
     prior = cut_lineage(prior_of(genes, trend, design, hot_rows))
-    fitted = shrunken(rows, genes, trend, prior)
+    fitted = shrunken(fits, trend, prior)
     error = F.sqrt(1.0 / F.col("info_num") + 1.0 / F.col("info_den")) / math.log(2.0)
     tested = fitted.withColumn("lfc", F.log2(F.col("mean_num") / F.col("mean_den"))).withColumn("lfc_se", error)
     tested = tested.withColumn("stat", F.col("lfc") / F.col("lfc_se")).withColumn("pvalue", two_sided_normal(F.col("stat")))

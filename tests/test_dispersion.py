@@ -134,3 +134,32 @@ def test_rejections_rank_features_by_range(spark, monkeypatch):
     for r in got:
         p = sorted(x[3] for x in rows if x[2] >= r["cutoff"] - 1e-12)
         assert r["rejected"] == max([i + 1 for i, v in enumerate(p) if v < 0.1 and v * len(p) / (i + 1) < 0.1], default=0)
+
+
+def test_count_terms_are_shared_by_features_with_one_grid(monkeypatch):
+    """Cells of one count and one grid of candidates are evaluated once; the fit stays that of each feature by itself."""
+    seen = []
+    terms = dispersion._count_terms
+    monkeypatch.setattr(dispersion, "_count_terms", lambda y, alpha: seen.append(np.size(y)) or terms(y, alpha))
+    rng = np.random.default_rng(5)
+    y = rng.poisson(6, (300, 8)).astype(float)
+    groups = np.kron(np.eye(2), np.ones((4, 1)))
+    mu = np.maximum((y @ groups / 4) @ groups.T, 0.5)
+    got = dispersion.best_dispersion(y, mu, groups)
+    assert max(seen[:dispersion.GRID]) == len(np.unique(y)) < y.size
+    alone = [dispersion.best_dispersion(y[i:i + 1], mu[i:i + 1], groups)[0] for i in range(0, 300, 30)]
+    assert np.allclose(got[::30], alone, rtol=1e-12)
+
+
+def test_fits_are_dealt_over_all_tasks(spark, monkeypatch):
+    """Few bytes a feature: adaptive merging would fit all of them in one task."""
+    dealt = []
+    last = dispersion.shrunken
+    monkeypatch.setattr(dispersion, "shrunken", lambda genes, *rest: dealt.append(
+        [r["count"] for r in genes.groupBy(F.spark_partition_id()).count().collect()]) or last(genes, *rest))
+    rng = np.random.default_rng(6)
+    rows = [("s", f"g{i}", f"x{j}", float(v)) for i in range(200) for j, v in enumerate(rng.poisson(30, 6))]
+    counts = spark.createDataFrame(rows, "study_id string, feature_id string, sample_id string, value double")
+    samples = spark.createDataFrame([("s", f"x{j}", "ab"[j % 2]) for j in range(6)], "study_id string, sample_id string, grp string")
+    assert dispersion.differential_test(counts, samples, dispersion.Contrast("grp", "a", "b")).count() == 200
+    assert len(dealt[0]) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(dealt[0]) == 200
