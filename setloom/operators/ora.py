@@ -87,11 +87,24 @@ def order_ora(result: DataFrame) -> DataFrame:
         F.col("p_hyper").asc_nulls_last(), F.col("x").desc(), "set_name")
 
 
-def members_to_genes(edges: DataFrame, association: DataFrame) -> DataFrame:
-    """Genes associated with the members of each helper: distinct (study, helper, gene)."""
+# Rows of members and genes that one task makes distinct.
+GENE_ROWS = 500_000
+
+
+def members_to_genes(edges: DataFrame, association: DataFrame, rows_per_task: int = GENE_ROWS) -> DataFrame:
+    """Genes associated with the members of each helper: distinct (study, helper, gene).
+
+    A few bytes of members unfold into many genes, so the number of tasks goes by the rows that the join makes, which are
+    counted beforehand, and rows are told apart only after they are dealt by helper.
+    """
     a = association.select(F.col("GHid").cast("string").alias("member"), F.col("symbol").cast("string").alias("gene"))
-    a = a.where(F.coalesce("gene", F.lit("")) != "").distinct()
-    return edges.join(a, "member").select("study_id", "helper", "gene").distinct()
+    a = cut_lineage(a.where(F.coalesce("gene", F.lit("")) != "").distinct())
+    edges = cut_lineage(edges)
+    mine, theirs = (df.groupBy("member").agg(F.count(F.lit(1)).alias(n)) for df, n in ((edges, "_m"), (a, "_t")))
+    rows = mine.join(theirs, "member").agg(F.sum(F.col("_m") * F.col("_t"))).first()[0] or 0
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
+    dealt = edges.join(a, "member").select("study_id", "helper", "gene").repartition(tasks, "study_id", "helper")
+    return dealt.distinct()
 
 
 def annotate_top1(
@@ -128,13 +141,16 @@ def annotate_top1(
 
     b = genes.groupBy("study_id", "helper").agg(F.count(F.lit(1)).alias("b"))
     tested = inside.join(ordered.select("set_ord", "set_name"), ["set_ord", "set_name"], "left_semi")
-    left = genes.select(
-        F.lit("x").alias("study_id"), F.to_json(F.struct("study_id", "helper")).alias("id"), F.col("gene").alias("member"))
+    # The length of the study tells the two apart again; genes of no tested set share nothing.
+    both = F.concat(F.length("study_id").cast("string"), F.lit(":"), "study_id", "helper")
+    left = genes.join(tested.select(F.col("member").alias("gene")).distinct(), "gene", "left_semi").select(
+        F.lit("x").alias("study_id"), both.alias("id"), F.col("gene").alias("member"))
     right = tested.select(F.lit("x").alias("study_id"), F.col("set_ord").cast("string").alias("id"), "member")
+    digits = F.substring_index("a", ":", 1)
+    start, long = F.length(digits) + 2, digits.cast("int")
     shared = pair_counts(left, right).select(
-        F.from_json("a", "study_id string, helper string").alias("_h"),
-        F.col("b").cast("long").alias("set_ord"), F.col("n").alias("k"),
-    ).select("_h.study_id", "_h.helper", "set_ord", "k")
+        F.substr("a", start, long).alias("study_id"), F.substr("a", start + long, F.length("a")).alias("helper"),
+        F.col("b").cast("long").alias("set_ord"), F.col("n").alias("k"))
     # Overlapping (helper, set) pairs, read twice below.
     met = cut_lineage(shared.join(ordered, "set_ord").join(b, ["study_id", "helper"]))
 

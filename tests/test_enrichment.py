@@ -306,3 +306,24 @@ def test_corrected_activity_meets_only_significant_sets(spark, monkeypatch):
     got = {(r["set_name"], r["sample_id"]): r["nes"] for r in rows}
     assert len(rows) == 12 and got.keys() == plain.keys()
     assert got["shadow", "s0"] < plain["shadow", "s0"] and got["rest", "s0"] == pytest.approx(plain["rest", "s0"])
+
+
+def test_genes_of_helpers_are_dealt_by_the_rows_they_unfold_into(spark):
+    """Few members unfold into many genes: the tasks that tell them apart go by the rows, not by the bytes of the members."""
+    edges = spark.createDataFrame([("s:1", f"h{i}", f"m{j}") for i in range(40) for j in range(3)], "study_id string, helper string, member string")
+    assoc = spark.createDataFrame([(f"m{j}", f"g{(j * 30 + k) % 70}") for j in range(3) for k in range(50)], "GHid string, symbol string")
+    genes = ora.members_to_genes(edges, assoc, rows_per_task=500)
+    assert genes.rdd.getNumPartitions() == 12  # 40 helpers x 3 members x 50 genes
+    got = [tuple(r) for r in genes.collect()]
+    want = {("s:1", f"h{i}", f"g{(j * 30 + k) % 70}") for i in range(40) for j in range(3) for k in range(50)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_top_annotation_keeps_odd_names_apart(spark):
+    helpers = spark.createDataFrame([("a:", "b"), ("a", ":b"), ("", "a:b")], "study_id string, helper string")
+    edges = spark.createDataFrame([("a:", "b", "m1"), ("a", ":b", "m2"), ("", "a:b", "m1")], "study_id string, helper string, member string")
+    assoc = spark.createDataFrame([("m1", f"g{k}") for k in range(4)] + [("m2", f"g{k}") for k in range(4, 20)], "GHid string, symbol string")
+    sets = spark.createDataFrame([(1, "low", f"g{k}") for k in range(4)] + [(2, "high", f"g{k}") for k in range(12, 20)],
+                                 "set_ord long, set_name string, member string")
+    got = {(r["study_id"], r["helper"]): r["top_hallmark"] for r in ora.annotate_top1(helpers, edges, assoc, sets, min_size=2, alpha=0.9).collect()}
+    assert got == {("a:", "b"): "low", ("", "a:b"): "low", ("a", ":b"): "high"}
