@@ -103,7 +103,8 @@ def members_to_genes(edges: DataFrame, association: DataFrame, rows_per_task: in
     mine, theirs = (df.groupBy("member").agg(F.count(F.lit(1)).alias(n)) for df, n in ((edges, "_m"), (a, "_t")))
     rows = mine.join(theirs, "member").agg(F.sum(F.col("_m") * F.col("_t"))).first()[0] or 0
     tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
-    dealt = edges.join(a, "member").select("study_id", "helper", "gene").repartition(tasks, "study_id", "helper")
+    met = edges.repartition(tasks, "member").join(a.repartition(tasks, "member"), "member")
+    dealt = met.select("study_id", "helper", "gene").repartition(tasks, "study_id", "helper")
     return dealt.distinct()
 
 
