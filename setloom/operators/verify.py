@@ -39,7 +39,24 @@ def support_decision(
 
 
 def signed_text(effect: Column) -> Column:
-    return F.when(effect.isNull(), "NA").otherwise(F.format_string("%+.2f", effect))
+    """Sign and two decimals of the exact binary value, halves to the even digit; Java's own format takes 0.285 as it is written.
+
+    From 1e15 on, where no decimals matter, Java's format stays.
+    """
+    java = F.format_string("%+.2f", effect)
+    plain = F.abs(effect.cast("double")) < 1e15
+    size = F.when(plain, F.abs(effect.cast("double"))).otherwise(0.0)
+    whole = F.floor(size)
+    # The binary places of the part behind the point as a whole number, exact wherever a cent is near; 100 / 2^60 = 25 / 2^58.
+    cents = ((size - whole) * float(2**60)).cast("long").cast("decimal(19,0)") * F.lit(25).cast("decimal(2,0)")
+    unit = F.lit(2**58).cast("decimal(19,0)")
+    rest = cents % unit
+    down = ((cents - rest) / unit).cast("long")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (down % 2 == 1))
+    shown = down + up.cast("long")
+    units = whole + (shown == 100).cast("long")
+    exact = F.concat(F.substring(java, 1, 1), units.cast("string"), F.lit("."), F.lpad((shown % 100).cast("string"), 2, "0"))
+    return F.when(effect.isNull(), "NA").when(plain, exact).otherwise(java)
 
 
 def short_number(q: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from setloom.functions import stats as st
-from setloom.operators.verify import short_number
+from setloom.operators.verify import short_number, signed_text
 
 
 def column(spark, values, f, kind="double"):
@@ -63,3 +63,11 @@ def test_weights_handle_missing_values(spark):
 def test_short_number_is_three_significant_digits(spark):
     v = [0.0, 0.05, 0.123456, 0.99996, 1.0, 9.999, 12.345, 100.0, 0.0001234, 0.00001234, 1234.5, 1e-12]
     assert column(spark, v, short_number) == [f"{x:.3g}" for x in v]
+
+
+def test_signed_text_rounds_the_exact_binary_value(spark):
+    """0.285 and 0.435 lie below their halves as doubles, 0.125 is one: none of them goes up."""
+    v = [0.285, -0.435, 0.125, 0.375, -0.625, 0.995, 999999.995, 0.005, -0.001, -0.0, 0.0, 1e14 + 0.5, 12.0, 3e-20]
+    v += [(2 * k + 1) / 200 for k in range(400)] + [math.nextafter((2 * k + 1) / 200, 9) for k in range(400)]
+    assert column(spark, v, signed_text) == [f"{x:+.2f}" for x in v]
+    assert column(spark, [None, 1e300], signed_text) == ["NA", "+1" + "0" * 300 + ".00"]
