@@ -92,7 +92,8 @@ def pair_counts(
     Inputs: (study_id, id, member), distinct. A member of few sets unfolds into its pairs. The rest go to blocks: ids are
     hashed into blocks and members into buckets; each (block, block, bucket) cell is one small matrix product, so a
     member that sits in very many sets never unfolds, and one huge set is spread over its member buckets. A member
-    unfolds where that makes no more rows than its copies for the blocks would be, which grow with the number of ids.
+    unfolds where that makes no more rows than its copies for the blocks would be, which grow with the number of ids. What
+    is moved for it is one row of each of its ids with the list of partners, not a row of each pair.
     Without ``right`` the pairs are unordered, a < b.
     """
     mirrored = right is None
@@ -100,39 +101,44 @@ def pair_counts(
     def strings(df: DataFrame) -> DataFrame:
         return df.select("study_id", F.col("id").cast("string").alias("id"), F.col("member").cast("string").alias("member"))
 
-    left = strings(left)
-    other = left if mirrored else strings(right)
+    def lists(df: DataFrame, tag: str) -> DataFrame:
+        """The ids of each member; the one shuffle of the rows, which all that follows shares."""
+        return strings(df).where("study_id IS NOT NULL AND member IS NOT NULL").groupBy("study_id", "member").agg(
+            F.sort_array(F.collect_list("id")).alias(f"_{tag}_ids"))
 
     def shape(df: DataFrame, tag: str) -> DataFrame:
         # count by id first: partial counts, and the block number needs only the number of ids
-        per = df.groupBy("study_id", "id").agg(F.count(F.lit(1)).alias("_c"))
+        per = df.select("study_id", F.explode(f"_{tag}_ids").alias("id")).groupBy("study_id", "id").agg(F.count(F.lit(1)).alias("_c"))
         return per.groupBy("study_id").agg(
-            F.ceil(F.count(F.lit(1)) / ids_per_block).cast("int").alias(f"_{tag}_blocks"),
-            F.sum("_c").alias(f"_{tag}_rows"))
-
-    plan = shape(left, "l").join(shape(other, "r"), "study_id").withColumn(
-        "_buckets", F.ceil((F.col("_l_rows") + F.col("_r_rows")) / rows_per_bucket).cast("int"))
-
-    def held(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy("study_id", "member").agg(F.count(F.lit(1)).alias(f"_{tag}_held"))
-
-    by_member = held(left, "l")
-    by_member = by_member.withColumn("_r_held", F.col("_l_held")) if mirrored else by_member.join(
-        held(other, "r"), ["study_id", "member"])
-    lh, rh = F.col("_l_held"), F.col("_r_held")
+            F.ceil(F.count(F.lit(1)) / ids_per_block).cast("int").alias("_blocks"), F.sum("_c").alias("_rows"))
+
+    left_lists = lists(left, "l")
+    if mirrored:
+        plan = shape(left_lists, "l").select("study_id", F.col("_blocks").alias("_l_blocks"), F.col("_blocks").alias("_r_blocks"),
+                                             (F.col("_rows") * 2).alias("_rows"))
+        met = left_lists.withColumn("_r_ids", F.col("_l_ids"))
+    else:
+        right_lists = lists(right, "r")
+        of_left = shape(left_lists, "l").select("study_id", F.col("_blocks").alias("_l_blocks"), F.col("_rows").alias("_l_rows"))
+        of_right = shape(right_lists, "r").select("study_id", F.col("_blocks").alias("_r_blocks"), F.col("_rows").alias("_r_rows"))
+        plan = of_left.join(of_right, "study_id").select(
+            "study_id", "_l_blocks", "_r_blocks", (F.col("_l_rows") + F.col("_r_rows")).alias("_rows"))
+        met = left_lists.join(right_lists, ["study_id", "member"])
+    plan = plan.withColumn("_buckets", F.ceil(F.col("_rows") / rows_per_bucket).cast("int")).drop("_rows")
+    lh, rh = F.size("_l_ids").cast("long"), F.size("_r_ids").cast("long")
     copies = lh * F.greatest("_r_blocks", F.lit(UNFOLD)) + rh * F.greatest("_l_blocks", F.lit(UNFOLD))
-    by_member = by_member.join(plan.select("study_id", "_l_blocks", "_r_blocks"), "study_id").select(
-        "study_id", "member", (lh * rh <= copies).alias("_few"))
-    lm = left.join(by_member, ["study_id", "member"])
-    rm = lm if mirrored else other.join(by_member, ["study_id", "member"])
+    met = met.join(plan, "study_id").withColumn("_few", lh * rh <= copies)
+
+    # An id travels once with all its partners at a member; the pairs unfold where they are counted.
+    few = met.where("_few").select("study_id", "_r_ids", F.posexplode("_l_ids").alias("_at", "a"))
+    partners = F.slice("_r_ids", F.col("_at") + 2, F.size("_r_ids")) if mirrored else F.col("_r_ids")
+    few = few.select("study_id", "a", partners.alias("_bs"), F.lit(1).cast("long").alias("n")).where(F.size("_bs") > 0)
 
-    few = lm.where("_few").select("study_id", "member", F.col("id").alias("a")).join(
-        rm.where("_few").select("study_id", "member", F.col("id").alias("b")), ["study_id", "member"])
-    few = few.where("a < b") if mirrored else few
-    few = few.select("study_id", "a", "b", F.lit(1).cast("long").alias("n"))
+    def side(ids: str) -> DataFrame:
+        rows = met.where(~F.col("_few"))
+        return rows.select("study_id", "member", "_l_blocks", "_r_blocks", "_buckets", F.explode(ids).alias("id"))
 
     def place(df: DataFrame, mine: str, theirs: str) -> DataFrame:
-        j = df.where(~F.col("_few")).drop("_few").join(plan, "study_id")
         own = F.pmod(F.xxhash64("id"), F.col(f"_{mine}_blocks")).cast("int")
         bucket = F.pmod(F.xxhash64("member"), F.col("_buckets")).cast("int")
         lo, hi = F.lit(0), F.col(f"_{theirs}_blocks") - 1
@@ -140,12 +146,12 @@ def pair_counts(
             lo = own
         if mirrored and mine == "r":
             hi = own
-        return j.select(
+        return df.select(
             "study_id", bucket.alias("_bucket"), own.alias(f"_{mine}b"),
             F.explode(F.sequence(lo, hi)).alias(f"_{theirs}b"), "id", "member")
 
     cell = ["study_id", "_bucket", "_lb", "_rb"]
-    lp, rp = place(lm, "l", "r"), place(rm, "r", "l").select(*cell, "id", "member")
+    lp, rp = place(side("_l_ids"), "l", "r"), place(side("_r_ids"), "r", "l").select(*cell, "id", "member")
     # New names on the right: a table may be grouped against itself.
     rcell = [f"r{c}" for c in cell]
     rp = rp.toDF(*rcell, "id", "member")
@@ -185,4 +191,7 @@ def pair_counts(
 
     schema = "study_id string, a string, b string, n long"
     partial = lp.groupBy(*cell).cogroup(rp.groupBy(*rcell)).applyInPandas(multiply, schema)
-    return partial.unionAll(few).groupBy("study_id", "a", "b").agg(F.sum("n").alias("n"))
+    # Few bytes that unfold into many pairs: dealt over all tasks by the left id, and counted there.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = partial.select("study_id", "a", F.array("b").alias("_bs"), "n").unionAll(few).repartition(tasks, "study_id", "a")
+    return dealt.select("study_id", "a", F.explode("_bs").alias("b"), "n").groupBy("study_id", "a", "b").agg(F.sum("n").alias("n"))

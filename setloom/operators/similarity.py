@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import neg_log10, unit_scale
@@ -17,14 +17,18 @@ def edge_members(result: DataFrame, column: str = "leading_edge") -> DataFrame:
 
 
 def cosine_pairs(members: DataFrame) -> DataFrame:
-    """Cosine of the binary member vectors of every pair of sets that share a member."""
-    norm = members.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    shared = pair_counts(members.select("study_id", F.col("set_name").alias("id"), "member"))
-    a = norm.select("study_id", F.col("set_name").alias("a"), F.col("_n").alias("_na"))
-    b = norm.select("study_id", F.col("set_name").alias("b"), F.col("_n").alias("_nb"))
-    return shared.join(a, ["study_id", "a"]).join(b, ["study_id", "b"]).select(
-        "study_id", F.col("a").alias("from"), F.col("b").alias("to"),
-        (F.col("n") / F.sqrt(F.col("_na") * F.col("_nb"))).alias("similarity"))
+    """Cosine of the binary member vectors of every pair of sets that share a member. Repeated rows count once.
+
+    The size of a set travels behind its name (a zero sign between them, which leaves the order of names as it is), so that
+    the pairs, of which there are many more than members, need not be joined with it.
+    """
+    sign = "\0"
+    of_set = members.select(*KEY, "member").repartition(*KEY).distinct()
+    size = F.count(F.lit(1)).over(Window.partitionBy(*KEY)).cast("string")
+    sized = of_set.select("study_id", F.concat("set_name", F.lit(sign), size).alias("id"), "member")
+    name, n = (lambda c: F.substring_index(c, sign, 1)), (lambda c: F.substring_index(c, sign, -1).cast("long"))
+    return pair_counts(sized).select(
+        "study_id", name("a").alias("from"), name("b").alias("to"), (F.col("n") / F.sqrt(n("a") * n("b"))).alias("similarity"))
 
 
 def similarity_network(

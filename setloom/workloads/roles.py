@@ -68,12 +68,13 @@ MAPPING_SQL = """mapping AS (SELECT DISTINCT l_returnflag AS study_id, l_partkey
 
 # ---- sets -----------------------------------------------------------------------------
 
-def supplier_sets(spark, sf_dir) -> DataFrame:
+def supplier_sets(spark, sf_dir, distinct: bool = True) -> DataFrame:
     """Overlapping sets: the parts each supplier ships, per return flag."""
-    return table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("study_id"), F.col("l_suppkey").cast("int").alias("set_ord"),
         F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("set_name"),
-        F.col("l_partkey").cast("string").alias("member")).distinct()
+        F.col("l_partkey").cast("string").alias("member"))
+    return rows.distinct() if distinct else rows
 
 
 SUPPLIER_SETS_SQL = """sets AS (SELECT DISTINCT l_returnflag AS study_id, l_suppkey AS set_ord,

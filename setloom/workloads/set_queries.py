@@ -109,7 +109,7 @@ def set_pairs(spark, sf):
 
 
 def set_cosine(spark, sf):
-    s = supplier_sets(spark, sf)
+    s = supplier_sets(spark, sf, distinct=False)
     return rounded(sim.cosine_pairs(s.select("study_id", "set_name", "member")), "similarity")
 
 

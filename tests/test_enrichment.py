@@ -327,3 +327,18 @@ def test_top_annotation_keeps_odd_names_apart(spark):
                                  "set_ord long, set_name string, member string")
     got = {(r["study_id"], r["helper"]): r["top_hallmark"] for r in ora.annotate_top1(helpers, edges, assoc, sets, min_size=2, alpha=0.9).collect()}
     assert got == {("a:", "b"): "low", ("", "a:b"): "low", ("a", ":b"): "high"}
+
+
+def test_cosine_pairs_move_one_row_an_id_and_member(spark):
+    """Pairs unfold where they are counted, and nothing is joined to them: 30 sets of 300 members are 435 pairs 300 times."""
+    rows = [("S", f"s{k:02}" if k else "s", f"m{m}") for k in range(30) for m in range(300) if k < 20 or m % 3]
+    frame = spark.createDataFrame(rows + rows[:50], "study_id string, set_name string, member string")
+    pairs = sim.cosine_pairs(frame)
+    held = {}
+    for _, name, member in rows:
+        held.setdefault(name, set()).add(member)
+    want = {(a, b): round(len(held[a] & held[b]) / math.sqrt(len(held[a]) * len(held[b])), 9) for a in held for b in held if a < b}
+    assert {(r["from"], r["to"]): round(r["similarity"], 9) for r in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[:plan.index("Generate explode(_bs")]
+    assert "Join" not in top and "Repartition" not in top
