@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of ``WINDOW`` words that overlap by half. Their TF-IDF vectors live on the benchmark's words; other
+Passages are windows of ``WINDOW`` words that overlap by half; for items under ``SHORT`` words, whose own words would drown
+in these, windows of the item's length at every word, in passes of their own that other benchmarks do not need. Their TF-IDF vectors live on the benchmark's words; other
 words count in the length of a vector only, with the weight of the benchmark's median word. Three passes read the texts:
 
 1. document frequencies of the benchmark's words over the passages of all documents;
@@ -39,6 +40,7 @@ SPARE = 16
 MAX_ITEMS = 500
 MAX_WORDS = 400
 MIN_WORDS = 5
+SHORT = 10  # items of fewer words are searched in windows of their own length
 LEAKS = "array<struct<item_id: long, cosine: double, lcs: double, answer: double>>"
 
 
@@ -47,6 +49,7 @@ class Item:
     item_id: int
     words: list[int]
     answer: list[int]
+    width: int = WINDOW  # words of the windows it is searched in
 
 
 class Terms:
@@ -72,11 +75,12 @@ def read_items(benchmark: DataFrame, item_id: str, text: str) -> list[Item]:
         raw = (body or "").encode()
         sentences = [s for s in (body or "").replace("?", ".").replace("!", ".").split(".") if len(s.split()) >= 3]
         words, answer = (_hash_words(x, hasher) for x in (raw, (sentences[-1] if sentences else "").encode()))
+        width = len(words) if len(words) < SHORT else WINDOW
         for at in range(0, max(len(words), 1), MAX_WORDS):
             piece = words[at:at + MAX_WORDS]
             if len(piece) >= MIN_WORDS:
                 last = at + MAX_WORDS >= len(words)
-                items.append(Item(number, piece, answer if last and answer else piece[-len(piece) // 4:]))
+                items.append(Item(number, piece, answer if last and answer else piece[-len(piece) // 4:], width))
     return items
 
 
@@ -85,19 +89,19 @@ def _hash_words(raw: bytes, hasher: Hasher) -> list[int]:
     return word_hashes(data, np.array([0, len(data)]), hasher)[0].tolist()
 
 
-def windows(upto: np.ndarray, stride: int = WINDOW // 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(upto: np.ndarray, stride: int = WINDOW // 2, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first word and end of the windows of each row; the last window may be short, never empty."""
     sizes = np.diff(upto)
-    count = np.where(sizes > 0, np.maximum(-(-(sizes - (WINDOW - stride)) // stride), 1), 0)
+    count = np.where(sizes > 0, np.maximum(-(-(sizes - (width - stride)) // stride), 1), 0)
     row = np.repeat(np.arange(len(sizes)), count)
     number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     first = upto[row] + number * stride
-    return row, first, np.minimum(first + WINDOW, upto[row + 1])
+    return row, first, np.minimum(first + width, upto[row + 1])
 
 
-def grid(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+def grid(ids: np.ndarray, first: np.ndarray, end: np.ndarray, width: int = WINDOW) -> np.ndarray:
     """Word ids of the windows as rows of a matrix; -1 where there is none."""
-    at = first[:, None] + np.arange(WINDOW)
+    at = first[:, None] + np.arange(width)
     return np.where(at < end[:, None], ids[np.minimum(at, len(ids) - 1)], -1)
 
 
@@ -114,7 +118,7 @@ class Own:
         bits = np.where(rows >= 0, np.uint64(1) << _word_class(rows), np.uint64(0))
         self.holds = np.bitwise_or.reduce(bits, axis=1)
         self.most = np.zeros(len(rows), np.int64)
-        for k in range(WINDOW):
+        for k in range(rows.shape[1]):
             self.most = np.maximum(self.most, (rows == rows[:, k:k + 1]).sum(axis=1) * (rows[:, k] >= 0))
 
 
@@ -123,6 +127,11 @@ class Space:
     terms: Terms
     weights: np.ndarray  # of each benchmark word
     other: float  # of any other word
+    width: int = WINDOW  # words of a window
+
+    def cut(self, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of texts: half-overlapping, short ones one at each word."""
+        return windows(upto, WINDOW // 2 if self.width == WINDOW else 1, self.width)
 
     def heavy(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, cosine: float) -> np.ndarray:
         """Windows whose share of weight on benchmark words does not rule the cosine out."""
@@ -147,7 +156,7 @@ class Space:
         A bit for each of 64 classes of words tells what a benchmark window may hold; words that it may hold, each as often
         as its most frequent one, bound the product from above. Only pairs that the bound lets pass are compared by word.
         """
-        rows = grid(ids, first, end)
+        rows = grid(ids, first, end, self.width)
         known = rows >= 0
         square = np.where(known, self.weights[np.maximum(rows, 0)], 0.0) ** 2
         norm = np.sqrt(square.sum(axis=1) + (end - first - known.sum(axis=1)) * self.other ** 2) + 1e-12
@@ -193,7 +202,7 @@ def _text_blocks(batches, place: int, hasher: Hasher, limit: int = 1 << 20):
             yield batch, i, j, *word_hashes(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], hasher)
 
 
-def weigh(texts: DataFrame, terms: Terms) -> Space:
+def weigh(texts: DataFrame, terms: Terms, width: int = WINDOW) -> Space:
     """Inverse document frequencies over the half-overlapping passages of all texts."""
     def count(batches):
         hasher, total = Hasher(), np.zeros(len(terms.sorted) + 1)
@@ -211,7 +220,7 @@ def weigh(texts: DataFrame, terms: Terms) -> Space:
     counts = partition_sum(texts, count)
     counts = np.zeros(len(terms.sorted) + 1) if counts is None else counts
     weights = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
-    return Space(terms, weights, float(np.median(weights)))
+    return Space(terms, weights, float(np.median(weights)), width)
 
 
 def basis_of(passages: DataFrame, own: np.ndarray, space: Space) -> np.ndarray:
@@ -236,7 +245,7 @@ def basis_of(passages: DataFrame, own: np.ndarray, space: Space) -> np.ndarray:
         def partial(batches):
             total = np.zeros((n, q.shape[1]))
             for batch in batches:
-                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WINDOW)
+                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, space.width)
                 product(rows, q, total)
             return total
 
@@ -260,13 +269,13 @@ def heavy_passages(texts: DataFrame, space: Space, cosine: float) -> DataFrame:
         hasher = Hasher()
         for _, _, _, hashes, upto in _text_blocks(batches, 0, hasher):
             ids = space.terms.find(hashes)
-            _, first, end = windows(upto)
+            _, first, end = space.cut(upto)
             at = space.heavy(ids, first, end, cosine)
-            rows = grid(ids, first[at], end[at]) if len(at) else np.zeros((0, WINDOW), np.int32)
+            rows = grid(ids, first[at], end[at], space.width) if len(at) else np.zeros((0, space.width), np.int32)
             if len(rows):
                 rows = np.unique(rows, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WINDOW), pa.array(rows.ravel().astype(np.int32)))],
+                    pa.array(np.arange(len(rows) + 1, dtype=np.int32) * space.width), pa.array(rows.ravel().astype(np.int32)))],
                     names=["ids"])
 
     return texts.mapInArrow(run, "ids array<int>").distinct()
@@ -283,20 +292,20 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         part = benchmark if cuts == 1 else benchmark.where(
             F.pmod(F.xxhash64(item_id, item_text), F.lit(cuts)) == k)
         items = read_items(part, item_id, item_text)
-        if items:
-            found = _mark_block(found, items, text, cosine, lcs_share, sure, out)
+        for width in sorted({x.width for x in items}, reverse=True):
+            found = _mark_block(found, kept.select(text), [x for x in items if x.width == width], width, text, cosine, lcs_share, sure, out)
     return found
 
 
-def _mark_block(docs: DataFrame, items: list[Item], text: str, cosine: float, share: float, sure: float,
-                out: str) -> DataFrame:
+def _mark_block(docs: DataFrame, texts: DataFrame, items: list[Item], width: int, text: str, cosine: float, share: float,
+                sure: float, out: str) -> DataFrame:
+    """``docs`` with the leaks of these items added. ``texts``: the same texts before any marking, which passes need not repeat."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(text)
-    space = weigh(texts, Terms(np.concatenate([np.array(x.words, np.uint64) for x in items])))
+    space = weigh(texts, Terms(np.concatenate([np.array(x.words, np.uint64) for x in items])), width)
     ids = space.terms.find(np.concatenate([np.array(x.words, np.uint64) for x in items]))
     upto = np.concatenate([[0], np.cumsum([len(x.words) for x in items])])
-    owner, first, end = windows(upto, stride=4)
-    own = grid(ids, first, end)
+    owner, first, end = windows(upto, 4, width)
+    own = grid(ids, first, end, width)
     basis = basis_of(cut_lineage(heavy_passages(texts, space, cosine)), own, space)
     known_own, known_places = Own(own, space), [word_places(x.words) for x in items]
     target = space.project(own, basis)
@@ -307,11 +316,11 @@ def _mark_block(docs: DataFrame, items: list[Item], text: str, cosine: float, sh
     def candidates(hashes: np.ndarray, upto: np.ndarray):
         """Row, item, cosine and first word of the passages near an item; the nearest first."""
         ids = space.terms.find(hashes)
-        row, first, end = windows(upto)
+        row, first, end = space.cut(upto)
         heavy = space.heavy(ids, first, end, cosine)
         for k in range(0, len(heavy), 2000):
             at = heavy[k:k + 2000]
-            vectors = space.project(grid(ids, first[at], end[at]), basis)
+            vectors = space.project(grid(ids, first[at], end[at], width), basis)
             vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12
             near = vectors @ target
             a, b = np.nonzero(near >= cosine)
@@ -329,7 +338,7 @@ def _mark_block(docs: DataFrame, items: list[Item], text: str, cosine: float, sh
             tried.add((row, number, at))
             item = items[number]
             size = len(item.words)
-            around = hashes[max(int(upto[row]), at - size):min(int(upto[row + 1]), at + WINDOW + size)].tolist()
+            around = hashes[max(int(upto[row]), at - size):min(int(upto[row + 1]), at + width + size)].tolist()
             held = lcs(item.words, around, known_places[number]) / size
             if held >= share:
                 answer = lcs(item.answer, around) / len(item.answer)

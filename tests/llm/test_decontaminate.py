@@ -88,3 +88,19 @@ def test_bounded_pairs_reach_the_cosine():
             want.append(k)
     got = space.near(ids, first, end, a, b, decontaminate.Own(rows, space), 0.3)
     assert want and len(want) < len(a) / 2 and got.tolist() == want
+
+
+def test_short_items_are_found_between_other_words(spark):
+    """Items of five to nine words, verbatim amid long texts of other words; an item of the usual length beside them."""
+    random.seed(8)
+    pool = [f"w{k}" for k in range(3000)]
+    bench = [(n * 10 + k, " ".join(random.sample(pool, n))) for n in (5, 6, 7, 9, 20) for k in range(6)]
+    texts = []
+    for item, text in bench:
+        around = [random.choice(pool) for _ in range(60)]
+        texts.append((item, " ".join(around[:25]) + " " + text + " " + " ".join(around[25:])))
+    texts += [(1000 + k, " ".join(random.choice(pool) for _ in range(60))) for k in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert found == {(item, item) for item, _ in bench}
